@@ -28,6 +28,7 @@ def query(name: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so their queries register."""
     from . import (  # noqa: F401
+        q_bridge,
         q_rank,
         q_text,
         q_vectors,
