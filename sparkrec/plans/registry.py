@@ -30,6 +30,7 @@ def load_all() -> None:
     from . import (  # noqa: F401
         q_bridge,
         q_rank,
+        q_seq,
         q_state,
         q_text,
         q_vectors,
