@@ -29,6 +29,7 @@ def load_all() -> None:
     """Import every plan module so their queries register."""
     from . import (  # noqa: F401
         q_bridge,
+        q_more,
         q_rank,
         q_seq,
         q_state,
