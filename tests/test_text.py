@@ -1,0 +1,98 @@
+from pyspark.sql import functions as F
+
+from sparkrec.functions import text as T
+
+
+def one(spark, expr, value, schema="x string"):
+    return spark.createDataFrame([(value,)], schema).select(expr("x").alias("y")).first()["y"]
+
+
+def test_normalize_imdb_id(spark):
+    for raw in ["tt0114709", "0114709", "tt114709", "114709"]:
+        assert one(spark, T.normalize_imdb_id, raw) == "tt0114709"
+    assert one(spark, T.normalize_imdb_id, "12345") == "tt0012345"
+    # lpad alone would truncate an 8-digit id
+    assert one(spark, T.normalize_imdb_id, "t12345678") == "tt12345678"
+
+
+def test_title_year(spark):
+    assert one(spark, T.title_name, "Toy Story (1995)") == "Toy Story"
+    assert one(spark, T.title_year, "Toy Story (1995)") == 1995
+    # no year: '' from regexp_extract must not reach an ANSI cast
+    assert one(spark, T.title_year, "Jumanji") is None
+    assert one(spark, T.title_name, "  Jumanji  ") == "Jumanji"
+
+
+def test_clean_markup(spark):
+    cases = {
+        "[[John Smith|John]]": "John",
+        "[[London]]": "London",
+        "Hello {{citation needed}} world": "Hello  world",
+        'Text<ref name="x">cite</ref> more': "Text more",
+        'Text<ref name="x" /> more': "Text more",
+        "'''bold''' and ''italic''": "bold and italic",
+        "a {{outer {{inner}} x}} b": "a  b",
+        "A<ref/> keep <ref>c</ref> z": "A z",
+    }
+    for src, want in cases.items():
+        assert one(spark, T.clean_wikitext, src) == want
+
+
+ARTICLE = """Intro text.
+
+== Cast ==
+* Someone
+
+== Plot ==
+The hero travels far.
+He returns home.
+
+=== Filming ===
+Not plot.
+
+== Production ==
+Filming began.
+"""
+
+
+def test_plot_section(spark):
+    got = one(spark, T.plot_section, ARTICLE)
+    assert got.startswith("The hero travels far.\nHe returns home.")
+    assert "Filming began" not in got and "=== Filming" not in got
+    assert one(spark, T.plot_section, "== Plot summary ==\nBody here.\n") == "Body here."
+    assert one(spark, T.plot_section, "== Synopsis ==\nBody.\n== Next ==\nx") == "Body."
+    assert one(spark, T.plot_section, "== Cast ==\nNo plot.") is None
+    assert one(spark, T.plot_section, None) is None
+    assert one(spark, T.plot_from_api, "") is None
+    # empty first plot section -> null, later sections not tried
+    assert one(spark, T.plot_section, "== Plot ==\n\n== Synopsis ==\nText\n") is None
+
+
+def test_word_counts(spark):
+    assert one(spark, T.space_token_count, "") == 1
+    assert one(spark, T.space_token_count, "a  b ") == 4
+    assert one(spark, T.word_count, "a b  c\n") == 3
+    assert one(spark, T.word_count, "") == 0
+
+
+def test_prepend_metadata(spark):
+    df = spark.createDataFrame(
+        [("Neo discovers...", "Action, Sci-Fi", 1999, "The Matrix"), ("A story...", "Drama", None, "Unknown"),
+         ("A story...", None, 2020, "Movie")],
+        "plot string, genres string, year int, title string")
+    got = [r[0] for r in df.select(
+        T.prepend_metadata("plot", T.media_type("genres"), "genres", "year", "title")).collect()]
+    assert got == ["Film. Action, Sci-Fi. 1999. The Matrix. Neo discovers...", "Film. Drama. Unknown. A story...",
+                   "Film. 2020. Movie. A story..."]
+    assert one(spark, T.media_type, "Animation|Comedy") == "Animated Film"
+
+
+def test_intent(spark):
+    r = spark.createDataFrame([("I want a scary thriller from the 90s, short and for kids",)], "x string").select(
+        T.parse_intent("x").alias("i")).first()["i"]
+    assert "scary" in r["mood"] and "thriller" in r["genre"] and "90s" in r["era"]
+    assert r["constraints"]["max_duration"] == 90 and r["constraints"]["family_friendly"] is True
+    assert r["constraints"]["mature_only"] is None
+    # raw substring semantics: 'old' inside 'gold'
+    g = spark.createDataFrame([("gold",)], "x string").select(T.parse_intent("x").alias("i")).first()["i"]
+    assert g["era"] == ["classic"]
