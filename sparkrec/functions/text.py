@@ -23,8 +23,10 @@ def py_strip(c) -> Column:
 
 
 def word_count(c) -> Column:
-    """``len(s.split())``: runs of Unicode non-whitespace. Null stays null."""
-    return F.size(F.regexp_extract_all(_c(c), F.lit(r"(?U)\S+"), F.lit(0)))
+    """``len(s.split())``: runs of Unicode non-whitespace. Null stays null.
+    Each run becomes one ``x`` and whitespace is dropped, so the remaining
+    length is the run count (two regex passes, no token array)."""
+    return F.length(F.regexp_replace(F.regexp_replace(_c(c), r"(?U)\S+", "x"), r"(?U)\s+", ""))
 
 
 def space_token_count(c) -> Column:
@@ -82,8 +84,7 @@ def clean_wikitext(c) -> Column:
         x = F.regexp_replace(x, r"\[\[[^\[\]|]*\|([^\[\]]+)\]\]", "$1")
         x = F.regexp_replace(x, r"\[\[([^\[\]|]*)\|?\]\]", "$1")
     x = F.regexp_replace(x, r"<[^>]+>", "")
-    x = F.regexp_replace(x, "'''", "")
-    return F.regexp_replace(x, "''", "")
+    return F.regexp_replace(x, "'''?", "")
 
 
 def plot_section(c) -> Column:
@@ -91,9 +92,11 @@ def plot_section(c) -> Column:
     (case-insensitive), heading lines dropped, stripped, cleaned. An empty
     first plot section gives null; later sections are not tried."""
     c = _c(c)
-    body = F.regexp_extract(c, _PLOT_SECTION, 1)
-    body = py_strip(F.regexp_replace(body, _HEADING_LINE, ""))
-    return F.when(c.rlike(_PLOT_SECTION) & (F.length(body) > 0), clean_wikitext(body))
+    # one pass of the section regex: the whole match always holds the heading,
+    # so an empty match means "no plot section"
+    whole = F.regexp_extract(c, _PLOT_SECTION, 0)
+    body = py_strip(F.regexp_replace(whole, _HEADING_LINE, ""))
+    return F.when((F.length(whole) > 0) & (F.length(body) > 0), clean_wikitext(body))
 
 
 def plot_from_api(c) -> Column:

@@ -19,7 +19,8 @@ from ..operators import consolidate as C
 from ..sources.tables import table
 from . import standins as S
 from .q_text import RAW_IMDB_SQL, api_responses, classify_responses, raw_imdb, wiki_articles
-from .registry import query
+from ..sources.io import materialize
+from .registry import query, stage
 
 # ------------------------------------------------------------------ Spark stand-ins
 
@@ -30,7 +31,8 @@ def articles(spark, d):
 
 
 def plots_raw(spark, d):
-    return B.extract_plots(articles(spark, d))
+    """Stage-1 output, materialised once per query (regex-heavy)."""
+    return stage(("plots_raw", d), lambda: materialize(B.extract_plots(articles(spark, d))))
 
 
 def sitelinks(spark, d):
@@ -67,8 +69,8 @@ def movies_ml(spark, d):
 
 
 def matched(spark, d):
-    return B.join_with_catalog(B.bridge_plots(plots_raw(spark, d), mapping(spark, d)), links(spark, d),
-                               movies_ml(spark, d))
+    return stage(("matched", d), lambda: B.join_with_catalog(B.bridge_plots(plots_raw(spark, d), mapping(spark, d)), links(spark, d),
+                               movies_ml(spark, d)))
 
 
 def unmatched(spark, d):
@@ -79,7 +81,7 @@ def backfill_parts(spark, d):
     """resolved ids, checkpointed successes, new successes, new failures."""
     un = unmatched(spark, d)
     resolved = B.kb_id_lookup(un, mapping(spark, d))
-    resp = classify_responses(api_responses(spark, d))
+    resp = stage(("responses", d), lambda: materialize(classify_responses(api_responses(spark, d))))
     lb = table(spark, d, "labels").select(
         F.concat(F.lit("Doc_"), F.col("doc_id").cast("string")).alias("wiki_title"), "quality")
     fetched = resolved.join(resp, "wiki_title")
