@@ -75,7 +75,8 @@ def clean_wikitext(c) -> Column:
     """Markup to plain text: references, templates (innermost first, bounded
     nesting depth), wikilinks (display text, inner links too), HTML tags and
     bold/italic quotes."""
-    x = _c(c)
+    c = _c(c)
+    x = c
     x = F.regexp_replace(x, r"(?s)<ref[^>]*>.*?</ref>", "")
     x = F.regexp_replace(x, r"<ref[^/]*/\s*>", "")
     for _ in range(TEMPLATE_PASSES):
@@ -84,7 +85,10 @@ def clean_wikitext(c) -> Column:
         x = F.regexp_replace(x, r"\[\[[^\[\]|]*\|([^\[\]]+)\]\]", "$1")
         x = F.regexp_replace(x, r"\[\[([^\[\]|]*)\|?\]\]", "$1")
     x = F.regexp_replace(x, r"<[^>]+>", "")
-    return F.regexp_replace(x, "'''?", "")
+    x = F.regexp_replace(x, "'''?", "")
+    # every pass needs one of these tokens: markup-free text skips the chain
+    has_markup = (F.instr(c, "<") > 0) | (F.instr(c, "{{") > 0) | (F.instr(c, "[[") > 0) | (F.instr(c, "''") > 0)
+    return F.when(has_markup, x).otherwise(c)
 
 
 def plot_section(c) -> Column:
@@ -207,3 +211,17 @@ def parse_intent(c) -> Column:
         match_categories(t, ERA_KEYWORDS).alias("era"),
         constraints.alias("constraints"),
     )
+
+
+def with_plot_section(df, src: str, out: str = "plot_text", *, from_api: bool = False):
+    """DataFrame form of :func:`plot_section` (``from_api``: of
+    :func:`plot_from_api`) that evaluates the section regex once per row: the
+    matched text and the stripped body are separate projections, which Catalyst
+    keeps apart because they are expensive and used several times."""
+    s = F.col(src)
+    d = df.withColumn("_whole", F.regexp_extract(s, _PLOT_SECTION, 0))
+    d = d.withColumn("_body", py_strip(F.regexp_replace("_whole", _HEADING_LINE, "")))
+    ok = (F.length("_whole") > 0) & (F.length("_body") > 0)
+    if from_api:
+        ok = ok & (F.length(s) > 0)
+    return d.withColumn(out, F.when(ok, clean_wikitext(F.col("_body")))).drop("_whole", "_body")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import text as T
+from ..sources.io import materialize
 
 # Knowledge-base classes counted as film / TV (instance-of).
 FILM_TV_CLASSES = [
@@ -44,17 +45,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int, config: Config = DEFAULT) -
 def extract_plots(articles: DataFrame, min_words: int = 20) -> DataFrame:
     """(wiki_title, wikitext) -> (wiki_title, plot_text) for articles whose plot
     section has at least ``min_words`` words. Narrow: no shuffle."""
-    p = articles.where(F.col("wikitext").isNotNull()).select(
-        "wiki_title", T.plot_section("wikitext").alias("plot_text")
-    )
-    return p.where(T.word_count("plot_text") >= min_words)
+    p = T.with_plot_section(articles.where(F.col("wikitext").isNotNull()), "wikitext").select(
+        "wiki_title", "plot_text")
+    # materialised before filtering: a filter on the word count would otherwise
+    # be pushed below the projection and re-run the extraction inside it
+    p = materialize(p.withColumn("_wc", T.word_count("plot_text")))
+    return p.where(F.col("_wc") >= min_words).drop("_wc")
 
 
 def extract_report(articles: DataFrame, min_words: int = 20) -> DataFrame:
     """articles_scanned (null text counted), plots_extracted, extraction_rate %."""
-    plot = T.plot_section("wikitext")
-    ok = F.col("wikitext").isNotNull() & (T.word_count(plot) >= min_words)
-    r = articles.agg(F.count("*").alias("articles_scanned"), F.count_if(ok).alias("plots_extracted"))
+    a = T.with_plot_section(articles, "wikitext", "_plot").withColumn("_wc", T.word_count("_plot"))
+    ok = F.col("wikitext").isNotNull() & (F.col("_wc") >= min_words)
+    r = a.agg(F.count("*").alias("articles_scanned"), F.count_if(ok).alias("plots_extracted"))
     return r.withColumn(
         "extraction_rate", F.col("plots_extracted") / F.greatest(F.col("articles_scanned"), F.lit(1)) * 100
     )

@@ -32,7 +32,7 @@ def articles(spark, d):
 
 def plots_raw(spark, d):
     """Stage-1 output, materialised once per query (regex-heavy)."""
-    return stage(("plots_raw", d), lambda: materialize(B.extract_plots(articles(spark, d))))
+    return stage(("plots_raw", d), lambda: B.extract_plots(articles(spark, d)))
 
 
 def sitelinks(spark, d):

@@ -191,9 +191,8 @@ def wiki_articles(spark, d):
 @query("plot_section")
 def plot_section(spark, d):
     """Plot section of every article; rows without one are kept with null."""
-    a = wiki_articles(spark, d)
-    p = T.plot_from_api("wikitext")
-    return a.select("doc_id", F.md5(p).alias("plot_md5"), T.word_count(p).alias("n_words"))
+    a = T.with_plot_section(wiki_articles(spark, d), "wikitext", "p", from_api=True)
+    return a.select("doc_id", F.md5("p").alias("plot_md5"), T.word_count("p").alias("n_words"))
 
 
 def api_responses(spark, d):
@@ -228,15 +227,16 @@ RESPONSE_SCHEMA = "parse struct<wikitext: struct<`*`: string>>, error struct<cod
 def classify_responses(resp):
     """(title, plot, failure_reason) per response: ``http_N`` for non-200, the
     API error code, ``no_plot_section``, or null on success."""
-    j = F.from_json("body", RESPONSE_SCHEMA)
-    wikitext = F.coalesce(j["parse"]["wikitext"]["*"], F.lit(""))
-    plot = T.plot_from_api(wikitext)
+    r = resp.withColumn("_j", F.from_json("body", RESPONSE_SCHEMA))
+    r = r.withColumn("_wt", F.coalesce(F.col("_j")["parse"]["wikitext"]["*"], F.lit("")))
+    r = T.with_plot_section(r, "_wt", "plot_text", from_api=True)
+    j, plot = F.col("_j"), F.col("plot_text")
     reason = (
         F.when(F.col("status") != 200, F.concat(F.lit("http_"), F.col("status").cast("string")))
         .when(j["error"].isNotNull(), F.coalesce(j["error"]["code"], F.lit("api_error")))
         .when(plot.isNull(), F.lit("no_plot_section"))
     )
-    return resp.select("wiki_title", plot.alias("plot_text"), reason.alias("failure_reason"))
+    return r.select("wiki_title", "plot_text", reason.alias("failure_reason"))
 
 
 @query(
