@@ -41,7 +41,8 @@ class Config:
     mood_history_limit: int = 10
     # execution
     broadcast_limit_bytes: int = 64 * 1024 * 1024
-    search_block_rows: int = 1024
+    search_block_bytes: int = 32 * 1024 * 1024
+    search_min_block_rows: int = 64
 
 
 DEFAULT = Config()
