@@ -25,6 +25,9 @@ def query(name: str, oracle: str | None = None):
 
         @functools.wraps(fn)
         def wrapped(spark, d):
+            from ..session import ship_package
+
+            ship_package(spark)
             token = _CALL.set({})
             try:
                 return fn(spark, d)

@@ -44,3 +44,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sparkrec`` importable in the Python workers of any cluster: zip
+    the package once and add it with ``SparkContext.addPyFile`` (Spark serves
+    it to every executor). Idempotent per SparkContext."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sparkrec_shipped", False):
+        return
+    import zipfile
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="sparkrec-pkg-"), "sparkrec.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._sparkrec_shipped = True
