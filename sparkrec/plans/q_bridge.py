@@ -81,10 +81,11 @@ def backfill_parts(spark, d):
     """resolved ids, checkpointed successes, new successes, new failures."""
     un = unmatched(spark, d)
     resolved = B.kb_id_lookup(un, mapping(spark, d))
-    resp = stage(("responses", d), lambda: materialize(classify_responses(api_responses(spark, d))))
+    # only resolved titles are fetched: join first, classify those responses
+    fetched = stage(("fetched", d), lambda: materialize(
+        classify_responses(resolved.join(api_responses(spark, d), "wiki_title"))))
     lb = table(spark, d, "labels").select(
         F.concat(F.lit("Doc_"), F.col("doc_id").cast("string")).alias("wiki_title"), "quality")
-    fetched = resolved.join(resp, "wiki_title")
     ok = F.col("failure_reason").isNull()
     ckpt = fetched.join(lb.where(F.col("quality") == 0), "wiki_title", "left_semi").where(ok)
     pending = B.resume_pending(fetched, ckpt)

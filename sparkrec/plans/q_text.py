@@ -243,7 +243,8 @@ def classify_responses(resp):
         .when(j["error"].isNotNull(), F.coalesce(j["error"]["code"], F.lit("api_error")))
         .when(plot.isNull(), F.lit("no_plot_section"))
     )
-    return r.select("wiki_title", "plot_text", reason.alias("failure_reason"))
+    keep = [c for c in resp.columns if c not in ("status", "body", "error_type")]
+    return r.select(*keep, "plot_text", reason.alias("failure_reason"))
 
 
 @query(
