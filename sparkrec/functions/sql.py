@@ -9,8 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-_TY = r"(?U)^(.+?)\\s*\\((\\d{4})\\)\\s*$"
-_STRIP = r"regexp_replace({0}, '(?U)^\\s+|\\s+$', '')"
+from .text import _TITLE_YEAR, NON_WS, PY_WHITESPACE, WS
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_TY = _TITLE_YEAR
+_STRIP = "btrim({0}, " + _lit(PY_WHITESPACE) + ")"
+_WC = "length(regexp_replace(regexp_replace({0}, " + _lit(NON_WS + "+") + ", 'x'), " + _lit(WS + "+") + ", ''))"
 
 FUNCTIONS = {
     "normalize_imdb_id": (
@@ -18,20 +25,18 @@ FUNCTIONS = {
         "concat('tt', CASE WHEN length(regexp_replace(x, '^t+', '')) < 7 "
         "THEN lpad(regexp_replace(x, '^t+', ''), 7, '0') ELSE regexp_replace(x, '^t+', '') END)",
     ),
-    "title_year": ("x STRING", "INT", f"try_cast(nullif(regexp_extract(x, '{_TY}', 2), '') AS INT)"),
+    "title_year": ("x STRING", "INT", f"try_cast(nullif(regexp_extract(x, {_lit(_TY)}, 2), '') AS INT)"),
     "title_name": (
         "x STRING", "STRING",
-        f"CASE WHEN x RLIKE '{_TY}' THEN {_STRIP.format(f'regexp_extract(x, {chr(39)}{_TY}{chr(39)}, 1)')} "
-        f"ELSE {_STRIP.format('x')} END",
+        f"CASE WHEN x RLIKE {_lit(_TY)} THEN {_STRIP.replace('{0}', f'regexp_extract(x, {_lit(_TY)}, 1)')} "
+        f"ELSE {_STRIP.replace('{0}', 'x')} END",
     ),
-    "word_count": ("x STRING", "INT",
-                   r"length(regexp_replace(regexp_replace(x, '(?U)\\S+', 'x'), '(?U)\\s+', ''))"),
+    "word_count": ("x STRING", "INT", _WC.replace("{0}", "x")),
     "space_token_count": ("x STRING", "INT", "size(split(x, ' ', -1))"),
     "compute_alpha": (
         "q STRING, has_profile BOOLEAN", "DOUBLE",
         "CASE WHEN q IS NULL THEN (CASE WHEN has_profile THEN 0.2D ELSE 0.0D END) ELSE "
-        "greatest(0.3D, least(0.9D, 1.0D / (1.0D + exp(-(0.3D * "
-        r"length(regexp_replace(regexp_replace(q, '(?U)\\S+', 'x'), '(?U)\\s+', '')) - 1.0D))))) END",
+        "greatest(0.3D, least(0.9D, 1.0D / (1.0D + exp(-(0.3D * " + _WC.replace("{0}", "q") + " - 1.0D))))) END",
     ),
     "vec_dot": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE",
                 "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, v) -> s + v)"),

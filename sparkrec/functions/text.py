@@ -16,17 +16,31 @@ def _c(c) -> Column:
 
 # ---------------------------------------------------------------- whitespace
 
+# The characters Python's str.strip() / str.split() treat as whitespace.
+PY_WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+# End of fixed values.
+
+
+# Java regex character class of exactly that set (Java's (?U)\s lacks \x1c-\x1f).
+WS = "[" + "".join(f"\\x{{{ord(ch):x}}}" for ch in PY_WHITESPACE) + "]"
+NON_WS = "[^" + WS[1:]
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: Unicode whitespace on both ends (``trim`` only
-    removes ASCII spaces)."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    removes ASCII spaces); a character-set trim, no regex."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def word_count(c) -> Column:
     """``len(s.split())``: runs of Unicode non-whitespace. Null stays null.
     Each run becomes one ``x`` and whitespace is dropped, so the remaining
     length is the run count (two regex passes, no token array)."""
-    return F.length(F.regexp_replace(F.regexp_replace(_c(c), r"(?U)\S+", "x"), r"(?U)\s+", ""))
+    return F.length(F.regexp_replace(F.regexp_replace(_c(c), NON_WS + "+", "x"), WS + "+", ""))
 
 
 def space_token_count(c) -> Column:
@@ -44,7 +58,7 @@ def normalize_imdb_id(c) -> Column:
     return F.concat(F.lit("tt"), F.when(F.length(x) < 7, F.lpad(x, 7, "0")).otherwise(x))
 
 
-_TITLE_YEAR = r"(?U)^(.+?)\s*\((\d{4})\)\s*$"
+_TITLE_YEAR = r"(?U)^(.+?)" + WS + r"*\((\d{4})\)" + WS + "*$"
 
 
 def title_name(c) -> Column:

@@ -96,3 +96,11 @@ def test_intent(spark):
     # raw substring semantics: 'old' inside 'gold'
     g = spark.createDataFrame([("gold",)], "x string").select(T.parse_intent("x").alias("i")).first()["i"]
     assert g["era"] == ["classic"]
+
+
+def test_python_whitespace_semantics(spark):
+    # \x1c-\x1f and NBSP are whitespace for str.split()/strip(); Java's (?U)\s lacks \x1c-\x1f
+    s = "a\x1cb\xa0c　 d\x1f"
+    assert one(spark, T.word_count, s) == len(s.split()) == 4
+    assert one(spark, T.py_strip, "\x1f\xa0 x y ") == "x y"
+    assert one(spark, T.title_year, "Name\x1d(1999)\x1e") == 1999
