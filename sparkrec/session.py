@@ -47,21 +47,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``sparkrec`` importable in the Python workers of any cluster: zip
-    the package once and add it with ``SparkContext.addPyFile`` (Spark serves
-    it to every executor). Idempotent per SparkContext."""
+    """Make ``sparkrec`` importable in the Python workers of any cluster: the
+    package is zipped in memory, written once (content-addressed) into the
+    shared ``spark.checkpoint.dir`` and added with ``SparkContext.addPyFile``.
+    Idempotent per SparkContext."""
     sc = spark.sparkContext
     if getattr(sc, "_sparkrec_shipped", False):
         return
+    import hashlib
+    import io
     import zipfile
 
     pkg = os.path.dirname(os.path.abspath(__file__))
-    out = os.path.join(tempfile.mkdtemp(prefix="sparkrec-pkg-"), "sparkrec.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for root, _, files in os.walk(pkg):
-            for f in files:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in sorted(os.walk(pkg)):
+            for f in sorted(files):
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(out)
+                    info = zipfile.ZipInfo(os.path.relpath(full, os.path.dirname(pkg)), (1980, 1, 1, 0, 0, 0))
+                    with open(full, "rb") as fh:
+                        z.writestr(info, fh.read())
+    data = buf.getvalue()
+    digest = hashlib.sha1(data).hexdigest()[:16]
+    target = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sparkrec-pkg/{digest}/sparkrec.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(target)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        out = fs.create(hpath, True)
+        out.write(bytearray(data))
+        out.close()
+    sc.addPyFile(target)
     sc._sparkrec_shipped = True
