@@ -44,7 +44,11 @@ def read_parquet(spark: SparkSession, path: str, schema: StructType | None = Non
     return r.parquet(path)
 
 
-def write_parquet(df: DataFrame, path: str) -> None:
+def write_parquet(df: DataFrame, path: str, sort_by: list[str] | None = None) -> None:
+    """Overwrite ``path``; ``sort_by`` gives a globally sorted table (range
+    partitioning + per-partition sort, no single-task sort)."""
+    if sort_by:
+        df = df.orderBy(*sort_by)
     df.write.mode("overwrite").parquet(path)
 
 

@@ -46,3 +46,20 @@ def test_csv_quoted_titles_and_materialize(spark):
     a = IO.materialize_to(df, out)
     b = IO.materialize_to(df.where(F.lit(False)), out)  # reused, not recomputed
     assert a.count() == b.count() == 1
+
+
+def test_sorted_write_and_encode_report(spark):
+    from sparkrec.operators.encode import encode_distinct, encode_report
+
+    d = tempfile.mkdtemp(prefix="sr-sorted-")
+    df = spark.range(0, 500).select((500 - F.col("id")).alias("movieId")).repartition(7)
+    IO.write_parquet(df, d + "/t", sort_by=["movieId"])
+    back = spark.read.parquet(d + "/t")
+    files = sorted(back.inputFiles())
+    mins = [spark.read.parquet(f).agg(F.min("movieId")).first()[0] for f in files]
+    assert back.count() == 500 and mins == sorted(mins)  # range-partitioned, sorted part files
+    texts = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c")], "id long, text string")
+    enc = encode_distinct(texts, "text")
+    rep = encode_report(enc, model="hashed-bow", index_path="p/index", metadata_path="p/meta").first()
+    assert (rep.total_encoded, rep.embedding_dim, rep.model) == (3, 64, "hashed-bow")
+    assert enc.select("text_key").distinct().count() == 2
