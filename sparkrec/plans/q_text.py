@@ -188,7 +188,15 @@ def wiki_articles(spark, d):
     )
 
 
-@query("plot_section")
+@query(
+    "plot_section",
+    oracle=f"""SELECT doc_id,
+  CASE WHEN lang IN ('en', 'de', 'fr') AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''
+       THEN md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) END AS plot_md5,
+  CASE WHEN lang IN ('en', 'de', 'fr') AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''
+       THEN {_WC} END AS n_words
+FROM documents""",
+)
 def plot_section(spark, d):
     """Plot section of every article; rows without one are kept with null."""
     a = T.with_plot_section(wiki_articles(spark, d), "wikitext", "p", from_api=True)
