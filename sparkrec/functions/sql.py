@@ -17,7 +17,7 @@ def _lit(s: str) -> str:
 
 _TY = _TITLE_YEAR
 _STRIP = "btrim({0}, " + _lit(PY_WHITESPACE) + ")"
-_WC = "length(regexp_replace(regexp_replace({0}, " + _lit(NON_WS + "+") + ", 'x'), " + _lit(WS + "+") + ", ''))"
+_WC = "regexp_count({0}, " + _lit(NON_WS + "+") + ")"
 
 FUNCTIONS = {
     "normalize_imdb_id": (
