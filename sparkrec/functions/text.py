@@ -81,7 +81,8 @@ PLOT_HEADINGS = ("plot", "plot summary", "synopsis")  # fixed values
 _PLOT_SECTION = (
     r"(?ims)^==[ \t]*(?:plot|plot summary|synopsis)[ \t]*==[ \t]*$\n?(.*?)(?=^={1,2}[^=\n]|\z)"
 )
-_HEADING_LINE = r"(?m)^[ \t]*==.*$\n?"
+# a line whose stripped text starts with "==" (Unix lines: only \n ends a line)
+_HEADING_LINE = r"(?dmU)^[\s\x1c-\x1f&&[^\n]]*==[^\n]*\n?"
 _TEMPLATE_INNERMOST = r"(?s)\{\{(?:(?!\{\{|\}\}).)*\}\}"
 TEMPLATE_PASSES = 8
 
@@ -235,8 +236,13 @@ def with_plot_section(df, src: str, out: str = "plot_text", *, from_api: bool =
     keeps apart because they are expensive and used several times."""
     s = F.col(src)
     d = df.withColumn("_whole", F.regexp_extract(s, _PLOT_SECTION, 0))
-    d = d.withColumn("_body", py_strip(F.regexp_replace("_whole", _HEADING_LINE, "")))
+    # the match starts with the heading line: drop it by position, and run the
+    # heading-line regex only on bodies that contain another "=="
+    nl = F.instr("_whole", "\n")
+    d = d.withColumn("_raw", F.when(nl > 0, F.expr("substr(_whole, instr(_whole, '\\n') + 1)")).otherwise(F.lit("")))
+    d = d.withColumn("_body", py_strip(F.when(F.instr("_raw", "==") > 0, F.regexp_replace("_raw", _HEADING_LINE, ""))
+                                       .otherwise(F.col("_raw"))))
     ok = (F.length("_whole") > 0) & (F.length("_body") > 0)
     if from_api:
         ok = ok & (F.length(s) > 0)
-    return d.withColumn(out, F.when(ok, clean_wikitext(F.col("_body")))).drop("_whole", "_body")
+    return d.withColumn(out, F.when(ok, clean_wikitext(F.col("_body")))).drop("_whole", "_raw", "_body")

@@ -104,3 +104,12 @@ def test_python_whitespace_semantics(spark):
     assert one(spark, T.word_count, s) == len(s.split()) == 4
     assert one(spark, T.py_strip, "\x1f\xa0 x y ") == "x y"
     assert one(spark, T.title_year, "Name\x1d(1999)\x1e") == 1999
+
+
+def test_plot_section_df_form_and_heading_lines(spark):
+    arts = ["== Plot ==\r\nA line.\r\n=== Sub ===\r\nMore.\r\n", ARTICLE, "== Plot ==", "== Synopsis ==\n == x\nBody"]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arts)], "i int, w string")
+    got = {r.i: r.p for r in T.with_plot_section(df, "w", "p").collect()}
+    col = {r.i: r.p for r in df.select("i", T.plot_section("w").alias("p")).collect()}
+    assert got[0] == "A line.\r\nMore." and got[2] is None and got[3] == "Body"
+    assert got[1] == col[1]
