@@ -6,6 +6,8 @@ machine-local folder except where the session itself names one (tests).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,10 +16,16 @@ from ..session import ensure_checkpoint_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage: a reliable checkpoint written to the
-    cluster's ``spark.checkpoint.dir`` (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and cut the lineage: the result is written as a parquet
+    table into the cluster's shared ``spark.checkpoint.dir`` and read back.
+
+    One job (a reliable ``checkpoint()`` needs a second job that serialises
+    every row again), columnar files, and readers of the stage get column
+    pruning and statistics. The table survives executor loss."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sparkrec-stages/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def materialize_to(df: DataFrame, path: str) -> DataFrame:
