@@ -81,3 +81,21 @@ def test_profile_stream_equals_batch(spark):
     for u in want:
         assert latest[u].interaction_count == want[u].interaction_count
         assert np.allclose(latest[u].profile_vec, want[u].profile_vec, atol=1e-12)
+
+
+def test_retrain_monitor_foreach_batch(spark):
+    base = tempfile.mkdtemp(prefix="sr-retrain-")
+    rows = [(f"m{i % 5}", T0 + dt.timedelta(hours=i), i) for i in range(30)]
+    df = spark.createDataFrame(rows, "movie_id string, ts timestamp, k long")
+    _write_chunks(df, "ts", 3, base + "/in")
+    catalog = spark.createDataFrame([("none",)], "movie_id string")
+    grads = ST.graduation_stream(ST.read_interactions(spark, base + "/in", "movie_id string, ts timestamp, k long",
+                                                      max_files_per_trigger=1), catalog, order=["ts", "k"], threshold=3)
+    sink = ST.retrain_monitor(grads, base + "/pending", base + "/signal", n=4)
+    q = (grads.writeStream.foreachBatch(sink).option("checkpointLocation", ST.checkpoint_location(spark, "retrain_" + base[-6:]))
+         .trigger(availableNow=True).start())
+    assert q.awaitTermination(240)
+    pending = {r.movie_id for r in spark.read.parquet(base + "/pending").collect()}
+    assert pending == {f"m{i}" for i in range(5)}
+    sig = spark.read.parquet(base + "/signal").first()
+    assert sig.pending_count == 5 and sig.should_retrain
