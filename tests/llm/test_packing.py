@@ -1,0 +1,103 @@
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from sparkrec.llm import packing, tokens
+from sparkrec.llm.q_packing import op5_packing
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return t
+
+
+def check(pieces, rows, tokenizer):
+    ids = {}
+    for d, t in rows:
+        ids.setdefault(d, []).append([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])
+    by_doc, by_seq = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p["doc_id"], []).append(p)
+        by_seq.setdefault(p["sequence_id"], []).append(p)
+    assert set(by_doc) == set(ids)
+    for d, ps in by_doc.items():
+        if len(ids[d]) > 1:  # repeated ids: only their sum can be told
+            assert sum(p["length"] for p in ps) == sum(map(len, ids[d]))
+            continue
+        at = 0
+        for p in sorted(ps, key=lambda p: p["start"]):
+            own = ids[d][0][at:at + p["length"]]
+            assert (p["start"], p["doc_tokens"]) == (at, len(ids[d][0]))
+            assert p["ids_crc32"] == zlib.crc32(np.array(own, dtype="<u4").tobytes())
+            at += p["length"]
+        assert at == len(ids[d][0])
+    padding = total = 0
+    for ps in by_seq.values():
+        at = 0
+        for p in sorted(ps, key=lambda p: p["offset"]):
+            assert p["offset"] == at and p["length"] > 0
+            at += p["length"]
+        assert at <= 1024
+        padding += 1024 - at
+        total += at
+    return padding, total
+
+
+def test_query_is_a_gapless_partition_with_little_padding(spark, sf, tokenizer):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    padding, total = check(op5_packing(spark, sf).collect(), rows, tokenizer)
+    assert padding < 1024 and total > 10_000
+
+
+def test_odd_rows(spark, tables, tokenizer):
+    rows = [(1, None), (2, ""), (3, "x"), (4, "long words " * 9000), (5, "  two  spaces \n\n "), (6, "a<|endoftext|>b"), (7, "same"), (7, "same"), (None, "nobody")]
+    path = tables(documents=("doc_id long, text string, ids string, grp int, start string", [(*r, "x", 1, "y") for r in rows]))
+    check(op5_packing(spark, path).collect(), rows, tokenizer)
+
+
+def test_empty_table(spark, tables):
+    assert op5_packing(spark, tables(documents=("doc_id long, text string", []))).collect() == []
+
+
+def test_first_fit_equals_a_plain_scan():
+    rng = np.random.default_rng(5)
+    sizes = rng.integers(1, 100, 300).tolist()
+    tree, room = packing.FirstFit(len(sizes), 100), [100] * len(sizes)
+    for s in sizes:
+        want = next(i for i, r in enumerate(room) if r >= s)
+        room[want] -= s
+        assert tree.place(s) == want
+
+
+def test_at_most_one_sequence_is_not_full():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 300):
+        sizes = rng.integers(1, 64, n).tolist()
+        bins = packing.pack_sizes(sizes, 64)
+        fill = [sum(p.length for p in b) for b in bins]
+        assert sum(f < 64 for f in fill) <= 1 and sum(fill) == sum(sizes)
+        for r, s in enumerate(sizes):
+            own = sorted((p.start, p.length) for b in bins for p in b if p.row == r)
+            assert own[0][0] == 0 and all(a + l == b for (a, l), (b, _) in zip(own, own[1:])) and sum(own[-1]) == s
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_piecewise_ids_equal_whole_text_ids(name):
+    import random
+
+    js = open(public_tokenizers.path(name)).read()
+    plain = Tokenizer.from_str(js)
+    plain.encode_special_tokens = True
+    rnd = random.Random(1)
+    texts = ["", " ", "  a", "a \n b", "\x01 a \x01", "it's  don't", "end  ", "́a b́ c", "a\x1c b \x85c", "ΑΣ ΣΑΣ."]
+    texts += ["".join(rnd.choice([" ", " ", "a", "b", "'s", "\n", "\t", "1", "é", ".", "\x01", "́", "Z"]) for _ in range(30)) for _ in range(500)]
+    got = tokens.PieceEncoder(js).encode(texts)
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == want
