@@ -1,8 +1,8 @@
 """All queries of this folder, and their DuckDB SQL where SQL can say them."""
 
-from sparkrec.llm import q_langid
+from sparkrec.llm import q_decontam, q_langid, q_packing, q_secrets, q_simhash, q_tokenfile
 
-_MODULES = (q_langid,)
+_MODULES = (q_langid, q_simhash, q_packing, q_tokenfile, q_decontam, q_secrets)
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
