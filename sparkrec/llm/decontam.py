@@ -123,6 +123,14 @@ def contamination(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text:
         F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+                      window: int = 10, shingle: int = 3) -> DataFrame:
+    """The rows of ``docs`` in which no window of an item stands."""
+    keyed = docs.select(F.col(doc).alias("d"), F.xxhash64(text).alias("k"), F.col(text).alias("text"))
+    hit = materialize(spans(keyed, items, ["d", "k"], "text", item, item_text, window, shingle).select("d", "k").distinct())
+    return docs.join(broadcast_if_under(hit, hit.count(), 500_000), docs[doc].eqNullSafe(hit["d"]) & (F.xxhash64(docs[text]) == hit["k"]), "left_anti")
+
+
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
 
 

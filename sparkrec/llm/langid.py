@@ -230,3 +230,12 @@ def language(docs: DataFrame, model: LangModel | None, text: str = "text") -> Co
         return predict_batch([t or "" for t in texts], shared.value)
 
     return run(F.col(text))
+
+
+def keep_identified(docs: DataFrame, model: LangModel | None, text: str = "text", most_phrases: float = 0.6) -> DataFrame:
+    """The rows of ``docs`` that some learned language explains: they have a
+    letter, and (from 20 letters on) at most ``most_phrases`` phrases a letter;
+    text of no learned language falls apart into phrases of a letter or two."""
+    found = docs.withColumn("_lang", language(docs, model, text))
+    fits = (F.col("_lang.letters") < 20) | (F.col("_lang.phrases") <= most_phrases * F.col("_lang.letters"))
+    return found.filter((F.col("_lang.lang") != UNDETERMINED) & fits).select(*docs.columns)

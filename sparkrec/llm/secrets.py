@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrec.llm.common import materialize
+from sparkrec.llm.common import broadcast_if_under, materialize
 
 # Fixed patterns of the contract.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -143,3 +143,13 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     ends = F.concat(F.transform(merged, lambda s: s["a"]), F.array(F.length(text).cast("bigint")))
     kept = F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
     return F.when(F.size(spans) > 0, F.array_join(kept, mask)).otherwise(text)
+
+
+def mask_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", mask: str = "[SECRET]", broadcast_spans: int = 200_000) -> DataFrame:
+    """All rows and columns of ``docs``, every secret of ``text`` masked."""
+    keyed = docs.select(F.col(doc).alias("d"), F.xxhash64(text).alias("k"), F.col(text).alias("t"))
+    found = materialize(spans(keyed, ["d", "k"], "t").groupBy("d", "k").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("_spans")))
+    size = found.agg(F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()[0]
+    side = broadcast_if_under(found, size, broadcast_spans)
+    joined = docs.join(side, docs[doc].eqNullSafe(found["d"]) & (F.xxhash64(docs[text]) == found["k"]), "left")
+    return joined.select(*[F.when(F.col("_spans").isNull(), docs[c]).otherwise(masked(docs[c], F.col("_spans"), mask)).alias(c) if c == text else docs[c] for c in docs.columns])

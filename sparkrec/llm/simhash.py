@@ -35,10 +35,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrec.llm.common import materialize, ship
+from sparkrec.llm.common import broadcast_if_under, materialize, ship
 from sparkrec.llm.graph import components
 
 BITS = 64
+BROADCAST_ROWS = 500_000  # of two numbers each
 _CHUNK = 65_536  # shingles whose bits are unpacked at once
 
 
@@ -258,6 +259,17 @@ def links(fps: DataFrame, max_bits: int = 2, bucket_limit: int = 32) -> DataFram
     return paired.union(hubs)
 
 
+def classes(prints: DataFrame, doc: str = "doc_id", fp: str = "fp", max_bits: int = 2) -> DataFrame:
+    """``(fp, root, component_id)``, one row for each different fingerprint:
+    ``root`` is the smallest fingerprint reachable over links of at most
+    ``max_bits`` bits, ``component_id`` the smallest non-null id of its rows."""
+    distinct = materialize(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc).alias("low")))
+    roots = components(links(distinct.select("fp"), max_bits))
+    joined = materialize(distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
+    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
+    return joined.select("fp", "root").join(lowest, "root").select("fp", "root", "component_id")
+
+
 def near_duplicates(prints: DataFrame, doc: str = "doc_id", fp: str = "fp", max_bits: int = 2) -> DataFrame:
     """``(doc_id, fp, component_id)`` for every row of ``prints(doc_id, fp)``.
 
@@ -266,10 +278,32 @@ def near_duplicates(prints: DataFrame, doc: str = "doc_id", fp: str = "fp", max_
     fingerprints are linked, and so is the zero fingerprint of empty texts.
     Repeated rows stay; an empty table gives an empty result.
     """
-    distinct = materialize(prints.groupBy(F.col(fp).alias("fp")).agg(F.min(doc).alias("low")))
-    roots = components(links(distinct.select("fp"), max_bits))
-    joined = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    joined = materialize(joined)
-    lowest = joined.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = joined.join(lowest, "root").select("fp", "component_id")
+    of = classes(prints, doc, fp, max_bits)
     return prints.select(F.col(doc).alias("doc_id"), F.col(fp).alias("fp")).join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, doc: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs``, one of each class of near-duplicates: that of the
+    smallest id (null ids last, then the smallest hash of the text). Of repeated
+    rows one stays. Columns are those of ``docs``."""
+    own = docs.select(F.col(doc).alias("d"), F.xxhash64(text).alias("k"), fingerprint(docs, text, shingle).alias("fp"))
+    prints = materialize(own)
+    rows = prints.join(classes(prints, "d", "fp", max_bits).select("fp", "root"), "fp").groupBy("root", "d", "k").agg(F.count("*").alias("n"))
+    rows = materialize(rows)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("last"), "d", "k")).alias("w"))
+    judged = rows.join(first, "root").select("d", "k", "n", (F.col("d").eqNullSafe(F.col("w.d")) & (F.col("k") == F.col("w.k"))).alias("stays"))
+    judged = materialize(judged)
+    size = judged.agg(F.count_if(~F.col("stays")).alias("out"), F.count_if(F.col("stays") & (F.col("n") > 1)).alias("twice")).first()
+    key = F.xxhash64(text)
+
+    def at(side: DataFrame):
+        return docs[doc].eqNullSafe(side["d"]) & (key == side["k"])
+
+    out = judged.filter(~F.col("stays"))
+    kept = docs.join(broadcast_if_under(out, size["out"], BROADCAST_ROWS), at(out), "left_anti")
+    if not size["twice"]:
+        return kept
+    twice = judged.filter(F.col("stays") & (F.col("n") > 1)).select(F.col("d").alias("_d"), F.col("k").alias("_k"))
+    same = F.col(doc).eqNullSafe(F.col("_d")) & (key == F.col("_k"))
+    again = kept.join(twice, same, "left_semi").withColumn("_k", key).dropDuplicates([doc, "_k"]).drop("_k")
+    return kept.join(twice, same, "left_anti").unionByName(again)
