@@ -2,16 +2,18 @@
 
 A tokenizer cuts a text into pre-tokens before it merges, so a text may be cut
 at places where a pre-token surely begins and its pieces be encoded apart: the
-ids are the same. Pieces repeat a lot, so their ids are kept in a bounded
-table; new pieces are encoded together in one call and cut apart again.
+ids are the same. Pieces repeat a lot, so their ids are kept in a bounded table.
 
 Which cut is safe is read from the tokenizer file:
 
 * ``spaced`` (byte-level, space belongs to the next word): before a single space
-  between two non-space characters; a token with a leading space starts a piece.
-* ``words`` (white space dropped): at white space; a marker word separates the
-  pieces of one call.
+  or line feed between two non-space characters.
+* ``words`` (white space dropped): at white space.
 * ``whole``: anything else; texts are encoded as they are.
+
+Most pieces are plain: Latin letters, digits and marks. Their pre-tokens are the
+runs of one kind, so these go straight to the tokenizer's merge model, without
+its normaliser and pre-tokenizer, and are kept as well.
 """
 
 from __future__ import annotations
@@ -19,13 +21,20 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
-import numpy as np
-
-_SPACE_RUN = re.compile(r" (?!\S)")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_BLANK = re.compile(r"[ \n\t\r]+")
-_MARK = "\x01"
+_PLAIN = re.compile(r"\n?[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+\Z")  # Latin-1 letters, digits, ASCII marks but the apostrophe
+_RUNS = {"spaced": re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+"), "words": re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")}
+
+
+def byte_letters() -> dict[int, str]:
+    """Letters that stand for bytes in byte-level vocabularies: printable Latin-1
+    bytes stand for themselves, the others for the letters from U+0100 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 def cut_rule(spec: dict) -> str:
@@ -38,77 +47,79 @@ def cut_rule(spec: dict) -> str:
     return "whole"
 
 
+class Kept(dict):
+    """What ``make`` gave for each key asked so far."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class PieceEncoder:
     """``encode(texts)`` -> little-endian unsigned 32-bit ids of each text, as bytes."""
 
-    def __init__(self, tokenizer_json: str, keep: int = 400_000):
+    def __init__(self, tokenizer_json: str, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.keep, self.known = keep, {}
         self.rule = cut_rule(json.loads(tokenizer_json))
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        if self.rule == "spaced":
-            starts = np.zeros(self.vocab_size, dtype=bool)
-            for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-                starts[i] = token.startswith("Ġ")
-            self.starts = starts
-        elif self.rule == "words":
-            self.mark = self._ids([_MARK])[0]
+        self.keep, self.letters, self.merge = keep, byte_letters(), self.tokenizer.model.tokenize
+        self.pieces, self.runs = Kept(self._piece), Kept(self._run)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str]:
+    def _run(self, run: str) -> bytes:
+        """Ids of one pre-token of a plain piece; a space before it is written as in the vocabulary."""
         if self.rule == "words":
-            return [p for p in _BLANK.sub(" ", text).split(" ") if p]
-        # a piece after the first stands for itself with a space before it
-        return _CUT.split(text) if _SPACE_RUN.search(text) else text.split(" ")
-
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _MARK not in p and " " not in p]
-        odd = [p for p in pieces if _MARK in p or " " in p]
-        lead = "" if self.rule == "words" else " "
-        for p, ids in zip(odd, self._ids([lead + p for p in odd])):
-            self.known[p] = ids
-        for at in range(0, len(plain), 20_000):
-            part = plain[at:at + 20_000]
-            if self.rule == "words":
-                ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-                width = len(self.mark) // 4
-                mark = np.frombuffer(self.mark, dtype="<u4")
-                ends = np.nonzero(ids == mark[-1])[0]
-                bounds = [0, *(ends + 1).tolist(), len(ids) + width]
-                cuts = [(a, b - width) for a, b in zip(bounds, bounds[1:])]
-            else:
-                ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-                at_start = np.nonzero(self.starts[ids])[0].tolist()
-                cuts = list(zip(at_start, [*at_start[1:], len(ids)]))
-            if len(cuts) != len(part):  # cannot be told apart: one by one
-                self.known.update(zip(part, self._ids([lead + p for p in part])))
-                continue
-            raw = ids.tobytes()
-            for p, (a, b) in zip(part, cuts):
-                self.known[p] = raw[4 * a:4 * b]
+            run = run.lower()
+        if not run.isascii() or run == "\n":
+            lead = "Ġ" if run[0] == "Ġ" else ""
+            run = lead + run[len(lead):].encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(run)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece as it stands in a text: after a space unless it begins with a line feed."""
+        if not _PLAIN.match(piece):
+            return self._ids([piece if self.rule == "words" or piece[:1] == "\n" else " " + piece])[0]
+        runs = _RUNS[self.rule].findall(piece)
+        if self.rule == "spaced":
+            runs[:0 if piece[0] == "\n" else 1] = ["\n"] if piece[0] == "\n" else ["Ġ" + runs[0]]
+        return b"".join([self.runs[r] for r in runs])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.rule == "whole":
             return self._ids(texts)
-        if len(self.known) > self.keep:
-            self.known.clear()
-        cut = [self._pieces(t) for t in texts]
-        skip = 0 if self.rule == "words" else 1
-        new: set[str] = set()
-        for c in cut:
-            new.update(c[skip:])
-        self._learn([p for p in new if p not in self.known])
-        of = self.known.__getitem__
-        if skip:
-            first = self._ids([c[0] for c in cut])
-            return [f + b"".join(map(of, c[1:])) for f, c in zip(first, cut)]
-        return [b"".join(map(of, c)) for c in cut]
+        if len(self.pieces) + len(self.runs) > self.keep:
+            self.pieces.clear()
+            self.runs.clear()
+        of = self.pieces.__getitem__
+        if self.rule == "words":
+            return [b"".join(map(of, _blank(t).split(" "))) for t in texts]
+        cut = [_CUT.split(t) if _irregular(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        first = self._ids([c[0] for c in cut])
+        return [f + b"".join(map(of, c[1:])) for f, c in zip(first, cut)]
+
+
+def _blank(text: str) -> str:
+    """The text with its ASCII white space as spaces."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+
+def _irregular(text: str) -> bool:
+    """Whether a space or line feed stands beside other white space or at the end."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] in (" ", "\n"):
+        return True
+    if text.isascii():
+        return any(c in text for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+    return _OTHER_SPACE.search(text) is not None
 
 
 _ENCODERS: dict[int, PieceEncoder] = {}
