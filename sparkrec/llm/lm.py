@@ -40,7 +40,7 @@ from sparkrec.llm.tokens import in_parts
 
 HEAD, TAIL, DIM = 1024, 1024, 24  # word classes, hashed classes, vector size
 END = 0  # class of the document end, also the context before the first words
-LOOKUP = 200_000  # words whose counts every worker holds
+LOOKUP = 100_000  # words whose counts every worker holds
 PILOT_DOCS, PILOT_TOKENS, PILOT_ROUNDS = 600, 2_000, 4
 NOISE, BATCH, RATE = 64, 2048, 0.1
 
@@ -150,7 +150,10 @@ def normalised(p: dict) -> Model:
     a2 = (p["r"] * p["c"][1]) @ p["q"].T + p["b"].T
     m1, m2 = a1.max(axis=1, keepdims=True), a2.max(axis=1, keepdims=True)
     z = np.exp(a1 - m1) @ np.exp(a2 - m2).T
-    return Model(a1, a2, np.log(np.maximum(z, 1e-30)) + m1 + m2.T)
+    np.log(np.maximum(z, 1e-30, out=z), out=z)
+    z += m1
+    z += m2.T
+    return Model(a1, a2, z)
 
 
 def token_logs(m: Model, tokens: tuple) -> np.ndarray:
@@ -182,9 +185,9 @@ def count_words(train_docs: DataFrame, text: str) -> DataFrame:
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     """Totals, the commonest words and the class sums of ``counts(word, c)``."""
-    common = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).collect()
-    lookup = {bytes(r["word"]): r["c"] for r in common}
-    head = {bytes(r["word"]): i + 1 for i, r in enumerate(common[:HEAD - 1])}
+    common = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).select("word", "c").toArrow()
+    lookup = dict(zip(common.column(0).to_pylist(), common.column(1).to_pylist()))
+    head = {w: i + 1 for i, w in enumerate(list(lookup)[:HEAD - 1])}
     own = F.crc32(F.when(F.octet_length("word") > 3, F.expr("substring(word, octet_length(word) - 2, 3)")).otherwise(F.col("word"))) % TAIL + HEAD
     sums = counts.groupBy(own.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
     class_count, distinct = np.zeros(HEAD + TAIL), np.zeros(HEAD + TAIL)
@@ -212,8 +215,19 @@ def pilot(train_docs: DataFrame, text: str, vocab: Vocabulary) -> dict:
     return p
 
 
-def fit(train_docs: DataFrame, text: str, vocab: Vocabulary) -> Model:
-    """Averaged noise-contrastive training over all tokens, then the tables."""
+_TABLES: dict[int, Model] = {}
+
+
+def tables(p: dict, key: int) -> Model:
+    """The worker's score tables of the parameters known by ``key``: made once."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = normalised(p)
+    return _TABLES[key]
+
+
+def fit(train_docs: DataFrame, text: str, vocab: Vocabulary) -> dict:
+    """Parameters from averaged noise-contrastive training over all tokens."""
     spark = train_docs.sparkSession
     begin = pilot(train_docs, text, vocab)
     shared = spark.sparkContext.broadcast((begin, vocab.head, vocab.class_count))
@@ -240,7 +254,7 @@ def fit(train_docs: DataFrame, text: str, vocab: Vocabulary) -> Model:
             p["r"][r["row"]], p["q"][r["row"]], p["b"][r["row"]] = v[:DIM], v[DIM:2 * DIM], v[-1]
         else:
             p["c"][r["row"] - n] = v[:DIM]
-    return normalised(p)
+    return {name: p[name] for name in ("r", "q", "c", "b")}
 
 
 def score(docs: DataFrame, train_on: Column, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,13 +270,14 @@ def score(docs: DataFrame, train_on: Column, doc: str = "doc_id", text: str = "t
     train_docs = rows.filter("training").select("text")
     counts = materialize(count_words(train_docs, "text"))
     vocab = vocabulary(counts, train_docs.count())
-    model = fit(train_docs, "text", vocab)
-    shared = spark.sparkContext.broadcast((model, vocab))
+    shared = spark.sparkContext.broadcast((fit(train_docs, "text", vocab), vocab))  # parameters and LOOKUP counts
+    known_as = shared._jbroadcast.id()
     schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
                         ("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
-        m, v = shared.value
+        p, v = shared.value
+        m = tables(p, known_as)
         log_n = np.log10(v.tokens + v.types + 1.0)
         end = np.log10(v.end_count + 1.0)
         logs = {w: (c, float(np.log10(c + 1.0))) for w, c in v.counts.items()}

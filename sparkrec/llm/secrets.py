@@ -147,9 +147,9 @@ def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 
 def mask_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", mask: str = "[SECRET]", broadcast_spans: int = 200_000) -> DataFrame:
     """All rows and columns of ``docs``, every secret of ``text`` masked."""
-    keyed = docs.select(F.col(doc).alias("d"), F.xxhash64(text).alias("k"), F.col(text).alias("t"))
-    found = materialize(spans(keyed, ["d", "k"], "t").groupBy("d", "k").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("_spans")))
+    keyed = docs.select(F.col(doc).alias("_doc"), F.xxhash64(text).alias("_key"), F.col(text).alias("_text"))
+    found = materialize(spans(keyed, ["_doc", "_key"], "_text").groupBy("_doc", "_key").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("_spans")))
     size = found.agg(F.coalesce(F.sum(F.size("_spans")), F.lit(0))).first()[0]
     side = broadcast_if_under(found, size, broadcast_spans)
-    joined = docs.join(side, docs[doc].eqNullSafe(found["d"]) & (F.xxhash64(docs[text]) == found["k"]), "left")
+    joined = docs.join(side, docs[doc].eqNullSafe(found["_doc"]) & (F.xxhash64(docs[text]) == found["_key"]), "left")
     return joined.select(*[F.when(F.col("_spans").isNull(), docs[c]).otherwise(masked(docs[c], F.col("_spans"), mask)).alias(c) if c == text else docs[c] for c in docs.columns])

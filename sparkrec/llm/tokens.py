@@ -48,21 +48,30 @@ def cut_rule(spec: dict) -> str:
 
 
 class Kept(dict):
-    """What ``make`` gave for each key asked so far."""
+    """What ``make`` gave for each key, in two generations: a full one becomes
+    the old one, from which keys still in use move over."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
 
 class PieceEncoder:
     """``encode(texts)`` -> little-endian unsigned 32-bit ids of each text, as bytes."""
 
-    def __init__(self, tokenizer_json: str, keep: int = 500_000):
+    def __init__(self, tokenizer_json: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -71,6 +80,7 @@ class PieceEncoder:
         self.rule = cut_rule(json.loads(tokenizer_json))
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.keep, self.letters, self.merge = keep, byte_letters(), self.tokenizer.model.tokenize
+        self.find = _RUNS[self.rule].findall if self.rule in _RUNS else None
         self.pieces, self.runs = Kept(self._piece), Kept(self._run)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -80,26 +90,33 @@ class PieceEncoder:
         """Ids of one pre-token of a plain piece; a space before it is written as in the vocabulary."""
         if self.rule == "words":
             run = run.lower()
-        if not run.isascii() or run == "\n":
-            lead = "Ġ" if run[0] == "Ġ" else ""
-            run = lead + run[len(lead):].encode().decode("latin-1").translate(self.letters)
+        lead = run[0] == "Ġ"
+        own = run[1:] if lead else run
+        if not own.isascii() or own == "\n":
+            own = own.encode().decode("latin-1").translate(self.letters)
+            run = "Ġ" + own if lead else own
         return array("I", [t.id for t in self.merge(run)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a piece as it stands in a text: after a space unless it begins with a line feed."""
+        if piece.isalpha() and piece.isascii():
+            return self.runs[piece if self.rule == "words" else "Ġ" + piece]
         if not _PLAIN.match(piece):
             return self._ids([piece if self.rule == "words" or piece[:1] == "\n" else " " + piece])[0]
-        runs = _RUNS[self.rule].findall(piece)
+        runs = self.find(piece)
         if self.rule == "spaced":
-            runs[:0 if piece[0] == "\n" else 1] = ["\n"] if piece[0] == "\n" else ["Ġ" + runs[0]]
-        return b"".join([self.runs[r] for r in runs])
+            if piece[0] == "\n":
+                runs.insert(0, "\n")
+            else:
+                runs[0] = "Ġ" + runs[0]
+        of = self.runs
+        return b"".join([of[r] for r in runs])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.rule == "whole":
             return self._ids(texts)
-        if len(self.pieces) + len(self.runs) > self.keep:
-            self.pieces.clear()
-            self.runs.clear()
+        self.pieces.age(self.keep)
+        self.runs.age(self.keep)
         of = self.pieces.__getitem__
         if self.rule == "words":
             return [b"".join(map(of, _blank(t).split(" "))) for t in texts]
