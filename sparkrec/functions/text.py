@@ -6,6 +6,8 @@ Java regex needs ``(?U)`` for Python's Unicode ``\\s``/``\\S``/``\\d`` semantics
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def normalize_imdb_id(c) -> Column:
     return F.concat(F.lit("tt"), F.when(F.length(x) < 7, F.lpad(x, 7, "0")).otherwise(x))
 
 
-_TITLE_YEAR = r"(?U)^(.+?)[\s\x1c-\x1f]*\((\d{4})\)[\s\x1c-\x1f]*$"
+_TITLE_YEAR = r"(?Ud)^(.+?)[\s\x1c-\x1f]*\((\d{4})\)[\s\x1c-\x1f]*$"
 
 
 def title_name(c) -> Column:
@@ -76,32 +78,73 @@ def title_year(c) -> Column:
 
 # ---------------------------------------------------------------- wikitext
 
-PLOT_HEADINGS = ("plot", "plot summary", "synopsis")  # fixed values
+# Section headings that hold a plot; patterns of references.
+PLOT_HEADINGS = ("plot", "plot summary", "synopsis")
+REF_PAIR = r"(?s)<ref[^>]*>.*?</ref>"
+REF_SINGLE = r"<ref[^/]*/\s*>"
+# End of fixed values.
 
+_COMMENT = r"(?:<!--[^\n]*?-->[ \t]*)*"
 _PLOT_SECTION = (
-    r"(?ims)^==[ \t]*(?:plot|plot summary|synopsis)[ \t]*==[ \t]*$\n?(.*?)(?=^={1,2}[^=\n]|\z)"
+    r"(?imsd)^==[ \t]*(?:" + "|".join(PLOT_HEADINGS) + r")[ \t]*==[ \t]*" + _COMMENT + r"\r?$\n?(.*?)(?=^={1,2}[^=\n]|\z)"
 )
 # a line whose stripped text starts with "==" (Unix lines: only \n ends a line)
 _HEADING_LINE = r"(?dmU)^[\s\x1c-\x1f&&[^\n]]*==[^\n]*\n?"
-_TEMPLATE_INNERMOST = r"(?s)\{\{(?:(?!\{\{|\}\}).)*\}\}"
-TEMPLATE_PASSES = 8
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _fold_pairs(x: Column, opening: str, closing: str, inside) -> Column:
+    """Replace every matched ``opening ... closing`` pair of ``x`` (a column or
+    lambda variable), at any depth, by ``inside(content)`` (None: by nothing);
+    unmatched tokens stay.
+
+    One fold over the tokens: ``out`` holds the pieces so far and ``open`` the
+    place in it of each token still unmatched, so a closing token cuts ``out``
+    back to its partner."""
+    pattern = "|".join(re.escape(t) for t in (opening, closing))
+
+    def fold(between: Column) -> Column:
+        found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        tokens = F.zip_with(found, F.slice(between, 2, F.size(between)), lambda t, after: F.struct(t.alias("t"), after.alias("after")))
+        start = F.struct(F.slice(between, 1, 1).alias("out"), F.array().cast("array<int>").alias("open"))
+
+        def step(a: Column, tok: Column) -> Column:
+            top = F.element_at(a["open"], -1)
+            literal = F.concat(a["out"], F.array(tok["t"], tok["after"]))
+            if inside is None:
+                put = F.array(tok["after"])
+            else:
+                put = F.array(_let(F.array_join(F.slice(a["out"], top + 2, F.size(a["out"])), ""), inside), tok["after"])
+            matched = F.struct(F.concat(F.slice(a["out"], F.lit(1), top), put).alias("out"), F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1).alias("open"))
+            opened = F.struct(literal.alias("out"), F.array_append(a["open"], F.size(a["out"])).alias("open"))
+            kept = F.struct(literal.alias("out"), a["open"].alias("open"))
+            return F.when(tok["t"] == opening, opened).when(F.size(a["open"]) > 0, matched).otherwise(kept)
+
+        return F.aggregate(tokens, start, step, lambda a: F.array_join(a["out"], ""))
+
+    return F.when((F.instr(x, opening) > 0) & (F.instr(x, closing) > 0), _let(F.split(x, pattern, -1), fold)).otherwise(x)
+
+
+def _link_text(content: Column) -> Column:
+    """What a wikilink shows: all after the first bar, or the page if that is empty."""
+    bar = F.instr(content, "|")
+    after = F.substring_index(content, "|", 1)
+    shown = F.substr(content, bar + 1)
+    return F.when(bar == 0, content).when(F.length(shown) > 0, shown).otherwise(after)
 
 
 def clean_wikitext(c) -> Column:
-    """Markup to plain text: references, templates (innermost first, bounded
-    nesting depth), wikilinks (display text, inner links too), HTML tags and
-    bold/italic quotes."""
+    """Markup to plain text: references, templates and wikilinks (display text,
+    links in link texts too) at any depth, HTML tags and bold/italic quotes."""
     c = _c(c)
-    x = c
-    x = F.regexp_replace(x, r"(?s)<ref[^>]*>.*?</ref>", "")
-    x = F.regexp_replace(x, r"<ref[^/]*/\s*>", "")
-    for _ in range(TEMPLATE_PASSES):
-        x = F.regexp_replace(x, _TEMPLATE_INNERMOST, "")
-    for _ in range(2):
-        x = F.regexp_replace(x, r"\[\[[^\[\]|]*\|([^\[\]]+)\]\]", "$1")
-        x = F.regexp_replace(x, r"\[\[([^\[\]|]*)\|?\]\]", "$1")
-    x = F.regexp_replace(x, r"<[^>]+>", "")
-    x = F.regexp_replace(x, "'''?", "")
+    x = F.regexp_replace(F.regexp_replace(c, REF_PAIR, ""), REF_SINGLE, "")
+    x = _let(x, lambda v: _fold_pairs(v, "{{", "}}", None))
+    x = _let(x, lambda v: _fold_pairs(v, "[[", "]]", _link_text))
+    x = F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", ""), "'''?", "")
     # every pass needs one of these tokens: markup-free text skips the chain
     has_markup = (F.instr(c, "<") > 0) | (F.instr(c, "{{") > 0) | (F.instr(c, "[[") > 0) | (F.instr(c, "''") > 0)
     return F.when(has_markup, x).otherwise(c)

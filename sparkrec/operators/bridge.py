@@ -34,22 +34,23 @@ def side_by_side(*one_row: DataFrame) -> DataFrame:
     return out
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int, config: Config = DEFAULT) -> DataFrame:
-    """Broadcast hint only when the counted row count is within ``max_rows``;
-    otherwise let the planner shuffle (exact either way)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """Broadcast hint only when the counted bytes of a one-column string table are
+    within the limit; otherwise let the planner shuffle (exact either way)."""
+    size = df.agg(F.coalesce(F.sum(F.octet_length(df.columns[0]) + 16), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= config.broadcast_limit_bytes else df
 
 
 # ------------------------------------------------------------------ stage 1
 
 def extract_plots(articles: DataFrame, min_words: int = 20) -> DataFrame:
     """(wiki_title, wikitext) -> (wiki_title, plot_text) for articles whose plot
-    section has at least ``min_words`` words. Narrow: no shuffle."""
+    section has at least ``min_words`` words. No shuffle; plots are written once."""
     p = T.with_plot_section(articles.where(F.col("wikitext").isNotNull()), "wikitext").select(
         "wiki_title", "plot_text")
     # materialised before filtering: a filter on the word count would otherwise
     # be pushed below the projection and re-run the extraction inside it
-    p = materialize(p.withColumn("_wc", T.word_count("plot_text")))
+    p = materialize(p.where(F.col("plot_text").isNotNull()).withColumn("_wc", T.word_count("plot_text")))
     return p.where(F.col("_wc") >= min_words).drop("_wc")
 
 

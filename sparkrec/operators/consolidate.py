@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.io import materialize
 from .bridge import broadcast_if_small, normalized_links, side_by_side
 
 COMMON_COLS = ["movieId", "imdbId", "title", "year", "plot_text", "genres", "plot_source"]
@@ -13,16 +14,24 @@ SOURCE_DUMP, SOURCE_API = "wiki_dump", "wikipedia_api"  # fixed values
 NO_GENRES = "(no genres listed)"  # fixed value
 
 
+def _common(df: DataFrame, source: str, other: DataFrame) -> DataFrame:
+    """The common columns of one source; a column it lacks is a null of the other's type."""
+    def column(name):
+        if name == "plot_source":
+            return F.lit(source).alias(name)
+        if name in df.columns:
+            return F.col(name)
+        return F.lit(None).cast(other.schema[name].dataType if name in other.columns else "string").alias(name)
+
+    return df.select(*[column(c) for c in COMMON_COLS])
+
+
 def consolidate(dump_matched: DataFrame, backfill: DataFrame) -> DataFrame:
     """Union (missing columns -> null, ints widened) and keep one row per
     movieId, preferring ``wiki_dump`` over ``wikipedia_api`` (source name order);
     ties inside a source are broken by imdbId, plot_text. Adds ``plot_length``
     (tokens split on a single space)."""
-    a = dump_matched.withColumn("plot_source", F.lit(SOURCE_DUMP))
-    b = backfill.withColumn("plot_source", F.lit(SOURCE_API))
-    a = a.select([c for c in COMMON_COLS if c in a.columns])
-    b = b.select([c for c in COMMON_COLS if c in b.columns])
-    u = a.unionByName(b, allowMissingColumns=True)
+    u = _common(dump_matched, SOURCE_DUMP, backfill).unionByName(_common(backfill, SOURCE_API, dump_matched))
     w = Window.partitionBy("movieId").orderBy("plot_source", "imdbId", "plot_text")
     first = u.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     return first.withColumn("plot_length", T.space_token_count("plot_text"))
@@ -73,20 +82,19 @@ def length_quantiles(final: DataFrame, col: str = "plot_length") -> DataFrame:
                       for c in ["min", "p25", "median", "p75", "max"]])
 
 
-def genre_coverage(final: DataFrame, movies: DataFrame, max_vocab: int = 100_000) -> DataFrame:
+def genre_coverage(final: DataFrame, movies: DataFrame) -> DataFrame:
     """Per genre of the vocabulary (tokens of ``genres`` split on ``|``, minus the
     placeholder): movies whose genres *contain* the genre (regex), and how many
-    of them have a plot. Genres with zero total are dropped."""
-    vocab = (
-        movies.where(F.col("genres").isNotNull())
-        .select(F.explode(F.split("genres", r"\|")).alias("genre"))
-        .where(F.col("genre") != NO_GENRES)
-        .distinct()
-    )
-    vocab = broadcast_if_small(vocab, max_vocab)
-    tot = movies.join(vocab, F.expr("genres rlike genre")).groupBy("genre").agg(F.count("*").alias("total"))
-    mat = final.join(vocab, F.expr("genres rlike genre")).groupBy("genre").agg(F.count("*").alias("matched"))
-    r = tot.join(mat, "genre", "left").select("genre", F.coalesce("matched", F.lit(0)).alias("matched"), "total")
+    of them have a plot. Genres with zero total are dropped.
+
+    Both tables are counted by their genres string first, so the regex join meets
+    distinct strings only, however many movies share them."""
+    total = movies.where(F.col("genres").isNotNull()).groupBy("genres").agg(F.count("*").alias("t"))
+    matched = final.where(F.col("genres").isNotNull()).groupBy("genres").agg(F.count("*").alias("m"))
+    lists = materialize(total.join(matched, "genres", "full").select("genres", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("m", F.lit(0)).alias("m")))
+    vocab = lists.where("t > 0").select(F.explode(F.split("genres", r"\|")).alias("genre")).where(F.col("genre") != NO_GENRES).distinct()
+    vocab = broadcast_if_small(vocab)
+    r = lists.join(vocab, F.expr("genres rlike genre")).groupBy("genre").agg(F.sum("m").alias("matched"), F.sum("t").alias("total"))
     return r.where(F.col("total") > 0).withColumn("match_pct", F.col("matched") / F.col("total") * 100)
 
 

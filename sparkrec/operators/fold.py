@@ -1,6 +1,6 @@
-"""Order-dependent vector folds (profile EMA, mood EMA, feedback EMA).
+"""Order-dependent vector folds (profile EMA, feedback EMA) and the mood EMA.
 
-Each step normalises the running vector, so the folds are neither associative
+Each step of a profile normalises the running vector, so these folds are neither associative
 nor mergeable: no partial aggregation exists. The layout that still scales:
 hash-partition by key, ``sortWithinPartitions(key, order...)`` (external sort,
 spills), then one ``mapInPandas`` pass that streams the sorted Arrow batches
@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..session import ship_package
 
 
 def _sorted(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    ship_package(df.sparkSession)
     return df.repartition(key).sortWithinPartitions(key, *order)
 
 
@@ -127,33 +129,25 @@ def mood_states(df: DataFrame, *, key: str = "session_id", order: list[str], vec
     """Session mood after every mood message: ``0.7*new + 0.3*old`` while the
     previous mood is still live (``ts - last_set < ttl``, strict), else the new
     vector. Every set renews the TTL. One row per message:
-    ``key, event_id, ts, mood_vec array<double>, chain_len``."""
+    ``key, event_id, ts, mood_vec array<double>, chain_len``.
+
+    The update is not normalised, so it is affine: a message ``j`` places back
+    weighs ``bf * (1-bf)**j``. Chains (messages less than the TTL apart) are
+    numbered by a window over the gaps, and a mood is the fold of its chain's last
+    messages, as far back as their weight is above ``1e-30`` (57 at the default):
+    a bounded frame, where the whole chain would be a serial scan.
+    """
     ttl_us, bf = config.mood_ttl_seconds * 1_000_000, config.mood_blend_factor
-    ktype = df.schema[key].dataType.simpleString()
-    df = df.withColumn("_us", F.unix_micros(F.col(time_col).cast("timestamp")))
-
-    def run(batches):
-        cur, v, last, chain = None, None, None, 0
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            keys, ids, m = pdf[key].to_numpy(), pdf[event_id].to_numpy(), _rows(pdf, vec)
-            secs = pdf["_us"].to_numpy(np.int64)
-            out_vec, out_chain = [], []
-            for i in range(len(pdf)):
-                if cur is None or keys[i] != cur:
-                    cur, v, last, chain = keys[i], None, None, 0
-                if v is not None and secs[i] - last < ttl_us:
-                    v = bf * m[i] + (1.0 - bf) * v
-                    chain += 1
-                else:
-                    v = m[i].copy()
-                    chain = 1
-                last = secs[i]
-                out_vec.append(v.tolist())
-                out_chain.append(chain)
-            yield pd.DataFrame({key: keys, event_id: ids, time_col: pdf[time_col], "mood_vec": out_vec,
-                                "chain_len": out_chain})
-
-    schema = f"{key} {ktype}, {event_id} long, {time_col} timestamp, mood_vec array<double>, chain_len long"
-    return _sorted(df, key, order).mapInPandas(run, schema)
+    us = F.unix_micros(F.col(time_col).cast("timestamp"))
+    by = Window.partitionBy(key).orderBy(*order)
+    starts = (F.lag("_us").over(by).isNull() | (F.col("_us") - F.lag("_us").over(by) >= ttl_us)).cast("int")
+    m = df.select(key, event_id, time_col, *[c for c in order if c not in (key, event_id, time_col)], F.col(vec).cast("array<double>").alias("_v"), us.alias("_us"))
+    m = m.withColumn("_chain", F.sum(starts).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    m = m.withColumn("chain_len", F.row_number().over(Window.partitionBy(key, "_chain").orderBy(*order)).cast("long"))
+    look = max(1, int(-(-np.log(1e-30) // np.log(1.0 - bf)))) if 0.0 < bf < 1.0 else 1
+    near = Window.partitionBy(key, "_chain").orderBy(*order).rowsBetween(-look, 0)
+    rows = m.withColumn("_near", F.collect_list("_v").over(near))
+    whole = F.size("_near") == F.col("chain_len")  # the chain's first message is in sight: its weight is not multiplied by bf
+    first = F.when(whole, F.col("_near")[0]).otherwise(F.transform(F.col("_near")[0], lambda x: x * bf))
+    mixed = F.aggregate(F.slice("_near", 2, F.size("_near")), first, lambda a, v: F.zip_with(a, v, lambda x, y: F.lit(bf) * y + F.lit(1.0 - bf) * x))
+    return rows.select(key, event_id, time_col, mixed.alias("mood_vec"), "chain_len")

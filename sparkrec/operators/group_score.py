@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from .search import spread_pairs
+from ..session import ship_package
 
 
 def _within_group_blocks(df: DataFrame, group: str, key: str, rows: int, payload: list[str], prefix: str) -> DataFrame:
@@ -30,7 +30,7 @@ def _within_group_blocks(df: DataFrame, group: str, key: str, rows: int, payload
     nb = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(rows)))
     b = df.join(sizes, group).withColumn(f"_{prefix}blk", F.pmod(F.xxhash64(key), nb))
     g = b.groupBy(group, f"_{prefix}blk").agg(F.collect_list(F.struct(key, *payload)).alias("_r"))
-    return g.select(group, *[F.col("_r")[c].alias(f"{prefix}_{c}") for c in [key, *payload]])
+    return g.select(group, f"_{prefix}blk", *[F.col("_r")[c].alias(f"{prefix}_{c}") for c in [key, *payload]])
 
 
 def _stack(vs, mask):
@@ -73,7 +73,7 @@ def _score_blocks(pdfs):
 
 def group_fairness_scores(members: DataFrame, candidates: DataFrame, k: int, *, fairness_lambda: float,
                           config: Config = DEFAULT) -> DataFrame:
-    """members: ``group_id, user_id, alpha double, v array<double> (nullable),
+    """members: ``group_id`` (any type)``, user_id, alpha double, v array<double> (nullable),
     top array<struct<movie_id long, score double>> (nullable)``; candidates:
     ``group_id, movie_id, e array (nullable)``. Returns ``group_id, movie_id,
     mean, std, score, rank`` for the top ``k`` per group."""
@@ -83,10 +83,13 @@ def group_fairness_scores(members: DataFrame, candidates: DataFrame, k: int, *,
                               F.col("top.score").alias("top_scores"))
     mb = _within_group_blocks(members, "group_id", "user_id", rows, ["alpha", "v", "top_ids", "top_scores"], "m")
     cb = _within_group_blocks(candidates, "group_id", "movie_id", rows, ["e"], "c")
-    pairs = mb.join(cb, "group_id")
-    par = members.sparkSession.sparkContext.defaultParallelism
-    parts = spread_pairs(pairs, 4 * par).mapInPandas(
-        _score_blocks, "group_id long, movie_id long, n long, mean double, m2 double")
+    # the blocks of a large group are dealt by block as well, so that one group is
+    # not one task: the member blocks meet every candidate block's number
+    meet = cb.select("group_id", F.col("_cblk")).withColumnRenamed("_cblk", "_meet")
+    pairs = mb.drop("_mblk").join(meet, "group_id").join(cb.withColumnRenamed("_cblk", "_meet"), ["group_id", "_meet"])
+    ship_package(members.sparkSession)
+    parts = pairs.mapInPandas(
+        _score_blocks, f"group_id {members.schema['group_id'].dataType.simpleString()}, movie_id long, n long, mean double, m2 double")
     # Chan merge of (n, mean, M2) partials per (group, candidate)
     tot = parts.groupBy("group_id", "movie_id").agg(
         F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))

@@ -25,7 +25,7 @@ def mood_asof(feedback: DataFrame, moods: DataFrame, *, key: str = "session_id",
         F.col("event_id").alias("_mid"),
     )
     u = f.unionByName(m, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(time_col, "_kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(key).orderBy(time_col, "_kind", F.coalesce("event_id", "_mid")).rowsBetween(Window.unboundedPreceding, 0)
     u = u.select(
         "*",
         F.last("_mv", ignorenulls=True).over(w).alias("_lmv"),

@@ -18,7 +18,7 @@ from ..operators import bridge as B
 from ..operators import consolidate as C
 from ..sources.tables import table
 from . import standins as S
-from .q_text import RAW_IMDB_SQL, api_responses, classify_responses, raw_imdb, wiki_articles
+from .q_text import PLOT_BODY, PLOT_WORDS, RAW_IMDB_SQL, api_responses, classify_responses, raw_imdb, wiki_articles
 from ..sources.io import materialize
 from .registry import query, stage
 
@@ -125,9 +125,8 @@ def YEAR_SQL(x: str) -> str:
 
 
 BASE = f"""
-art AS (SELECT doc_id, 'Doc_' || doc_id AS wiki_title, lang, text FROM documents),
-plots AS (SELECT wiki_title, {STRIP.format('text')} AS plot_text FROM art
-          WHERE lang IN ('en', 'de', 'fr') AND len(regexp_extract_all(text, '[^\\s]+')) >= 20),
+art AS (SELECT doc_id, 'Doc_' || doc_id AS wiki_title, lang, text, source FROM documents),
+plots AS (SELECT wiki_title, {PLOT_BODY} AS plot_text FROM art WHERE lang IN ('en', 'de', 'fr') AND {PLOT_WORDS} >= 20),
 sl AS (SELECT 'Q' || doc_id AS item, 'Doc_' || doc_id AS title, 'enwiki' AS wiki FROM labels),
 st AS (SELECT 'Q' || doc_id AS item, 'P345' AS prop, {NORM_ID.format('CAST(doc_id * 7919 AS VARCHAR)')} AS value FROM labels
        UNION ALL

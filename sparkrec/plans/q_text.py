@@ -173,28 +173,39 @@ def clean_markup(spark, d):
     )
 
 
+# What is left of a plot body of :func:`wiki_articles`: its "{{open ... }}" is a
+# template over the sub-section, whose heading line goes first; "{ ]]" stays.
+PLOT_BODY = "'Lead ' || source || ' ' || text || ' { ]]'"
+PLOT_WORDS = f"CAST(len(regexp_extract_all({PLOT_BODY}, '[^\\s]+')) AS INTEGER)"
+
+
 def wiki_articles(spark, d):
-    """Documents as article wikitext: heading by language (en Plot, de Plot
-    summary, fr Synopsis, es Reception = no plot section)."""
+    """Documents as article wikitext: several sections, the plot heading by
+    language (en Plot with a comment behind it, de Plot summary, fr Synopsis, es
+    none), and in every body references, templates and links nested to a depth
+    that grows with the document id, quotes, tags and a sub-section."""
     docs = table(spark, d, "documents")
     heading = (
-        F.when(F.col("lang") == "en", "Plot")
-        .when(F.col("lang") == "de", "Plot summary")
-        .when(F.col("lang") == "fr", "Synopsis")
-        .otherwise("Reception")
+        F.when(F.col("lang") == "en", "== Plot == <!-- checked -->\n")
+        .when(F.col("lang") == "de", "==Plot summary==\n")
+        .when(F.col("lang") == "fr", "== SYNOPSIS ==\t\n")
+        .otherwise("== Reception ==\n")
     )
+    depth = (F.pmod("doc_id", F.lit(20)) + 1).cast("int")
+    nested = F.concat(F.repeat(F.lit("{{t|"), depth), "source", F.repeat(F.lit("}}"), depth))
+    links = F.concat(F.repeat(F.lit("[[p|"), depth), "source", F.repeat(F.lit("]]"), depth))
+    body = F.concat(F.lit("'''Lead''' "), nested, links, F.lit("<ref name=\"r\">note {{x}}</ref> <ref name=r /><br>"), "text",
+                    F.lit(" {{open [[Page]] [[Page|]] ''end''\n=== Sub ===\nmore }}{ ]]\n"))
     return docs.select(
-        "doc_id", F.concat(F.lit("== "), heading, F.lit(" ==\n"), F.col("text")).alias("wikitext"), "lang"
+        "doc_id", F.concat(F.lit("Intro {{Infobox|a={{b}}}}.\n\n== Cast ==\n* [[A|B]]\n\n"), heading, body, F.lit("\n== Production ==\nNot plot.\n")).alias("wikitext"), "lang"
     )
 
 
 @query(
     "plot_section",
     oracle=f"""SELECT doc_id,
-  CASE WHEN lang IN ('en', 'de', 'fr') AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''
-       THEN md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) END AS plot_md5,
-  CASE WHEN lang IN ('en', 'de', 'fr') AND regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> ''
-       THEN {_WC} END AS n_words
+  CASE WHEN lang IN ('en', 'de', 'fr') THEN md5({PLOT_BODY}) END AS plot_md5,
+  CASE WHEN lang IN ('en', 'de', 'fr') THEN {PLOT_WORDS} END AS n_words
 FROM documents""",
 )
 def plot_section(spark, d):
@@ -212,7 +223,7 @@ def api_responses(spark, d):
             F.struct(
                 F.struct(
                     F.concat(
-                        F.when(F.col("lang") == "en", F.lit("== Plot ==\n")).otherwise(F.lit("== Reception ==\n")),
+                        F.when(F.col("lang") == "en", F.lit("== Plot ==<!-- x -->\n{{a|{{b}}}}")).otherwise(F.lit("== Reception ==\n")),
                         F.col("text"),
                     ).alias("*")
                 ).alias("wikitext")

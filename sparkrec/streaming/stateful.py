@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..config import DEFAULT, Config
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 
 def checkpoint_location(spark: SparkSession, name: str) -> str:
@@ -44,6 +44,7 @@ def graduation_stream(interactions: DataFrame, catalog: DataFrame, *, movie: str
                       time_col: str = "ts") -> DataFrame:
     """Emits ``movie, graduated_at, interaction_count`` once, when a movie
     outside the (static) catalogue reaches ``threshold`` interactions."""
+    ship_package(interactions.sparkSession)
     x = interactions.join(catalog.select(movie), movie, "left_anti")
     mtype = x.schema[movie].dataType.simpleString()
 
@@ -73,6 +74,7 @@ def mood_stream(messages: DataFrame, *, key: str = "session_id", vec: str = "moo
                 event_id: str = "event_id", watermark: str = "1 hour", config: Config = DEFAULT) -> DataFrame:
     """Session mood after each message (EMA while the previous mood is live,
     strict TTL). State: vector, last set time; freed by event-time timeout."""
+    ship_package(messages.sparkSession)
     ttl_us, bf = config.mood_ttl_seconds * 1_000_000, config.mood_blend_factor
     m = messages.withWatermark(time_col, watermark).withColumn("_us", F.unix_micros(F.col(time_col).cast("timestamp")))
     ktype = m.schema[key].dataType.simpleString()
@@ -109,6 +111,7 @@ def profile_stream(rated: DataFrame, *, key: str = "user_id", order: list[str],
                    vec: str = "embedding", config: Config = DEFAULT) -> DataFrame:
     """Rating-driven profile; emits the updated profile of every user touched
     by a micro-batch (the latest row per user is the current profile)."""
+    ship_package(rated.sparkSession)
     decay, base_lr, slow = config.profile_decay, config.profile_learning_rate, config.profile_lr_slowdown
     ktype = rated.schema[key].dataType.simpleString()
 
@@ -138,13 +141,19 @@ def profile_stream(rated: DataFrame, *, key: str = "user_id", order: list[str],
 # ------------------------------------------------------------------ retrain signal
 
 def retrain_monitor(graduations: DataFrame, pending_path: str, signal_path: str,
-                    n: int = DEFAULT.retrain_on_graduation_count):
-    """``foreachBatch`` sink: append new graduations to the pending table and
-    rewrite the one-row retrain signal (pending count >= n)."""
+                    n: int = DEFAULT.retrain_on_graduation_count, completed_path: str | None = None):
+    """``foreachBatch`` sink: each epoch's graduations overwrite that epoch's
+    partition of the pending table, so a replayed epoch changes nothing, and the
+    one-row retrain signal counts the distinct pending movies that are not in the
+    completed table yet."""
+    movie = graduations.columns[0]
+
     def sink(batch: DataFrame, epoch_id: int):
-        batch.write.mode("append").parquet(pending_path)
         spark = batch.sparkSession
-        pend = spark.read.parquet(pending_path)
+        batch.write.mode("overwrite").parquet(f"{pending_path.rstrip('/')}/epoch={epoch_id}")
+        pend = spark.read.option("basePath", pending_path).parquet(pending_path).select(movie).distinct()
+        if completed_path is not None:
+            pend = pend.join(spark.read.parquet(completed_path).select(movie), movie, "left_anti")
         sig = pend.agg(F.count("*").alias("pending_count")).withColumn(
             "should_retrain", F.col("pending_count") >= F.lit(n)).withColumn("epoch_id", F.lit(epoch_id))
         sig.write.mode("overwrite").parquet(signal_path)

@@ -6,7 +6,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
 
-ROWS_ONLY = {"seq_encode", "als_topk", "expand_items", "text_dedup_encode"}
+ROWS_ONLY = {"als_topk"}
 
 
 def test_registry_consistency():

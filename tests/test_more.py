@@ -49,8 +49,16 @@ def test_training_sequences_window_and_negatives(spark):
     seqs = {r.pos: r for r in Q.training_sequences(df, order=["ts"], max_len=50).collect()}
     assert seqs[2].item_seq == [0] and seqs[60].item_seq == list(range(9, 59)) and seqs[60].item_seq_len == 50
     neg = Q.sample_negatives(Q.training_sequences(df, order=["ts"]), df, 100).collect()
-    assert all(r.neg_item is None or (r.neg_item >= 60 and r.neg_item < 100) for r in neg)
-    assert sum(r.neg_item is not None for r in neg) == len(neg)
+    assert all(60 <= r.neg_item < 100 for r in neg) and len(neg) == 59
+
+
+def test_negatives_are_exact(spark):
+    # the user owns the first eight candidates of every row, and all items but one
+    t0 = dt.datetime(2024, 1, 1)
+    have = spark.createDataFrame([(1, i, t0) for i in range(50) if i != 33] + [(2, i, t0) for i in range(50)], "user_id long, item_id long, ts timestamp")
+    rows = spark.createDataFrame([(1, 2), (1, 3), (2, 2)], "user_id long, pos long")
+    got = {(r.user_id, r.pos): r.neg_item for r in Q.sample_negatives(rows, have, 50).collect()}
+    assert got == {(1, 2): 33, (1, 3): 33, (2, 2): None}
 
 
 def test_ranking_metrics_values(spark):
@@ -66,8 +74,9 @@ def test_logsumexp_matches_numpy(spark):
     q, it = rng.normal(size=(9, 5)), rng.normal(size=(23, 5)) * 3
     qdf = spark.createDataFrame([(i, q[i].tolist()) for i in range(9)], "user_id long, user_vec array<double>")
     idf = spark.createDataFrame([(j, it[j].tolist()) for j in range(23)], "movie_id long, embedding array<double>")
-    cfg = Config(search_block_bytes=5 * 8 * 4, search_min_block_rows=2)  # several blocks per side
+    cfg = Config(search_block_bytes=5 * 8 * 4, broadcast_limit_bytes=0)  # several blocks per side
     got = {r.user_id: r.lse for r in Q.logsumexp_scores(qdf, idf, config=cfg).collect()}
+    assert got.keys() == {r.user_id for r in Q.logsumexp_scores(qdf, idf).collect()}
     s = q @ it.T
     want = s.max(1) + np.log(np.exp(s - s.max(1, keepdims=True)).sum(1))
     assert all(abs(got[i] - want[i]) < 1e-9 for i in range(9))

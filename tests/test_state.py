@@ -79,3 +79,23 @@ def test_graduation_threshold_and_catalog(spark):
     assert [(r.movie_id, r.graduated_at, r.interaction_count) for r in got] == [("m1", "2024-01-03", 5)]
     sig = G.retrain_signal(G.graduations(df, catalog, order=["ts"], threshold=1), 1).first()
     assert sig.pending_count == 1 and sig.should_retrain
+
+
+def test_asof_does_not_depend_on_input_order(spark):
+    moods = [(7, 5, T0, [1.0, 0.0]), (7, 6, T0, [0.0, 1.0])]
+    fb = spark.createDataFrame([(7, 10, T0)], "session_id long, event_id long, ts timestamp")
+    for rows in (moods, moods[::-1]):
+        m = spark.createDataFrame(rows, "session_id long, event_id long, ts timestamp, mood_vec array<double>")
+        assert mood_asof(fb, m).first().mood_event_id == 6
+
+
+def test_long_mood_chain_equals_the_loop(spark):
+    rng = np.random.default_rng(8)
+    vecs = rng.normal(size=(200, 3))
+    rows = [(1, i, T0 + dt.timedelta(seconds=60 * i), vecs[i].tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "session_id long, event_id long, ts timestamp, mood_vec array<double>")
+    got = {r.event_id: r for r in FO.mood_states(df, order=["ts", "event_id"]).collect()}
+    v = None
+    for i in range(200):
+        v = vecs[i] if v is None else 0.7 * vecs[i] + 0.3 * v
+        assert got[i].chain_len == i + 1 and np.allclose(got[i].mood_vec, v, atol=1e-14)

@@ -99,3 +99,12 @@ def test_retrain_monitor_foreach_batch(spark):
     assert pending == {f"m{i}" for i in range(5)}
     sig = spark.read.parquet(base + "/signal").first()
     assert sig.pending_count == 5 and sig.should_retrain
+    # a replayed epoch changes nothing; completed movies no longer count
+    rows = [r.asDict() for r in spark.read.parquet(base + "/pending/epoch=0").collect()]
+    one = spark.createDataFrame([tuple(r.values()) for r in rows], "movie_id string, graduated_at string, interaction_count long")
+    sink(one, 0)
+    assert spark.read.parquet(base + "/signal").first().pending_count == 5
+    spark.createDataFrame([("m0",)], "movie_id string").write.parquet(base + "/completed")
+    ST.retrain_monitor(grads, base + "/pending", base + "/signal", n=5, completed_path=base + "/completed")(one, 0)
+    sig = spark.read.parquet(base + "/signal").first()
+    assert sig.pending_count == 4 and not sig.should_retrain

@@ -38,6 +38,23 @@ def test_clean_markup(spark):
         assert one(spark, T.clean_wikitext, src) == want
 
 
+def test_markup_at_any_depth(spark):
+    cases = {
+        "[[File:a|[[b|[[c|d]] e]] f]]": "d e f",
+        "{{a {{b}} c": "{{a  c",
+        "a }} b {{c}} d": "a }} b  d",
+        "[[x [[y]] z": "[[x y z",
+        "[[a|]] [[|b]] [[a|b|c]]": "a b b|c",
+        "{{t|[[a|b}}]] c": "]] c",
+        "{{open " + "word " * 40_000: "{{open " + "word " * 40_000,
+    }
+    for n in range(1, 41):
+        cases["A " + "{{a " * n + "}}" * n + " B"] = "A  B"
+        cases["A " + "[[p|x " * n + "]]" * n + "B"] = "A " + "x " * n + "B"
+    got = spark.createDataFrame([(c,) for c in cases], "x string").select("x", T.clean_wikitext("x").alias("y")).collect()
+    assert {r["x"]: r["y"] for r in got} == cases
+
+
 ARTICLE = """Intro text.
 
 == Cast ==
