@@ -6,6 +6,7 @@ machine-local folder except where the session itself names one (tests).
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,15 +16,38 @@ from pyspark.sql.types import StructType
 from ..session import ensure_checkpoint_dir
 
 
+_STAGES: set[str] = set()
+
+
+def _stage_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sparkrec-stages/{spark.sparkContext.applicationId}"
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stage tables this application has written so far; DataFrames
+    that still read them can no longer be evaluated."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    folder = _stage_folder(spark)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    _STAGES.discard(folder)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage: the result is written as a parquet
     table into the cluster's shared ``spark.checkpoint.dir`` and read back.
 
     One job (a reliable ``checkpoint()`` needs a second job that serialises
     every row again), columnar files, and readers of the stage get column
-    pruning and statistics. The table survives executor loss."""
+    pruning and statistics. The table survives executor loss. An application's
+    stage tables are dropped when its driver ends, or by :func:`drop_stages`."""
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sparkrec-stages/{uuid.uuid4().hex}"
+    folder = _stage_folder(spark)
+    if folder not in _STAGES:
+        _STAGES.add(folder)
+        atexit.register(drop_stages, spark)
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
