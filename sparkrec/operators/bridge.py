@@ -157,6 +157,34 @@ def unmatched_movies(links: DataFrame, matched: DataFrame, movies: DataFrame) ->
     return un.join(movies, "movieId", "left")
 
 
+RESPONSE_SCHEMA = "parse struct<wikitext: struct<`*`: string>>, error struct<code: string>"
+
+
+def classify_responses(resp):
+    """(title, plot, failure_reason) per saved fetch: ``network_error: <type>``
+    when the request itself failed (optional ``error_type`` column),
+    ``max_retries`` when still rate-limited (429) after the retries, ``http_N``
+    for other non-200, the API error code (``api_error`` when it has none),
+    ``no_plot_section``, ``unknown`` when a 200 response cannot be decoded, or
+    null on success."""
+    if "error_type" not in resp.columns:
+        resp = resp.withColumn("error_type", F.lit(None).cast("string"))
+    r = resp.withColumn("_j", F.from_json("body", RESPONSE_SCHEMA))
+    r = r.withColumn("_wt", F.coalesce(F.col("_j")["parse"]["wikitext"]["*"], F.lit("")))
+    r = T.with_plot_section(r, "_wt", "plot_text", from_api=True)
+    j, plot = F.col("_j"), F.col("plot_text")
+    reason = (
+        F.when(F.col("error_type").isNotNull(), F.concat(F.lit("network_error: "), F.col("error_type")))
+        .when(F.col("status") == 429, F.lit("max_retries"))
+        .when(F.col("status") != 200, F.concat(F.lit("http_"), F.col("status").cast("string")))
+        .when(j.isNull() | (j["error"].isNull() & j["parse"].isNull()), F.lit("unknown"))
+        .when(j["error"].isNotNull(), F.coalesce(j["error"]["code"], F.lit("api_error")))
+        .when(plot.isNull(), F.lit("no_plot_section"))
+    )
+    keep = [c for c in resp.columns if c not in ("status", "body", "error_type")]
+    return r.select(*keep, "plot_text", reason.alias("failure_reason"))
+
+
 def resume_pending(resolved: DataFrame, checkpoint: DataFrame) -> DataFrame:
     """Titles still to fetch: resolved titles not in the checkpoint (failures
     are not checkpointed, so they are retried)."""

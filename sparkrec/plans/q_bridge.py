@@ -18,7 +18,7 @@ from ..operators import bridge as B
 from ..operators import consolidate as C
 from ..sources.tables import table
 from . import standins as S
-from .q_text import PLOT_BODY, PLOT_WORDS, RAW_IMDB_SQL, api_responses, classify_responses, raw_imdb, wiki_articles
+from .q_text import PLOT_BODY, PLOT_WORDS, RAW_IMDB_SQL, api_responses, raw_imdb, wiki_articles
 from ..sources.io import materialize
 from .registry import query, stage
 
@@ -83,7 +83,7 @@ def backfill_parts(spark, d):
     resolved = B.kb_id_lookup(un, mapping(spark, d))
     # only resolved titles are fetched: join first, classify those responses
     fetched = stage(("fetched", d), lambda: materialize(
-        classify_responses(resolved.join(api_responses(spark, d), "wiki_title"))))
+        B.classify_responses(resolved.join(api_responses(spark, d), "wiki_title"))))
     lb = table(spark, d, "labels").select(
         F.concat(F.lit("Doc_"), F.col("doc_id").cast("string")).alias("wiki_title"), "quality")
     ok = F.col("failure_reason").isNull()
