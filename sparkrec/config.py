@@ -7,22 +7,19 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Config:
-    # behavioural arm (sequence model)
-    hidden_size: int = 64
-    num_layers: int = 1
-    d_state: int = 32
-    d_conv: int = 4
-    expand: int = 2
+    # behavioural arm
     max_item_list_length: int = 50
     rating_threshold: float = 3.5
-    topk_eval: tuple = (10,)
+    topk_eval: int = 10
     # content arm
-    embedding_dim: int = 1024
+    embedding_dim: int = 64  # of the default text encoder
     content_top_k: int = 50
     group_profile_top_k: int = 30
     group_model_top_k: int = 100
     query_prefix: str = "Represent this sentence for searching relevant passages: "
     # reranker
+    alpha_mode: str = "dynamic"  # or "fixed": alpha_fixed for every request with a query
+    alpha_fixed: float = 0.5
     alpha_min: float = 0.3
     alpha_max: float = 0.9
     home_feed_alpha: float = 0.2

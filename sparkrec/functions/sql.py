@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..config import DEFAULT
 from .text import _TITLE_YEAR, NON_WS, PY_WHITESPACE, WS
 
 def _lit(s: str) -> str:
@@ -35,8 +36,8 @@ FUNCTIONS = {
     "space_token_count": ("x STRING", "INT", "size(split(x, ' ', -1))"),
     "compute_alpha": (
         "q STRING, has_profile BOOLEAN", "DOUBLE",
-        "CASE WHEN q IS NULL THEN (CASE WHEN has_profile THEN 0.2D ELSE 0.0D END) ELSE "
-        "greatest(0.3D, least(0.9D, 1.0D / (1.0D + exp(-(0.3D * " + _WC.replace("{0}", "q") + " - 1.0D))))) END",
+        "CASE WHEN q IS NULL THEN (CASE WHEN has_profile THEN " + f"{DEFAULT.home_feed_alpha}D" + " ELSE 0.0D END) ELSE "
+        f"greatest({DEFAULT.alpha_min}D, least({DEFAULT.alpha_max}D, 1.0D / (1.0D + exp(-(0.3D * " + _WC.replace("{0}", "q") + " - 1.0D))))) END",
     ),
     "vec_dot": ("a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE",
                 "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, v) -> s + v)"),

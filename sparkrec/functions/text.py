@@ -173,10 +173,6 @@ def plot_from_api(c) -> Column:
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "  # fixed value
 
 
-def query_text_for_encoder(c) -> Column:
-    return F.concat(F.lit(QUERY_PREFIX), _c(c))
-
-
 def media_type(genres) -> Column:
     g = _c(genres)
     return F.when(g.isNotNull() & g.contains("Animation"), F.lit("Animated Film")).otherwise(F.lit("Film"))

@@ -1,11 +1,10 @@
-"""Index upkeep: contiguous row index, append with next index, normalisation."""
+"""Index upkeep: contiguous row index, append with next index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import l2_normalize
 from ..sources.io import materialize
 
 
@@ -39,7 +38,3 @@ def append_rows(base: DataFrame, new: DataFrame, *, order: list[str], idx: str =
     n = size.first()["_n"]
     added = contiguous_index(new, order, out=idx, start=n)
     return base.unionByName(added, allowMissingColumns=True)
-
-
-def normalize_embeddings(df: DataFrame, vec: str = "embedding", out: str = "embedding") -> DataFrame:
-    return df.withColumn(out, l2_normalize(vec))

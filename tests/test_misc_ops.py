@@ -1,15 +1,23 @@
 from pyspark.sql import functions as F
 
-from sparkrec.functions.vectors import dot, dot_arrow
+from sparkrec.functions.vectors import dot
 from sparkrec.operators import bridge as B
 from sparkrec.operators import graduation as G
 
 
-def test_dot_arrow_matches_jvm_dot(spark):
+def test_dot(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0], [4.0, 5.0, 6.0]), ([0.5, -1.0, 2.0], [2.0, 2.0, 2.0])],
                                "a array<double>, b array<double>")
-    got = df.select(dot("a", "b").alias("j"), dot_arrow("a", "b").alias("p")).collect()
-    assert [(r.j, r.p) for r in got] == [(32.0, 32.0), (3.0, 3.0)]
+    assert [r.j for r in df.select(dot("a", "b").alias("j")).collect()] == [32.0, 3.0]
+
+
+def test_alpha_modes(spark):
+    from sparkrec.config import Config
+    from sparkrec.functions.scoring import compute_alpha
+
+    df = spark.createDataFrame([("a b", True), (None, True)], "q string, p boolean")
+    fixed = compute_alpha("q", "p", Config(alpha_mode="fixed", alpha_fixed=0.4))
+    assert [r[0] for r in df.select(fixed).collect()] == [0.4, 0.2]
 
 
 def test_mark_retrained_moves_rows(spark):
