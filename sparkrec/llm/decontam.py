@@ -48,24 +48,28 @@ def item_windows(items: DataFrame, item: str, text: str, window: int, shingle: i
     return wins, each.select("win", "item")
 
 
-def occurrences(docs: DataFrame, tokens: DataFrame, n_tokens: int, shingle: int, keys: list[str]) -> DataFrame:
+def occurrences(docs: DataFrame, tokens: DataFrame, n_tokens: int, sizes: list[int], keys: list[str]) -> DataFrame:
     """``(keys..., pos, n_words, token)``: every place where a benchmark token stands.
 
     One pass over the documents: words are exploded with the words that follow,
-    and each token length is looked up by hash and compared word for word."""
+    and each of the token lengths ``sizes`` is looked up by hash and compared word
+    for word."""
+    shingle = max(sizes)
     following = [F.col("w")] + [F.slice("w", i + 1, F.greatest(F.size("w") - i, F.lit(0))) for i in range(1, shingle)]
     rows = docs.select(*keys, F.size("w").alias("n_words"), F.posexplode(F.arrays_zip(*[c.alias(f"w{i}") for i, c in enumerate(following)])).alias("pos", "z"))
     rows = rows.select(*keys, "n_words", "pos", *[F.col("z").getField(f"w{i}").alias(f"w{i}") for i in range(shingle)])
     found = []
-    for k in range(1, shingle + 1):
+    for k in sizes:
         own = [f"w{i}" for i in range(k)]
         t = tokens.filter(F.size("tw") == k).select(F.xxhash64(*[F.col("tw")[i] for i in range(k)]).alias(f"h{k}"), F.col("token").alias(f"t{k}"),
                                                     *[F.col("tw")[i].alias(f"b{k}_{i}") for i in range(k)])
         same = F.xxhash64(*own) == F.col(f"h{k}")
         for i in range(k):
             same = same & (F.col(f"w{i}") == F.col(f"b{k}_{i}"))
-        rows = rows.join(broadcast_if_under(t, n_tokens, BROADCAST_ROWS), same, "left")
+        rows = rows.join(broadcast_if_under(t, n_tokens, BROADCAST_ROWS), same, "left" if len(sizes) > 1 else "inner")
         found.append(F.col(f"t{k}"))
+    if len(found) == 1:
+        return rows.select(*keys, "n_words", "pos", found[0].alias("token"))
     hit = rows.filter(F.coalesce(*found).isNotNull())
     return hit.select(*keys, "n_words", "pos", F.explode(F.array_compact(F.array(*found))).alias("token"))
 
@@ -78,8 +82,9 @@ def spans(docs: DataFrame, items: DataFrame, keys: list[str], text: str = "text"
     wins, _ = item_windows(items, item, item_text, window, shingle)
     wins = materialize(wins)
     tokens = materialize(wins.select(F.explode("tokens").alias("token")).distinct().select("token", F.split("token", " ").alias("tw")))
-    n_tokens, n_wins = tokens.count(), wins.count()
-    seen = materialize(occurrences(docs.select(*keys, words(F.col(text)).alias("w")), tokens, n_tokens, shingle, keys))
+    by_size = {r["k"]: r["count"] for r in tokens.groupBy(F.size("tw").alias("k")).count().collect()}  # shingle rows at most
+    n_tokens, n_wins = sum(by_size.values()), wins.count()
+    seen = materialize(occurrences(docs.select(*keys, words(F.col(text)).alias("w")), tokens, n_tokens, sorted(by_size) or [1], keys))
     rarity = seen.groupBy("token").count().withColumnRenamed("count", "df")
     # the rarest token that occurs at all: a window with a token that never occurs cannot occur
     place = wins.select("win", "len", "tokens", F.posexplode("tokens").alias("at", "token")).join(rarity, "token", "left")
