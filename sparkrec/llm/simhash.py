@@ -168,17 +168,23 @@ def _statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and the 64 x 64 co-occurrence counts of set bits."""
 
     def partial(batches):
+        n, both = 0, np.zeros((BITS, BITS))
         for pdf in batches:
             bits = np.unpackbits(pdf["fp"].to_numpy(dtype=np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            both = bits.T @ bits
-            yield pd.DataFrame({"bit": range(BITS), "n": [len(pdf)] * BITS, "both": [r.astype(np.int64) for r in both]})
-
-    rows = (fps.mapInPandas(partial, "bit int, n long, both array<long>").groupBy("bit")
-            .agg(F.sum("n").alias("n"), *[F.sum(F.col("both")[j]).alias(f"b{j}") for j in range(BITS)]).collect())
-    both = np.zeros((BITS, BITS))
-    for r in rows:
-        both[r["bit"]] = [r[f"b{j}"] for j in range(BITS)]
-    return (rows[0]["n"] if rows else 0), both
+            both += bits.T @ bits
+            n += len(pdf)
+        if n:
+            cell = np.append(np.arange(BITS * BITS), -1)  # cell -1: the number of fingerprints
+            yield pd.DataFrame({"cell": cell, "n": np.append(both.astype(np.int64).ravel(), n)})
+
+    flat = np.zeros(BITS * BITS)
+    n = 0
+    for r in fps.mapInPandas(partial, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # 4097 rows
+        if r["cell"] < 0:
+            n = r["n"]
+        else:
+            flat[r["cell"]] = r["n"]
+    return n, flat.reshape(BITS, BITS)
 
 
 def _histograms(fps: DataFrame, halves: list[list[int]]) -> list[np.ndarray]:
