@@ -184,9 +184,19 @@ def count_words(train_docs: DataFrame, text: str) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
-    """Totals, the commonest words and the class sums of ``counts(word, c)``."""
-    common = counts.orderBy(F.desc("c"), "word").limit(LOOKUP).select("word", "c").toArrow()
-    lookup = dict(zip(common.column(0).to_pylist(), common.column(1).to_pylist()))
+    """Totals, the commonest words and the class sums of ``counts(word, c)``.
+
+    The commonest are all words above a step of the counts, the lowest step that
+    leaves at most ``LOOKUP`` of them."""
+    step = F.floor(F.log2("c") * 64).cast("int")  # counts within about 1 %; few hundred steps
+    held, least = 0, 1 << 30
+    for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():
+        held += r["count"]
+        if held > LOOKUP:
+            break
+        least = r["s"]
+    common = counts.filter(step >= least).select("word", "c").toArrow()  # LOOKUP rows at most
+    lookup = dict(sorted(zip(common.column(0).to_pylist(), common.column(1).to_pylist()), key=lambda x: (-x[1], x[0])))
     head = {w: i + 1 for i, w in enumerate(list(lookup)[:HEAD - 1])}
     own = F.crc32(F.when(F.octet_length("word") > 3, F.expr("substring(word, octet_length(word) - 2, 3)")).otherwise(F.col("word"))) % TAIL + HEAD
     sums = counts.groupBy(own.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
@@ -203,11 +213,13 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
 
 
 def pilot(train_docs: DataFrame, text: str, vocab: Vocabulary) -> dict:
-    """Start model from a bounded sample: ``PILOT_DOCS`` documents of smallest
-    hash, ``PILOT_TOKENS`` tokens each (the averaged training covers the rest)."""
+    """Start model from a bounded sample: about ``PILOT_DOCS`` documents picked by
+    hash (twice as many at most), ``PILOT_TOKENS`` tokens each (the averaged
+    training covers the rest)."""
     p = start_parameters(vocab.class_count)
     size = 16 * PILOT_TOKENS
-    sample = train_docs.select(F.substring(text, 1, size).alias("t")).orderBy(F.xxhash64("t"), "t").limit(PILOT_DOCS).collect()
+    picked = F.pmod(F.xxhash64(*train_docs.columns), F.lit(max(1, vocab.end_count // PILOT_DOCS))) == 0
+    sample = train_docs.filter(picked).select(F.substring(text, 1, size).alias("t")).limit(2 * PILOT_DOCS).collect()
     seqs = [sequence(words(r["t"]), vocab.head)[:PILOT_TOKENS] for r in sample]
     if seqs:
         for i in range(PILOT_ROUNDS):
@@ -267,7 +279,7 @@ def score(docs: DataFrame, train_on: Column, doc: str = "doc_id", text: str = "t
     """
     spark = ship(docs)
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), train_on.alias("training"))
-    train_docs = rows.filter("training").select("text")
+    train_docs = rows.filter("training").select("doc_id", "text")
     counts = materialize(count_words(train_docs, "text"))
     vocab = vocabulary(counts, train_docs.count())
     shared = spark.sparkContext.broadcast((fit(train_docs, "text", vocab), vocab))  # parameters and LOOKUP counts
