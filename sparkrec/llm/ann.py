@@ -131,10 +131,17 @@ def homes(x: np.ndarray, index: Index, replicas: int, replica_ratio: float) -> l
     return [n[o <= max(o[0], 1e-12) * replica_ratio] for n, o in zip(near, own)]
 
 
+def by_hash(rows: DataFrame, n: int, want: int) -> list:
+    """About ``want`` of ``n`` rows of distinct ``did``, picked by hash: all if they
+    are no more, twice ``want`` at most."""
+    some = rows if n <= want else rows.filter(F.pmod(F.xxhash64("did"), F.lit(1 << 30)) < int((1 << 30) * want / n))
+    return sorted(some.limit(2 * want).collect(), key=lambda r: r["did"])
+
+
 def fit(items: DataFrame, n: int, list_rows: int = 256, sample_rows: int = 20_000, most_lists: int = 4096) -> Index:
-    """Centroids from a sample of at most ``sample_rows`` vectors (smallest hashes)."""
+    """Centroids from a sample of about ``sample_rows`` vectors."""
     top = items.agg(F.max(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v.cast("double") * v))).first()[0]
-    sample = items.select("did", "vec").orderBy(F.xxhash64("did"), "did").limit(sample_rows).collect()
+    sample = by_hash(items.select("did", "vec"), n, sample_rows)
     x = augment(matrix(r["vec"] for r in sample), top)
     c = balanced_centroids(x, max(1, min(most_lists, n // list_rows, len(x) // 4)))
     return Index(x.shape[1] - 1, top, c, link_centroids(c))
@@ -193,7 +200,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_
     asked = materialize(asked.join(items.select("did", "vec"), "vec").select("query_id", "did"))  # a query and its entry
     entries = materialize(items.join(asked.select("did").distinct(), "did", "left_semi").select("did", "vec"))
     index = fit(items, n, list_rows)
-    sample = entries.orderBy(F.xxhash64("did"), "did").limit(sample_queries).collect()
+    sample = by_hash(entries, entries.count(), sample_queries)
     ratio = fit_ratio(items, sample, index, k, replicas, replica_ratio, target)
     shared = spark.sparkContext.broadcast(index)  # bounded: most_lists centroids and their links
 

@@ -96,13 +96,15 @@ def spans(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     far = Window.partitionBy(*keys, "kind").orderBy("at")
     size = F.length("hit")
     rows = rows.withColumn("end", F.sum(F.col("gap") + size).over(far)).withColumn("start", F.col("end") - size)
-    base = rows.filter(((F.col("kind") == 0) & (F.length("value") >= ASSIGN_MIN)) | ((F.col("kind") == 1) & (size >= ACCESS_MIN)) | ((F.col("kind") == 2) & (size >= HEX_MIN)))
-    base = base.select(*keys, "kind", "start", "end")
-    runs = rows.filter((F.col("kind") == 3) & F.col("hit").rlike("[0-9]") & ~allowed(F.col("hit")))
-    runs = runs.withColumn("w", window_span(F.col("hit"))).filter("w.first > 0")
-    extra = runs.select(*keys, "kind", (F.col("start") + F.col("w.first") - 1).alias("start"), (F.col("start") + F.col("w.last")).alias("end"))
+    whole = F.array(F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end")))
+    good = F.when(F.col("kind") == 0, F.length("value") >= ASSIGN_MIN).when(F.col("kind") == 1, size >= ACCESS_MIN).when(F.col("kind") == 2, size >= HEX_MIN).otherwise(F.lit(False))
+    candidate = (F.col("kind") == 3) & F.col("hit").rlike("[0-9]") & ~allowed(F.col("hit"))
+    mixed = F.transform(F.filter(F.array(window_span(F.col("hit"))), lambda w: w["first"] > 0), lambda w: F.struct(
+        (F.col("start") + w["first"] - 1).cast("bigint").alias("start"), (F.col("start") + w["last"]).cast("bigint").alias("end")))
+    # exploded, so that the fold over a candidate's characters runs once
+    each = rows.select(*keys, "kind", F.explode(F.when(good, whole).when(candidate, mixed)).alias("s"))
+    both = each.select(*keys, "kind", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     # an entropy span inside a base span says nothing new: no later-starting, longer base span can hold it, so a running maximum tells
-    both = base.union(extra)
     order = Window.partitionBy(*keys).orderBy("start", F.col("end").desc(), "kind").rowsBetween(Window.unboundedPreceding, 0)
     held = F.max(F.when(F.col("kind") < 3, F.col("end"))).over(order)
     return both.withColumn("held", held).filter((F.col("kind") < 3) | F.col("held").isNull() | (F.col("held") < F.col("end"))).drop("held")
