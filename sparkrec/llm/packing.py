@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrec.llm.common import ship
-from sparkrec.llm.tokens import encoder, in_parts
+from sparkrec.llm.tokens import encoder, few_rows, in_parts
 
 GROUP_BYTES = 6_000_000  # bytes of text a group is made for
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -129,7 +129,7 @@ def cut_documents(tokenizer_json, end_id: int, length: int, groups: int, seed: i
 
     def run(batches):
         enc = encoder(tokenizer_json.value)
-        for batch in batches:
+        for batch in few_rows(batches):
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in in_parts(texts):
                 out = ([], [], [], [], [], [])

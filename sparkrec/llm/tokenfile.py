@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkrec.llm.common import broadcast_if_under, ship
-from sparkrec.llm.tokens import encoder, in_parts
+from sparkrec.llm.tokens import encoder, few_rows, in_parts
 
 MAGIC = b"EFT1"
 SAMPLE = 512
@@ -155,7 +155,7 @@ def _to_shards(tokenizer, end_id: int):
         def close():
             return pa.record_batch([pa.array([v], f.type) for v, f in zip((number, len(docs), held, shard_image(docs, ids, width)), schema)], schema=schema)
 
-        for batch in batches:
+        for batch in few_rows(batches):
             names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in in_parts(texts):
                 for doc, own in zip(names[a:b], enc.encode(texts[a:b])):

@@ -71,7 +71,7 @@ class Kept(dict):
 class PieceEncoder:
     """``encode(texts)`` -> little-endian unsigned 32-bit ids of each text, as bytes."""
 
-    def __init__(self, tokenizer_json: str, keep: int = 250_000):
+    def __init__(self, tokenizer_json: str, keep: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -150,6 +150,13 @@ def encoder(tokenizer_json: str) -> PieceEncoder:
     return _ENCODERS[key]
 
 
+def few_rows(batches, rows: int = 512):
+    """Slices of Arrow batches, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def in_parts(texts: list[str], chars: int = 2_000_000):
     """Slices of the list of about ``chars`` characters each."""
     at = 0
