@@ -7,9 +7,10 @@ pieces and matches before it. The running sum is a window over the matches of
 one document, so a document with very many matches stays linear and can spill.
 
 *Entropy* (kind ``entropy``) looks at candidate strings: runs of at least
-``MIN_RUN`` base64 characters. Each character class (hex digits, base64
-characters) has its own threshold on the Shannon entropy of a sliding window.
-Counts are kept incrementally: a step adds one character and drops one, and
+``MIN_RUN`` base64 characters. Each character class (hex digits, letters of one
+case with digits, base64 characters) has its own threshold on the Shannon entropy
+of a sliding window, and the class is that of the window: a hex secret behind a
+prefix is judged as hex. Counts are kept incrementally: a step adds one character and drops one, and
 ``sum(c * log2(c))`` changes by four looked-up terms. A span reaches from the
 first to the last window above the threshold. The allow-list suppresses strings
 that are no secrets however mixed they are: letters only, digits only, UUIDs,
@@ -37,7 +38,7 @@ ALPHABET = "0123456789abcdefABCDEFghijklmnopqrstuvwxyzGHIJKLMNOPQRSTUVWXYZ+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 MIN_RUN = 20
 WINDOW = 20
-HEX_BITS, BASE64_BITS = 2.8, 3.75  # least entropy of a window, by character class
+HEX_BITS, CASE_BITS, BASE64_BITS = 2.8, 3.3, 3.75  # least entropy of a window, by character class
 # Allow-list: a candidate that matches in full, or holds a stock sequence, is no secret.
 ALLOW_WHOLE = (
     r"[A-Za-z+/_=-]+",
@@ -50,11 +51,16 @@ ALLOW_PART = ("0123456789", "1234567890", "abcdefghij", "ABCDEFGHIJ", "EXAMPLE",
 
 def window_span(run: Column, window: int = WINDOW) -> Column:
     """struct(first, last): code points from the start of the first window above
-    the threshold of the run's class to the end of the last; first 0 if none."""
-    floor = F.when(run.rlike(r"\A[0-9a-fA-F]+\z"), F.lit(HEX_BITS)).otherwise(F.lit(BASE64_BITS))
+    the threshold of its class to the end of the last; first 0 if none.
+
+    A window of hex digits, or of letters of one case with digits, is of that
+    class if it has both a digit and a letter (in a run of nothing but hex
+    digits, always); any other is base64."""
+    all_hex = run.rlike(r"\A[0-9a-fA-F]+\z")
     term = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
     codes = F.transform(F.split(run, ""), lambda ch: F.position(ch, F.lit(ALPHABET)))
-    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"), codes.alias("codes"))
+    start = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"), F.lit(0).alias("first"), F.lit(0).alias("last"),
+                     *[F.lit(0).alias(c) for c in ("digit", "lower", "upper", "off", "mark")], codes.alias("codes"))
 
     def step(a: Column, i: Column) -> Column:
         x = F.element_at(a["codes"], i)
@@ -65,9 +71,16 @@ def window_span(run: Column, window: int = WINDOW) -> Column:
         leave = F.when(y > 0, F.element_at(term, F.greatest(ny, F.lit(1))) - F.element_at(term, ny + 1)).otherwise(F.lit(0.0))
         s = F.when(x == y, a["s"]).otherwise(a["s"] + enter + leave)
         n = F.transform(a["n"], lambda v, j: v + F.when(j + 1 == x, 1).otherwise(0) - F.when(j + 1 == y, 1).otherwise(0))
+        # the last place of a digit, a letter of each case, a letter beyond hex and a mark (places in ALPHABET)
+        last = {"digit": x <= 10, "lower": x.between(11, 16) | x.between(23, 42), "upper": x.between(17, 22) | x.between(43, 62), "off": x.between(23, 62), "mark": x > 62}
+        last = {c: F.when(here, i).otherwise(a[c]) for c, here in last.items()}
+        has = {c: at > i - window for c, at in last.items()}
+        both = has["digit"] & (has["lower"] | has["upper"]) & ~has["mark"]
+        floor = (F.when(all_hex | (both & ~has["off"]), F.lit(HEX_BITS)).when(both & ~(has["lower"] & has["upper"]), F.lit(CASE_BITS)).otherwise(F.lit(BASE64_BITS)))
         above = (i >= window) & (math.log2(window) - s / window >= floor)
         first = F.when(above & (a["first"] == 0), i - window + 1).otherwise(a["first"])
-        return F.struct(n.alias("n"), s.alias("s"), first.alias("first"), F.when(above, i).otherwise(a["last"]).alias("last"), a["codes"].alias("codes"))
+        return F.struct(n.alias("n"), s.alias("s"), first.alias("first"), F.when(above, i).otherwise(a["last"]).alias("last"),
+                        *[at.alias(c) for c, at in last.items()], a["codes"].alias("codes"))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda a: F.struct(a["first"].alias("first"), a["last"].alias("last")))
 
