@@ -5,9 +5,11 @@
    half of that goes on to the container around it. The page votes for the
    generalised path of its best container: tags with their class names, digits
    generalised.
-2. Spark counts the votes by host and path, and keeps each host's best paths.
-3. Each page is extracted again from the elements on the host's best path that it
-   has (its own best where it has none of them).
+2. Spark counts the votes by host and path; none is cut off.
+3. Each page's own containers meet the votes that other pages of the host gave
+   their paths. The page takes the path of most ``score * sqrt(votes)`` (its own
+   best where no other page voted for any of its paths), so a teaser on the
+   majority's path does not stand for an article on another voted path.
 
 Boilerplate elements (menus, adverts, forms ..., by tag or class name) never
 score and are left out of the text. Character references are decoded, white
@@ -21,12 +23,10 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrec.llm.common import ship
-
-PATHS_PER_HOST = 5
+from sparkrec.llm.common import materialize, ship
 
 # Fixed sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -214,27 +214,34 @@ def host(url: Column) -> Column:
     return F.lower(name)
 
 
-def host_paths(pages: DataFrame, url: str = "url", html: str = "html", keep: int = PATHS_PER_HOST) -> DataFrame:
-    """``(host, paths)``: each host's paths by votes (then summed score, then name)."""
+def candidates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``(host, key, path, score, best)``: the containers of each page with a score
+    above 0, ``key`` the hash of its HTML; ``best`` is 1 on the one it votes for."""
     ship(pages)
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("score", pa.float64())])
+    schema = pa.schema([("host", pa.string()), ("key", pa.int64()), ("path", pa.string()), ("score", pa.float64()), ("best", pa.int32())])
 
-    def vote(batches):
+    def score(batches):
         for batch in batches:
             out = []
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                scores = score_paths(page.as_py() or "")
-                scores = {p: s for p, s in scores.items() if s > 0}
+            for h, k, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                scores = {p: s for p, s in score_paths(page.as_py() or "").items() if s > 0}
                 if scores:
-                    p = min(scores, key=lambda x: (-scores[x], -x.count("/"), x))
-                    out.append((h, p, scores[p]))
+                    best = min(scores, key=lambda x: (-scores[x], -x.count("/"), x))
+                    out += [(h, k, p, s, int(p == best)) for p, s in scores.items()]
             yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    votes = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).mapInArrow(vote, "host string, path string, score double")
-    counted = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.round(F.sum("score"), 3).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path"))
-    top = counted.withColumn("r", rank).filter(F.col("r") <= keep)
-    return top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("r", "path"))).getField("path").alias("paths"))
+    keyed = pages.select(host(F.col(url)).alias("host"), F.xxhash64(html).alias("key"), F.col(html).alias("html"))
+    return keyed.mapInArrow(score, "host string, key bigint, path string, score double, best int")
+
+
+def winners(found: DataFrame) -> DataFrame:
+    """``(_host, _key, _path)`` of the pages of ``candidates`` that have a path
+    other pages of the host voted for; the deeper, then the first by name, on a tie."""
+    votes = found.filter("best = 1").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    others = F.col("votes") - F.col("best")
+    voted = found.join(votes, ["host", "path"]).filter(others > 0)
+    order = F.struct((-F.col("score") * F.sqrt(others)).alias("w"), (-F.length("path") + F.length(F.translate("path", "/", ""))).alias("depth"), F.col("path"))
+    return voted.groupBy(F.col("host").alias("_host"), F.col("key").alias("_key")).agg(F.min(order).getField("path").alias("_path"))
 
 
 def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -243,12 +250,13 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     A null or empty page, or one without text outside boilerplate, has an empty
     text. Pages without a host vote together. An empty table stays empty.
     """
-    winners = host_paths(pages, url, html).withColumnRenamed("host", "_host")
+    best = winners(materialize(candidates(pages, url, html)))
     ship(pages)
 
     @F.pandas_udf("string")
-    def run(page: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([extract(h or "", [] if p is None else list(p)) for h, p in zip(page, paths)], dtype=object)
+    def run(page: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([extract(h or "", [] if p is None else [p]) for h, p in zip(page, path)], dtype=object)
 
-    joined = pages.withColumn("_key", host(F.col(url))).join(winners.withColumnRenamed("paths", "_paths"), F.col("_key") == F.col("_host"), "left")
-    return joined.withColumn("text", run(F.col(html), F.col("_paths"))).drop("_key", "_host", "_paths")
+    keyed = pages.withColumn("_h", host(F.col(url))).withColumn("_k", F.xxhash64(html))
+    joined = keyed.join(best, (F.col("_h") == F.col("_host")) & (F.col("_k") == F.col("_key")), "left")
+    return joined.withColumn("text", run(F.col(html), F.col("_path"))).drop("_h", "_k", "_host", "_key", "_path")

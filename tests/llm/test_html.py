@@ -68,3 +68,21 @@ def test_very_long_and_broken_markup():
     assert htmlmain.extract('<p title="unclosed>text', []) == htmlmain.extract('<p title="unclosed>text', ["/p"])
     assert htmlmain.extract("<" * 50_000, []) is not None
     assert htmlmain.extract("<p>a < b and c > d</p>", []) == "a < b and c > d"
+
+
+def texts(spark, rows):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in htmlmain.main_text(df).collect()}
+
+
+def test_teaser_on_the_majority_path_does_not_stand_for_the_article(spark):
+    good = " ".join(GOOD.split())
+    rows = [(i, "http://m.example/a", page(f'<div class="content"><p>Majority {i}. {GOOD}</p></div>')) for i in range(6)]
+    rows += [(i, "http://m.example/b", page(f'<div class="content"><p>Intro.</p></div><div class="theme"><p>Other {i}. {GOOD}{GOOD}</p></div>')) for i in range(10, 13)]
+    # themes 0 to 8 (digits are generalised, so letters) have two pages each: more voted paths than any bound a host had
+    for n, c in enumerate("abcdefghi"):
+        rows += [(100 + 2 * n + k, "http://t.example/", page(f'<div class="z{c}"><p>Theme {c}{k}. {GOOD}</p></div><div class="za zx"><p>Line.</p></div>')) for k in range(2)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"Majority {i}. {good}" for i in range(6))
+    assert all(got[i] == f"Other {i}. {good} {good}" for i in range(10, 13))
+    assert all(got[100 + 2 * n + k] == f"Theme {c}{k}. {good}" for n, c in enumerate("abcdefghi") for k in range(2))
