@@ -10,6 +10,10 @@
    their paths. The page takes the path of most ``score * sqrt(votes)`` (its own
    best where no other page voted for any of its paths), so a teaser on the
    majority's path does not stand for an article on another voted path.
+4. The path is widened to the article or main element around it; without one, to
+   the containers around it as long as what they add is less text than is held
+   and little of it stands in links. So title, lead and smaller sections beside
+   the best container stay.
 
 Boilerplate elements (menus, adverts, forms ..., by tag or class name) never
 score and are left out of the text. Character references are decoded, white
@@ -41,6 +45,7 @@ BOILER_TAGS = frozenset("nav header footer aside form button select menu dialog
 BOILER_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
                          "aside widget footer header masthead cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login share sharing "
                          "social related recommended comment comments reply replies discussion disqus pagination pager toolbar copyright legal".split())
+LINK_SHARE = 0.2  # of what an element adds around the best container, at most
 GOOD_NAMES = frozenset("article content main post entry story body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -74,7 +79,7 @@ def _step(tag: str, attrs: str) -> str:
     m = _CLASS.search(attrs) if "class" in attrs.lower() else None
     if not m:
         return tag
-    names = sorted({_DIGITS.sub("0", n.lower()) for n in (m[1] or m[2] or m[3] or "").split()})
+    names = sorted({_DIGITS.sub("0", n.lower()).replace("/", "|") for n in (m[1] or m[2] or m[3] or "").split()})
     return ".".join([tag, *names])
 
 
@@ -198,14 +203,40 @@ def best_path(html: str) -> str | None:
     return min(scores, key=lambda p: (-scores[p], -p.count("/"), p)) if scores else None
 
 
+def widened(found, path: str) -> str:
+    """The path of the article around ``path`` (in a page of these blocks)."""
+    steps = path.split("/")
+    for tag in ("article", "main"):
+        for i in range(len(steps) - 1, 0, -1):
+            if steps[i].split(".")[0] == tag:
+                return "/".join(steps[:i + 1])
+
+    def inside(p: str) -> list:
+        return [(len(t), linked) for q, t, linked in found if q == p or q.startswith(p + "/")]
+
+    held = sum(n for n, _ in inside(path))
+    up = path
+    while up.rpartition("/")[0]:
+        up = up.rpartition("/")[0]
+        around = inside(up)
+        total = sum(n for n, _ in around)
+        added = total - held
+        if added and (added >= held or sum(k for _, k in around) - sum(k for _, k in inside(path)) > LINK_SHARE * added):
+            break
+        if added:
+            path, held = up, total
+    return path
+
+
 def extract(html: str, paths: list[str]) -> str:
-    """Text of the first of the paths that the page has, else of its own best."""
+    """Text of the article around the first of the paths that the page has, else
+    around its own best."""
+    found = blocks(html)
     for p in paths:
-        found = blocks(html, p)
-        if found:
-            return "\n".join(t for _, t, _ in found)
+        if any(q == p or q.startswith(p + "/") for q, _, _ in found):
+            return "\n".join(t for _, t, _ in blocks(html, widened(found, p)))
     own = best_path(html)
-    return "\n".join(t for _, t, _ in blocks(html, own)) if own is not None else ""
+    return "\n".join(t for _, t, _ in blocks(html, widened(found, own))) if own is not None else ""
 
 
 def host(url: Column) -> Column:
