@@ -16,7 +16,10 @@
    the best container stay.
 
 Boilerplate elements (menus, adverts, forms ..., by tag or class name) never
-score and are left out of the text. Character references are decoded, white
+score and are left out of the text. Names that articles use as well (discussion,
+related, legal ...), and any name in the id of a section, count only where over
+SOFT_SHARE of the element's text stands in links or it holds a form control, and
+never on headings. Character references are decoded, white
 space in a block becomes one space, blocks are joined by a line feed.
 """
 
@@ -34,52 +37,72 @@ from sparkrec.llm.common import materialize, ship
 
 # Fixed sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noembed noframes xmp template noscript svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp template svg annotation annotation-xml".split())
+MATH = frozenset("math semantics menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter output q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 HEAD_ONLY = frozenset("head base link meta title".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("article section div main table td th ul ol dl blockquote body html form aside nav header footer".split())
 CONTAINERS = frozenset("body div article section main td center".split())  # text right in them counts for them
-BOILER_TAGS = frozenset("nav header footer aside form button select menu dialog object canvas audio video figcaption".split())
+BOILER_TAGS = frozenset("nav header footer aside form button select menu dialog object canvas audio video".split())
 BOILER_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
-                         "aside widget footer header masthead cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login share sharing "
-                         "social related recommended comment comments reply replies discussion disqus pagination pager toolbar copyright legal".split())
+                         "aside widget footer header masthead cookie cookies consent popup modal newsletter subscribe subscription signup login share sharing "
+                         "recommended comment comments disqus pagination pager toolbar copyright".split())
+SOFT_NAMES = frozenset("discussion related legal notice notices reply replies social".split())
+SOFT_SHARE = 0.3  # of an element's text in links, that makes it boilerplate by a soft name
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROLS = frozenset("form button select input textarea".split())
 LINK_SHARE = 0.2  # of what an element adds around the best container, at most
 GOOD_NAMES = frozenset("article content main post entry story body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _DIGITS = re.compile(r"\d+")
 _NAME = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "path", "boiler", "block", "container", "up", "inside")
+    __slots__ = ("tag", "path", "boiler", "block", "container", "up", "inside", "soft")
 
-    def __init__(self, tag, path, boiler, block, container, up, inside):
+    def __init__(self, tag, path, boiler, block, container, up, inside, soft):
         self.tag, self.path, self.boiler, self.block = tag, path, boiler, block
         self.container, self.up = container, up  # the container a block's text counts for; the element around
         self.inside = inside  # whether it is in an element on the asked path
+        self.soft = soft  # numbers of the elements of a soft name that it is in
 
 
-def _is_boiler(tag: str, attrs: str) -> bool:
+def _attributes(attrs: str, names) -> list[tuple[str, str]]:
+    """``(name, value)`` of the asked attributes, the first of each name."""
+    out = {}
+    for m in _ATTR.finditer(attrs):
+        if (name := m[1].lower()) in names:
+            out.setdefault(name, m[2] or m[3] or m[4] or "")
+    return list(out.items())
+
+
+def _boiler(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether the element is boilerplate, and whether it is if its text speaks for it."""
     if tag in BOILER_TAGS:
-        return True
+        return True, False
     if "=" not in attrs or tag in ("html", "body", "article", "main"):
-        return False
-    for m in _ATTR.finditer(attrs):
-        if any(n.lower() in BOILER_NAMES for n in _NAME.split(m[1] or m[2] or m[3] or "")):
-            return True
-    return False
+        return False, False
+    soft = False
+    for name, value in _attributes(attrs, ("class", "id", "role")):
+        words = {n.lower() for n in _NAME.split(value)}
+        if words & BOILER_NAMES:
+            if name != "id" or tag != "section" and tag not in HEADINGS:
+                return True, False
+            soft = True
+        soft = soft or bool(words & SOFT_NAMES)
+    return False, soft and tag not in HEADINGS
 
 
 def _step(tag: str, attrs: str) -> str:
-    m = _CLASS.search(attrs) if "class" in attrs.lower() else None
-    if not m:
+    found = _attributes(attrs, ("class",)) if "class" in attrs.lower() else None
+    if not found:
         return tag
-    names = sorted({_DIGITS.sub("0", n.lower()).replace("/", "|") for n in (m[1] or m[2] or m[3] or "").split()})
+    names = sorted({_DIGITS.sub("0", n.lower()).replace("/", "|") for n in found[0][1].split()})
     return ".".join([tag, *names])
 
 
@@ -88,17 +111,22 @@ def blocks(html: str, wanted: str | None = None):
 
     With ``wanted`` only the blocks inside elements on that path. Elements on the
     path that hold no text give nothing."""
-    root = Element("", "", False, True, None, None, wanted == "")
+    root = Element("", "", False, True, None, None, wanted == "", ())
     here, depth = root, [root]
     out, words, linked, links = [], [], 0, 0
     owner = root
+    softs = []  # characters, those in links and form controls of each element of a soft name
 
     def flush():
         nonlocal words, linked
         if words:
             text = " ".join("".join(words).split())
-            if text and not owner.boiler and (wanted is None or owner.inside):
-                out.append((owner.container.path if owner.container is not None else owner.path, text, linked))
+            if text and not owner.boiler:
+                for i in owner.soft:
+                    softs[i][0] += len(text)
+                    softs[i][1] += linked
+                if wanted is None or owner.inside:
+                    out.append((owner.container.path if owner.container is not None else owner.path, text, linked, owner.soft))
         words, linked = [], 0
 
     def add(raw: str):
@@ -145,6 +173,9 @@ def blocks(html: str, wanted: str | None = None):
         if name is None or not (m[4] or m[8]):  # comment, declaration, or a tag that the page's end cuts off
             continue
         tag, attrs = name.lower(), m[3] or m[7] or ""
+        if tag in CONTROLS:
+            for i in here.soft:
+                softs[i][2] += 1
         if m[1] or m[5]:
             for i in range(len(depth) - 1, 0, -1):
                 if depth[i].tag == tag:
@@ -174,12 +205,17 @@ def blocks(html: str, wanted: str | None = None):
         around = here
         while not around.block:
             around = around.up
-        here = Element(tag, path, here.boiler or tag in HEAD_ONLY or _is_boiler(tag, attrs), block, None if tag in CONTAINERS else around, here, inside)
+        boiler, soft = _boiler(tag, attrs)
+        if soft:
+            softs.append([0, 0, 0])
+        here = Element(tag, path, here.boiler or tag in HEAD_ONLY or boiler, block, None if tag in CONTAINERS else around, here, inside,
+                       (*here.soft, len(softs) - 1) if soft and not here.boiler else here.soft)
         depth.append(here)
         if tag == "a":
             links += 1
     flush()
-    return out
+    bad = {i for i, (chars, linked_chars, controls) in enumerate(softs) if controls or linked_chars > SOFT_SHARE * chars}
+    return [b[:3] for b in out if bad.isdisjoint(b[3])]
 
 
 def score_paths(html: str) -> dict[str, float]:

@@ -96,3 +96,14 @@ def test_title_lead_and_sections_beside_the_best_container_stay(spark):
     got = texts(spark, rows)
     assert all(got[i] == f"Title {i}\nThe lead.\n{good}\n{good}\nA note." for i in range(3))
     assert all(got[i] == f"Title {i}\nThe lead.\n{good}" for i in range(10, 13))
+
+
+def test_only_boilerplate_goes(spark):
+    links = '<a href="x">one more story</a> ' * 5
+    body = (f'<article><h1 id="related-work">Heading</h1><p>{GOOD}</p><section id="discussion"><h2 id=legal>Discussion</h2><p>We discuss.</p></section><p class="legal">A law.</p>'
+            '<div class="notice-period"><p>Three months.</p></div><figure><img src="x"><figcaption>A caption</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>.</p>'
+            '<noscript><p>Without script.</p></noscript><div data-id="menu" title="a class=menu"><p>Data names.</p></div><section id="history-of-the-banner"><p>Banners.</p></section>'
+            f'<div class="related"><p>{links}</p></div><div class="discussion"><p>Say it</p><textarea></textarea></div><div class="social">{links}</div><div class="menu">Menu</div></article>')
+    got = texts(spark, [(i, "http://p.example/", page(body)) for i in range(2)])
+    good = " ".join(GOOD.split())
+    assert got[0] == got[1] == "\n".join(["Heading", good, "Discussion", "We discuss.", "A law.", "Three months.", "A caption", "So x=2.", "Without script.", "Data names.", "Banners."])
