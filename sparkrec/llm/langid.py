@@ -5,7 +5,9 @@ every substring of that text. A document is parsed greedily into the longest
 phrases that occur in the reference; a language whose reference explains the
 document needs few phrases. With reference length ``n`` a phrase costs
 ``log2(n)`` bits (a pointer into the reference), so the normalised cost of a
-language is ``phrases * log2(n)`` and the cheapest language wins.
+language is ``phrases * log2(n)`` and the cheapest language wins. Each language
+has its own length; one below ``LEAST_CHARS`` costs as much as that, or a sample
+of a few words would be the cheapest for text of no language.
 
 Greedy parsing needs no suffix links: a phrase is a walk from the root, and the
 character that has no edge starts the next phrase at the root. That makes every
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from sparkrec.llm.common import ship
 
 UNDETERMINED = "und"
+REFERENCE_CHARS, LEAST_CHARS = 40_000, 1_000  # of a reference: at most; least that counts in the cost
 SEGMENT = 2048  # code points after normalisation; a phrase ends at a segment's end
 _STATE_BITS = 28
 _STATE = (1 << _STATE_BITS) - 1
@@ -166,14 +169,15 @@ def build_model(references: dict[str, str]) -> LangModel:
     return LangModel(langs, alphabet, np.concatenate(parts).ravel(), np.array(roots, dtype=np.int32), np.array(bits))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", reference_chars: int = 40_000, buckets: int = 16,
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", reference_chars: int = REFERENCE_CHARS, buckets: int = 16,
         rows_per_bucket: int = 2, chars_per_row: int = 2_500) -> LangModel | None:
     """Model of the labelled rows; None where no row has a label and a letter.
 
     Sampled rows are those of smallest hash in each of ``buckets`` hash buckets
     of a language, so no task orders a whole language. At most
     ``buckets * rows_per_bucket * chars_per_row`` characters a language reach
-    the driver, of which ``reference_chars`` are used, the same for all.
+    the driver, of which ``reference_chars`` are used; a language with less uses
+    all it has.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & (F.length("lang") > 0) & F.col("text").rlike(r"\p{L}"))
@@ -187,13 +191,17 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", reference_c
     if not by:
         return None
     texts = {k: "\n".join(t for _, t in sorted(v)) for k, v in by.items()}
-    cut = min(reference_chars, max(1_000, min(len(t) for t in texts.values())))
-    return build_model({k: t[:cut] for k, t in texts.items()})
+    return build_model({k: t[:reference_chars] for k, t in texts.items()})
+
+
+def phrase_bits(model: LangModel) -> np.ndarray:
+    """Cost of a phrase in each language."""
+    return np.maximum(model.bits, math.log2(LEAST_CHARS))
 
 
 def predict_batch(texts: list[str], model: LangModel, chars_at_once: int = 4_000_000) -> pd.DataFrame:
     lang, score, phrases, letters = [], [], [], []
-    at = 0
+    at, bits = 0, phrase_bits(model)
     while at < len(texts):
         end, chars = at, 0
         while end < len(texts) and (end == at or chars + len(texts[end]) <= chars_at_once):
@@ -203,10 +211,10 @@ def predict_batch(texts: list[str], model: LangModel, chars_at_once: int = 4_000
         seen = np.concatenate(([0], np.cumsum(codes != _GAP)))[starts]
         n_letters = np.diff(seen)
         counts = cross_parse(codes, starts, model)
-        cost = counts * model.bits
+        cost = counts * bits
         best = cost.argmin(axis=1)
         low = cost[np.arange(len(best)), best]
-        share = 1.0 / np.exp2(np.clip((low[:, None] - cost) / model.bits, -1000, 0)).sum(axis=1)
+        share = 1.0 / np.exp2(np.clip((low[:, None] - cost) / bits, -1000, 0)).sum(axis=1)
         lang += [model.langs[b] if k else UNDETERMINED for b, k in zip(best, n_letters)]
         score += np.where(n_letters > 0, share, 0.0).tolist()
         phrases += counts[np.arange(len(best)), best].tolist()
@@ -235,7 +243,13 @@ def language(docs: DataFrame, model: LangModel | None, text: str = "text") -> Co
 def keep_identified(docs: DataFrame, model: LangModel | None, text: str = "text", most_phrases: float = 0.6) -> DataFrame:
     """The rows of ``docs`` that some learned language explains: they have a
     letter, and (from 20 letters on) at most ``most_phrases`` phrases a letter;
-    text of no learned language falls apart into phrases of a letter or two."""
+    text of no learned language falls apart into phrases of a letter or two.
+    The limit is for a reference of ``REFERENCE_CHARS``; phrases get shorter as
+    the logarithm of a reference's length does, so it grows by that ratio."""
+    limits = [] if model is None else [max(1.0, math.log2(REFERENCE_CHARS) / b) * most_phrases for b in phrase_bits(model)]
+    limit = F.lit(most_phrases)
+    if limits:
+        limit = F.element_at(F.create_map(*[F.lit(x) for pair in zip(model.langs, map(float, limits)) for x in pair]), F.col("_lang.lang"))
     found = docs.withColumn("_lang", language(docs, model, text))
-    fits = (F.col("_lang.letters") < 20) | (F.col("_lang.phrases") <= most_phrases * F.col("_lang.letters"))
+    fits = (F.col("_lang.letters") < 20) | (F.col("_lang.phrases") <= limit * F.col("_lang.letters"))
     return found.filter((F.col("_lang.lang") != UNDETERMINED) & fits).select(*docs.columns)

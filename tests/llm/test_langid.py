@@ -98,3 +98,18 @@ def test_empty_and_unlabelled(spark, tables, tmp_path):
     spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/u/documents.parquet")
     assert [(r["lang_pred"], r["score"]) for r in op1_language_id(spark, f"{tmp_path}/u").collect()] == [("und", 0.0)]
     assert np.array_equal(langid.encode([], "ab")[1], [0])
+
+
+def test_a_rare_label_does_not_shorten_the_other_references(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-1, "les mots de la mer et du vent.", "xx")], "doc_id long, text string, lang string")
+    alone, both = langid.fit(docs), langid.fit(docs.unionByName(rare))
+    assert set(both.langs) == {*alone.langs, "xx"}
+    own = dict(zip(both.langs, both.bits))
+    assert all(abs(own[k] - b) < 1e-9 for k, b in zip(alone.langs, alone.bits)) and min(alone.bits) > math.log2(10_000) and own["xx"] < 5
+    texts = [r["text"] for r in docs.filter("length(text) between 20 and 400").orderBy("doc_id").limit(300).collect()]
+    a, b = langid.predict_batch(texts, alone), langid.predict_batch(texts, both)
+    assert a["lang"].tolist() == b["lang"].tolist() and a["phrases"].tolist() == b["phrases"].tolist()
+    junk = spark.createDataFrame([("qxzj wvkq zzxq jjkw pqxv " * 4,), (texts[0],)], "text string")
+    assert [r["text"] for r in langid.keep_identified(junk, both).collect()] == [r["text"] for r in langid.keep_identified(junk, alone).collect()] == [texts[0]]
