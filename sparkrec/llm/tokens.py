@@ -2,7 +2,9 @@
 
 A tokenizer cuts a text into pre-tokens before it merges, so a text may be cut
 at places where a pre-token surely begins and its pieces be encoded apart: the
-ids are the same. Pieces repeat a lot, so their ids are kept in a bounded table.
+ids are the same as those of the whole text with ``encode_special_tokens`` on,
+that is, the string of an added token (``<|endoftext|>``) in a text is encoded
+as ordinary text and not as that token. Pieces repeat a lot, so their ids are kept in a bounded table.
 
 Which cut is safe is read from the tokenizer file:
 
