@@ -12,7 +12,9 @@ of a few words would be the cheapest for text of no language.
 Greedy parsing needs no suffix links: a phrase is a walk from the root, and the
 character that has no edge starts the next phrase at the root. That makes every
 automaton one dense transition table in which a failed edge already points to
-the restart state and carries the phrase count. Documents are cut at fixed
+the restart state and carries the phrase count. Where the references have more
+than ``DENSE_LETTERS`` letters, the table is a sorted list of the edges that there
+are, and a failed edge is looked up in the language's row of restarts. Documents are cut at fixed
 segment ends (a phrase does not span one), and all segments of an Arrow batch
 step together in numpy, for all languages at once.
 
@@ -35,6 +37,7 @@ from sparkrec.llm.common import ship
 
 UNDETERMINED = "und"
 REFERENCE_CHARS, LEAST_CHARS = 40_000, 1_000  # of a reference: at most; least that counts in the cost
+DENSE_LETTERS = 2048  # letters up to which the table is dense
 SEGMENT = 2048  # code points after normalisation; a phrase ends at a segment's end
 _STATE_BITS = 28
 _STATE = (1 << _STATE_BITS) - 1
@@ -48,6 +51,8 @@ class LangModel:
     table: np.ndarray  # all automata, flat: (state * width + code) -> phrases << 28 | next state
     roots: np.ndarray  # root state of each language
     bits: np.ndarray  # cost of one phrase, log2(reference length)
+    edges: np.ndarray | None = None  # sparse: state * width + code of each edge, sorted; ``table`` has their next states
+    restarts: np.ndarray | None = None  # sparse: phrases << 28 | next state after a failed edge (languages x width)
 
 
 def suffix_automaton(codes: list[int]) -> list[dict]:
@@ -81,7 +86,7 @@ def suffix_automaton(codes: list[int]) -> list[dict]:
 
 def _code_table(alphabet: str) -> np.ndarray:
     """Code of every Unicode code point, after lower-casing single letters."""
-    out = np.full(0x110000, _GAP, dtype=np.uint16)
+    out = np.full(0x110000, _GAP, dtype=np.uint16 if len(alphabet) < 60_000 else np.uint32)
     index = {ch: i + 2 for i, ch in enumerate(alphabet)}
     for cp in range(0x110000):
         ch = chr(cp)
@@ -113,6 +118,16 @@ def encode(texts: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], position[starts]
 
 
+def _follow(model: LangModel, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """``phrases << 28 | next state`` for states (rows x languages) and a code a row, by the sorted edges."""
+    key = state.astype(np.int64) * (len(model.alphabet) + 2) + code[:, None]
+    at = np.minimum(np.searchsorted(model.edges, key), len(model.edges) - 1)
+    failed = model.restarts[:, code].T
+    # nothing is unfinished at the root: there a letter without an edge is one phrase
+    failed = np.where(state == model.roots, 1 << _STATE_BITS | model.roots, failed)
+    return np.where(model.edges[at] == key, model.table[at], failed).astype(np.int32)
+
+
 def cross_parse(codes: np.ndarray, starts: np.ndarray, model: LangModel) -> np.ndarray:
     """Phrases of each text in each language (texts x languages)."""
     n, width, langs = len(starts) - 1, len(model.alphabet) + 2, len(model.langs)
@@ -129,9 +144,12 @@ def cross_parse(codes: np.ndarray, starts: np.ndarray, model: LangModel) -> np.n
     active = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), side="right")
     codes = codes.astype(np.int32)
     for t, k in enumerate(active):
-        step = state[:k] * width
-        step += codes[offset[:k] + t][:, None]
-        moved = model.table[step]
+        if model.edges is None:
+            step = state[:k] * width
+            step += codes[offset[:k] + t][:, None]
+            moved = model.table[step]
+        else:
+            moved = _follow(model, state[:k], codes[offset[:k] + t])
         count[:k] += moved >> _STATE_BITS
         np.bitwise_and(moved, _STATE, out=state[:k])
     count += state != model.roots  # the last, unfinished phrase
@@ -143,30 +161,35 @@ def cross_parse(codes: np.ndarray, starts: np.ndarray, model: LangModel) -> np.n
 def build_model(references: dict[str, str]) -> LangModel:
     """Automata of the reference texts (language -> text)."""
     langs = tuple(sorted(references))
-    seen = {}
-    for t in references.values():
-        for ch in t.lower():
-            if ch.isalpha():
-                seen[ch] = seen.get(ch, 0) + 1
-    alphabet = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:2048]))
+    alphabet = "".join(sorted({ch for t in references.values() for ch in t.lower() if ch.isalpha()}))
+    sparse = len(alphabet) > DENSE_LETTERS
+    keys, restarts = [], []
     width = len(alphabet) + 2
     parts, roots, bits, base = [], [], [], 0
     for lang in langs:
         codes, _ = encode([references[lang]], alphabet)
         edges = suffix_automaton([int(c) for c in codes if c != _OTHER])
         root = base
-        restart = [(1 << _STATE_BITS | base + edges[0][c]) if c in edges[0] else (2 << _STATE_BITS | root) for c in range(width)]
+        restart = [(1 << _STATE_BITS | root + edges[0][c]) if c in edges[0] else (2 << _STATE_BITS | root) for c in range(width)]
+        roots.append(root)
+        bits.append(math.log2(max(2, len(codes))))
+        base += len(edges)
+        if sparse:
+            restarts.append(restart)
+            keys.append(np.array([(root + s) * width + c for s, out in enumerate(edges) for c in sorted(out)], dtype=np.int64))
+            parts.append(np.array([root + out[c] for out in edges for c in sorted(out)], dtype=np.int32))
+            continue
         part = np.tile(np.array(restart, dtype=np.int32), (len(edges), 1))
         for s, out in enumerate(edges):
             for c, d in out.items():
-                part[s, c] = base + d
+                part[s, c] = root + d
         for c in range(width):  # nothing is unfinished at the root
-            part[0, c] = base + edges[0][c] if c in edges[0] else (1 << _STATE_BITS | root)
+            part[0, c] = root + edges[0][c] if c in edges[0] else (1 << _STATE_BITS | root)
         parts.append(part)
-        roots.append(root)
-        bits.append(math.log2(max(2, len(codes))))
-        base += len(edges)
-    return LangModel(langs, alphabet, np.concatenate(parts).ravel(), np.array(roots, dtype=np.int32), np.array(bits))
+    roots, bits = np.array(roots, dtype=np.int32), np.array(bits)
+    if sparse:
+        return LangModel(langs, alphabet, np.concatenate(parts), roots, bits, np.concatenate(keys), np.array(restarts, dtype=np.int32))
+    return LangModel(langs, alphabet, np.concatenate(parts).ravel(), roots, bits)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", reference_chars: int = REFERENCE_CHARS, buckets: int = 16,

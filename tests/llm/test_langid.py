@@ -113,3 +113,26 @@ def test_a_rare_label_does_not_shorten_the_other_references(spark):
     assert a["lang"].tolist() == b["lang"].tolist() and a["phrases"].tolist() == b["phrases"].tolist()
     junk = spark.createDataFrame([("qxzj wvkq zzxq jjkw pqxv " * 4,), (texts[0],)], "text string")
     assert [r["text"] for r in langid.keep_identified(junk, both).collect()] == [r["text"] for r in langid.keep_identified(junk, alone).collect()] == [texts[0]]
+
+
+def test_every_reference_letter_counts_in_a_large_alphabet(monkeypatch):
+    rng = np.random.default_rng(4)
+    common = "".join(chr(0x4E00 + i) for i in rng.integers(0, 1500, 6000))
+    rare = "".join(chr(0x4E00 + i) for i in range(2000, 4500))  # each once: beyond the 2,048 commonest
+    references = {"aa": common, "bb": common[:3000] + rare, "cc": "plain words " * 20}
+    model = langid.build_model(references)
+    assert model.edges is not None and set(common + rare) <= set(model.alphabet)
+    texts = [rare[100:400], common[50:90] + rare[7:50], "plain wordsж", "ж", "", rare[::-1][:3000], "words " + common[5000:5100]]
+    codes, starts = langid.encode(texts, model.alphabet)
+    got = langid.cross_parse(codes, starts, model)
+    for row, t in zip(got, texts):
+        chars = normal(t, set(model.alphabet))
+        assert row.tolist() == [brute_parse(chars, "".join(normal(references[k], set(model.alphabet)))) for k in model.langs]
+    assert got[0][1] == 1
+    # the dense and the sparse table agree
+    small = {"aa": "banana bandana cabana " * 3, "bb": "mississippi river sip " * 3}
+    dense = langid.build_model(small)
+    monkeypatch.setattr(langid, "DENSE_LETTERS", 3)
+    sparse = langid.build_model(small)
+    codes, starts = langid.encode(["bananas sip", "ж banana ж", "ban" * 1500, ""], dense.alphabet)
+    assert dense.edges is None and np.array_equal(langid.cross_parse(codes, starts, dense), langid.cross_parse(codes, starts, sparse))
