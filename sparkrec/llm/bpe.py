@@ -6,11 +6,13 @@ to its worker's in-memory database (one thread, a memory limit, no files):
 * A pattern splits a text into words; each word is encoded apart. Words met
   before come from a bounded table.
 * **Encoding** is a recursive query over token-position rows ``(word, place,
-  id)``, keyed by word and place. Each round joins neighbouring tokens with the
-  merge table ``(left, right, merged)``, finds every word's least merged rank and
-  contracts the leftmost pair of that rank; a word without a pair left drops out.
-  Further pairs of the same rank are contracted in the same round up to the
-  first contraction that brings up a pair of a lower rank, which is what
+  id)``. Each round joins neighbouring tokens with the merge table ``(left,
+  right, merged)``, finds every word's least merged rank and contracts the
+  leftmost pair of that rank; a word without a pair left drops out. A word that
+  is a token itself needs no round.
+* Rounds of words over LONG_BYTES are kept by word and place instead of being
+  added up, and contract further pairs of the same rank in the same round, up
+  to the first contraction that brings up a pair of a lower rank, which is what
   one-by-one contraction from the left does.
 * **Decoding** joins the ids with the vocabulary and strings the tokens of a
   document together in an aggregate ordered by place.
@@ -34,7 +36,8 @@ from sparkrec.llm.tokens import in_parts
 
 KEEP_WORDS = 150_000  # words kept by a worker, twice at most
 KEEP_BYTES = 64  # longer words are not kept
-STEP_BYTES = 150_000  # bytes of words, and ids of documents, of one query
+STEP_BYTES = 250_000  # bytes of words, and ids of documents, of one query
+LONG_BYTES = 200  # of a word, from which its rounds are kept by place
 LETTER = 256  # a byte b is the character LETTER + b in the database
 
 _SETUP = """
@@ -45,8 +48,20 @@ FROM (SELECT id, token, unnest(range(1, length(token))) AS cut FROM vocab) v
 JOIN vocab a ON a.token = substr(v.token, 1, cut) JOIN vocab b ON b.token = substr(v.token, cut + 1);
 """
 
-# words(w, token); rows(w, p, id): each byte of a word that is no token itself
+# start(w, p, id): the bytes of the words
 _ENCODE = """
+WITH RECURSIVE t(w, p, id, step) AS (
+  SELECT w, p, id, 0 FROM start
+  UNION ALL
+  (WITH pairs AS (SELECT w, p, id, lead(id) OVER o AS next, lead(p) OVER o AS p2 FROM t WINDOW o AS (PARTITION BY w ORDER BY p)),
+   least AS (SELECT w, min((k::BIGINT << 32) | (p::BIGINT << 16) | p2) AS b FROM pairs JOIN merges ON l = id AND r = next GROUP BY w)
+   SELECT t.w, t.p, CASE WHEN t.p = ((b >> 16) & 65535) THEN (b >> 32)::INT ELSE t.id END, t.step + 1
+   FROM t JOIN least USING (w) WHERE t.p <> (b & 65535))
+)
+SELECT w, id FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, p
+"""
+
+_ENCODE_LONG = """
 WITH RECURSIVE t(w, p, id) USING KEY (w, p) AS (
   SELECT w, p, id FROM start
   UNION ALL
@@ -67,8 +82,6 @@ WITH RECURSIVE t(w, p, id) USING KEY (w, p) AS (
 SELECT w, id FROM t WHERE id IS NOT NULL ORDER BY w, p
 """
 
-_WHOLE = "SELECT words.w, vocab.id FROM words JOIN vocab ON vocab.token = words.token"
-
 _DECODE = """
 SELECT d, string_agg(token, '' ORDER BY p) AS text, count(*) AS n FROM ids JOIN vocab USING (id) GROUP BY d
 """
@@ -104,12 +117,10 @@ class Bpe:
         self.split = regex.compile(pattern).findall
         rows = [line.split() for line in rank_file.splitlines() if line.strip()]
         tokens, ids = [base64.b64decode(r[0]) for r in rows], [int(r[1]) for r in rows]
-        self.byte_id = np.full(256, -1, dtype=np.int32)
-        for t, i in zip(tokens, ids):
-            if len(t) == 1:
-                self.byte_id[t[0]] = i
-        if (self.byte_id < 0).any():
+        self.token_id = {t: np.uint32(i).tobytes() for t, i in zip(tokens, ids)}
+        if any(bytes([b]) not in self.token_id for b in range(256)):
             raise ValueError("the rank file lacks single bytes")
+        self.byte_id = np.frombuffer(b"".join(self.token_id[bytes([b])] for b in range(256)), dtype=np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("file_rows", pd.DataFrame({"id": np.array(ids, dtype=np.int32), "token": [letters(t) for t in tokens]}))
         self.db.execute(_SETUP)
@@ -127,21 +138,20 @@ class Bpe:
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of different words, as little-endian unsigned 32-bit."""
-        raw, out = [w.encode("utf-8", "surrogatepass") for w in words], {}
-        for a, b in slices([len(x) for x in raw], STEP_BYTES):
-            part = raw[a:b]
-            whole = self._query(_WHOLE, words=pd.DataFrame({"w": np.arange(len(part), dtype=np.int32), "token": [letters(x) for x in part]}))
-            for w, i in zip(whole["w"].tolist(), np.asarray(whole["id"], dtype="<u4")):
-                out[words[a + w]] = i.tobytes()
-            rest = [w for w in range(len(part)) if words[a + w] not in out]
-            size = np.array([len(part[w]) for w in rest], dtype=np.int64)
-            flat = np.frombuffer(b"".join(part[w] for w in rest), dtype=np.uint8)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            start = pd.DataFrame({"w": np.repeat(np.array(rest, dtype=np.int32), size), "p": place.astype(np.int32), "id": self.byte_id[flat]})
-            got = self._query(_ENCODE, start=start)
-            ids, at = np.asarray(got["id"], dtype="<u4").tobytes(), np.searchsorted(np.asarray(got["w"]), np.array([*rest, len(part)]))
-            for j, w in enumerate(rest):
-                out[words[a + w]] = ids[4 * at[j]:4 * at[j + 1]]
+        raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
+        out = {w: self.token_id[x] for w, x in raw.items() if x in self.token_id}
+        rest = sorted((w for w in words if w not in out), key=lambda w: len(raw[w]))
+        short = sum(len(raw[w]) <= LONG_BYTES for w in rest)
+        for sql, of in ((_ENCODE, rest[:short]), (_ENCODE_LONG, rest[short:])):
+            for a, b in slices([len(raw[w]) for w in of], STEP_BYTES):
+                part = [raw[w] for w in of[a:b]]
+                size = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
+                flat = np.frombuffer(b"".join(part), dtype=np.uint8)
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                start = pd.DataFrame({"w": np.repeat(np.arange(len(part), dtype=np.int32), size), "p": place.astype(np.int32), "id": self.byte_id[flat]})
+                got = self._query(sql, start=start)
+                ids, at = np.asarray(got["id"], dtype="<u4").tobytes(), 4 * np.searchsorted(np.asarray(got["w"]), np.arange(len(part) + 1))
+                out.update((w, ids[at[j]:at[j + 1]]) for j, w in enumerate(of[a:b]))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -152,7 +162,7 @@ class Bpe:
         new = set().union(*split).difference(self.known)
         again = new.intersection(self.older)
         self.known.update((w, self.older[w]) for w in again)
-        fresh = self.learn(sorted(new - again))
+        fresh = self.learn(list(new - again))
         self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= KEEP_BYTES)
         long = {w: ids for w, ids in fresh.items() if len(w) > KEEP_BYTES}
         if long:
