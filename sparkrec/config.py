@@ -40,6 +40,7 @@ class Config:
     broadcast_limit_bytes: int = 64 * 1024 * 1024
     search_block_bytes: int = 32 * 1024 * 1024
     search_min_block_rows: int = 64
+    hot_key_rows: int = 1_000_000  # rows of one key beyond which ordered windows run as a prefix scan
 
 
 DEFAULT = Config()

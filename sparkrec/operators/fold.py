@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..session import ship_package
+from . import prefix as PX
 
 
 def _sorted(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -135,19 +136,44 @@ def mood_states(df: DataFrame, *, key: str = "session_id", order: list[str], vec
     weighs ``bf * (1-bf)**j``. Chains (messages less than the TTL apart) are
     numbered by a window over the gaps, and a mood is the fold of its chain's last
     messages, as far back as their weight is above ``1e-30`` (57 at the default):
-    a bounded frame, where the whole chain would be a serial scan.
+    a bounded frame, where the whole chain would be a serial scan. Where a key has
+    more than ``config.hot_key_rows`` messages, chains and frames come from a prefix
+    scan over ranges of (key, order) and the key spreads over tasks.
     """
     ttl_us, bf = config.mood_ttl_seconds * 1_000_000, config.mood_blend_factor
     us = F.unix_micros(F.col(time_col).cast("timestamp"))
-    by = Window.partitionBy(key).orderBy(*order)
-    starts = (F.lag("_us").over(by).isNull() | (F.col("_us") - F.lag("_us").over(by) >= ttl_us)).cast("int")
-    m = df.select(key, event_id, time_col, *[c for c in order if c not in (key, event_id, time_col)], F.col(vec).cast("array<double>").alias("_v"), us.alias("_us"))
-    m = m.withColumn("_chain", F.sum(starts).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    m = m.withColumn("chain_len", F.row_number().over(Window.partitionBy(key, "_chain").orderBy(*order)).cast("long"))
     look = max(1, int(-(-np.log(1e-30) // np.log(1.0 - bf)))) if 0.0 < bf < 1.0 else 1
-    near = Window.partitionBy(key, "_chain").orderBy(*order).rowsBetween(-look, 0)
-    rows = m.withColumn("_near", F.collect_list("_v").over(near))
+    m = df.select(key, event_id, time_col, *[c for c in order if c not in (key, event_id, time_col)], F.col(vec).cast("array<double>").alias("_v"), us.alias("_us"))
+    if PX.is_hot(df, key, config.hot_key_rows):
+        rows = _chains_of_hot_keys(m, key, order, ttl_us, look)
+    else:
+        by = Window.partitionBy(key).orderBy(*order)
+        starts = (F.lag("_us").over(by).isNull() | (F.col("_us") - F.lag("_us").over(by) >= ttl_us)).cast("int")
+        m = m.withColumn("_chain", F.sum(starts).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        chain = Window.partitionBy(key, "_chain").orderBy(*order)
+        m = m.withColumn("chain_len", F.row_number().over(chain).cast("long"))
+        rows = m.withColumn("_near", F.collect_list("_v").over(chain.rowsBetween(-look, 0)))
     whole = F.size("_near") == F.col("chain_len")  # the chain's first message is in sight: its weight is not multiplied by bf
     first = F.when(whole, F.col("_near")[0]).otherwise(F.transform(F.col("_near")[0], lambda x: x * bf))
     mixed = F.aggregate(F.slice("_near", 2, F.size("_near")), first, lambda a, v: F.zip_with(a, v, lambda x, y: F.lit(bf) * y + F.lit(1.0 - bf) * x))
     return rows.select(key, event_id, time_col, mixed.alias("mood_vec"), "chain_len")
+
+
+def _chains_of_hot_keys(m: DataFrame, key: str, order: list[str], ttl_us: int, look: int) -> DataFrame:
+    """``chain_len`` and ``_near`` of every message by a prefix scan: each part sees
+    the ``look`` messages before it, and the number of the message that began the
+    running chain is carried from part to part."""
+    parts = PX.numbered(PX.in_parts(m, key, order))
+    rows, by = PX.with_halo(parts, look), parts.local()
+    gap = F.col("_us") - F.lag("_us").over(by)
+    start = F.when((F.col("_n") == 1) | (gap >= ttl_us), F.col("_n"))
+    begun = rows.select(key, *[c for c in order if c != key], "_us", "_n", "_halo", PX.PART).withColumn("_start", start)
+    ends = parts.of_spans(begun.where(~F.col("_halo"))).groupBy(key, PX.PART, "_seq").agg(F.max("_start").alias("_end"))
+    earlier = Window.partitionBy(key).orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.withColumn("_carried", F.max("_end").over(earlier))
+    rows = rows.withColumn("_start", start).withColumn("_start", F.max("_start").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("_near", F.collect_list("_v").over(by.rowsBetween(-look, 0))).where(~F.col("_halo"))
+    rows = parts.carry(rows, carried, "_carried")  # numbers grow, so the last start is the greatest
+    rows = rows.withColumn("chain_len", F.col("_n").cast("long") - F.greatest("_start", "_carried") + 1)
+    size = F.least(F.col("chain_len"), F.size("_near").cast("long")).cast("int")
+    return rows.withColumn("_near", F.slice("_near", F.size("_near") - size + 1, size))

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT
+from ..config import DEFAULT, Config
+from . import prefix as PX
 
 
 def graduations(interactions: DataFrame, catalog: DataFrame, *, movie: str = "movie_id", order: list[str],
-                threshold: int = DEFAULT.graduation_threshold, time_col: str = "ts") -> DataFrame:
+                threshold: int = DEFAULT.graduation_threshold, time_col: str = "ts", config: Config = DEFAULT) -> DataFrame:
     """Movies outside the behavioural catalogue that reached ``threshold``
     interactions: ``movie, graduated_at`` (date of the threshold-th event,
-    ``yyyy-MM-dd``) and ``interaction_count`` (counting continues after)."""
+    ``yyyy-MM-dd``) and ``interaction_count`` (counting continues after).
+
+    Where a movie has more than ``config.hot_key_rows`` interactions they are
+    numbered by a prefix scan over ranges of (movie, order)."""
     x = interactions.join(catalog.select(movie), movie, "left_anti")
-    w = Window.partitionBy(movie).orderBy(*order)
-    nth = x.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == threshold)
+    if PX.is_hot(x, movie, config.hot_key_rows):
+        slim = x.select(*dict.fromkeys([movie, time_col, *order]))
+        nth = PX.numbered(PX.in_parts(slim, movie, order), "_k").rows.where(F.col("_k") == threshold)
+    else:
+        w = Window.partitionBy(movie).orderBy(*order)
+        nth = x.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == threshold)
     grad = nth.select(movie, F.date_format(time_col, "yyyy-MM-dd").alias("graduated_at"))
     return grad.join(interaction_counts(x, movie=movie), movie)
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from . import prefix as PX
 
 
 def mood_asof(feedback: DataFrame, moods: DataFrame, *, key: str = "session_id", time_col: str = "ts",
@@ -16,27 +17,29 @@ def mood_asof(feedback: DataFrame, moods: DataFrame, *, key: str = "session_id",
     instant counts as earlier) with ``ts - mood_ts < ttl``. Feedback without a
     live mood gets null ``mood_vec`` (the reference ignores such feedback).
 
-    As-of join without a native operator: union both sides, then
-    ``last(..., ignorenulls)`` over the key ordered by time (one sort per key,
-    spills; no pairs are formed)."""
+    As-of join without a native operator: union both sides, then the last mood
+    over the key ordered by time (one sort per key, spills; no pairs are formed).
+    Where a key holds more than ``config.hot_key_rows`` rows the running value is
+    a prefix scan over ranges of (key, time), so the key spreads over tasks."""
+    mood = F.struct(F.col("_mv").alias("vec"), F.col("_mts").alias("ts"), F.col("_mid").alias("id"))
     f = feedback.withColumn("_kind", F.lit(1))
     m = moods.select(
         key, time_col, F.lit(0).alias("_kind"), F.col("mood_vec").alias("_mv"), F.col(time_col).alias("_mts"),
         F.col("event_id").alias("_mid"),
     )
-    u = f.unionByName(m, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(time_col, "_kind", F.coalesce("event_id", "_mid")).rowsBetween(Window.unboundedPreceding, 0)
-    u = u.select(
-        "*",
-        F.last("_mv", ignorenulls=True).over(w).alias("_lmv"),
-        F.last("_mts", ignorenulls=True).over(w).alias("_lmts"),
-        F.last("_mid", ignorenulls=True).over(w).alias("mood_event_id"),
-    ).where(F.col("_kind") == 1)
-    live = (F.unix_micros(F.col(time_col).cast("timestamp")) - F.unix_micros(F.col("_lmts").cast("timestamp"))) < F.lit(config.mood_ttl_seconds * 1_000_000)
-    return u.select(
+    u = f.unionByName(m, allowMissingColumns=True).withColumn("_oid", F.coalesce("event_id", "_mid"))
+    order, value = [time_col, "_kind", "_oid"], F.when(F.col("_kind") == 0, mood)
+    if PX.is_hot(feedback.select(key).unionByName(moods.select(key)), key, config.hot_key_rows):
+        u = PX.last_value(PX.in_parts(u, key, order), value, "_last")
+    else:
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        u = u.withColumn("_last", F.last(value, ignorenulls=True).over(w))
+    last = F.col("_last")
+    live = (F.unix_micros(F.col(time_col).cast("timestamp")) - F.unix_micros(last["ts"].cast("timestamp"))) < F.lit(config.mood_ttl_seconds * 1_000_000)
+    return u.where(F.col("_kind") == 1).select(
         *[c for c in feedback.columns],
-        F.when(live, F.col("_lmv")).alias("mood_vec"),
-        F.when(live, F.col("mood_event_id")).alias("mood_event_id"),
+        F.when(live, last["vec"]).alias("mood_vec"),
+        F.when(live, last["id"]).alias("mood_event_id"),
     )
 
 
