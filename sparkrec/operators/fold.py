@@ -125,6 +125,36 @@ def profile_from_feedback(df: DataFrame, *, key: str = "user_id", order: list[st
     return _sorted(df, key, order).mapInPandas(run, schema)
 
 
+def feedback_states(df: DataFrame, *, key: str = "user_id", order: list[str], signal: str = "feedback",
+                    vec: str = "mood_vec", config: Config = DEFAULT) -> DataFrame:
+    """The feedback-driven profile after every event, in the same pass and with the
+    same steps as :func:`profile_from_feedback`: ``key, *order, interaction_count,
+    profile_vec``, one row an event."""
+    decay, base_lr, slow, guard = (config.profile_decay, config.profile_learning_rate,
+                                   config.profile_lr_slowdown, config.feedback_norm_guard)
+
+    def run(batches):
+        cur, v, n = None, None, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys, fs, m, counts, vecs = pdf[key].to_numpy(), pdf[signal].to_numpy(np.float64), _rows(pdf, vec), [], []
+            for i in range(len(pdf)):
+                if v is None or keys[i] != cur:
+                    cur, v, n = keys[i], np.zeros(m.shape[1]), 0
+                v = decay * v + (base_lr / (1.0 + slow * n)) * (fs[i] * m[i])
+                nr = np.linalg.norm(v)
+                if nr > guard:
+                    v = v / nr
+                n += 1
+                counts.append(n)
+                vecs.append(v)
+            yield pdf[[key, *order]].assign(interaction_count=counts, profile_vec=vecs)
+
+    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, *order))
+    return _sorted(df, key, order).mapInPandas(run, f"{fields}, interaction_count long, profile_vec array<double>")
+
+
 def mood_states(df: DataFrame, *, key: str = "session_id", order: list[str], vec: str = "mood_vec",
                 time_col: str = "ts", event_id: str = "event_id", config: Config = DEFAULT) -> DataFrame:
     """Session mood after every mood message: ``0.7*new + 0.3*old`` while the

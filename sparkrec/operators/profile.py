@@ -55,8 +55,28 @@ def mood_history(applied: DataFrame, *, key: str = "user_id", limit: int = DEFAU
     return r.withColumn("pos", F.row_number().over(asc)).drop("_rd")
 
 
-def attach_vectors(interactions: DataFrame, live_moods: DataFrame, profiles: DataFrame, *,
-                   user: str = "user_id") -> DataFrame:
-    """Mood (live at the interaction) and profile vectors for each interaction;
-    absent ones stay null."""
-    return interactions.join(live_moods, "event_id", "left").join(profiles, user, "left")
+def profile_asof(interactions: DataFrame, states: DataFrame, *, user: str = "user_id", order: list[str] = ("ts", "event_id"),
+                 config: Config = DEFAULT) -> DataFrame:
+    """Each interaction with its user's profile as it stood right before it:
+    ``interaction_count`` and ``profile_vec`` of the last state whose ``order`` is
+    smaller, or null. An event's own update comes after it, and no later event
+    changes an earlier row."""
+    state = F.struct("interaction_count", "profile_vec")
+    s = states.select(user, *order, F.lit(1).alias("_kind"), state.alias("_state"))
+    u = interactions.withColumn("_kind", F.lit(0)).unionByName(s, allowMissingColumns=True)
+    by = [*order, "_kind"]  # at one place an interaction comes before the update
+    if PX.is_hot(interactions.select(user).unionByName(states.select(user)), user, config.hot_key_rows):
+        u = PX.last_value(PX.in_parts(u, user, by), F.col("_state"), "_last")
+    else:
+        w = Window.partitionBy(user).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+        u = u.withColumn("_last", F.last("_state", ignorenulls=True).over(w))
+    return u.where(F.col("_kind") == 0).select(*interactions.columns, F.col("_last.interaction_count").alias("interaction_count"), F.col("_last.profile_vec").alias("profile_vec"))
+
+
+def attach_vectors(interactions: DataFrame, moods: DataFrame, states: DataFrame, *, session: str = "session_id", user: str = "user_id",
+                   time_col: str = "ts", event_id: str = "event_id", config: Config = DEFAULT) -> DataFrame:
+    """Mood and profile vectors of each interaction as of its moment: the session's
+    live mood (:func:`mood_asof`) and the user's profile before it
+    (:func:`profile_asof`); absent ones stay null."""
+    with_mood = mood_asof(interactions, moods, key=session, time_col=time_col, config=config)
+    return profile_asof(with_mood, states, user=user, order=[time_col, event_id], config=config)

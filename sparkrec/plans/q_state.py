@@ -9,11 +9,17 @@ feedback signals purchase +2, click +1, view 0, error -1. Ratings
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..operators import fold as FO
 from ..operators import graduation as G
 from ..operators import profile as P
+from ..operators.lifecycle import GraduationStore
+from ..sources.io import materialize, stage_folder
 from ..sources.tables import table
 from . import standins as S
 from .registry import query
@@ -171,16 +177,47 @@ def mood_history(spark, d):
     return h.select("user_id", F.col("pos").cast("int").alias("pos"), "event_id", "feedback")
 
 
-@query("attach_vectors", oracle=f"""WITH RECURSIVE {MOOD_SQL},
-pr AS (SELECT user_id, max(n) AS cnt FROM fe GROUP BY user_id)
-SELECT l.event_id, l.mood_event_id, pr.cnt AS profile_count FROM live l LEFT JOIN pr USING (user_id)""")
+ATTACHED_SQL = """
+before AS (SELECT l.event_id, max(fe.n) AS n FROM live l JOIN fe ON fe.user_id = l.user_id
+           AND (fe.ts < l.ts OR (fe.ts = l.ts AND fe.event_id < l.event_id)) GROUP BY l.event_id)
+SELECT l.event_id, l.mood_event_id, round(list_sum(l.lv), 6) AS mood_checksum, round(l.lv[1], 6) AS mood_v0,
+       pf.n AS profile_count, round(list_sum(pf.v), 6) AS profile_checksum, round(pf.v[1], 6) AS profile_v0,
+       round(list_inner_product(l.lv, pf.v), 6) AS alignment
+FROM live l LEFT JOIN before USING (event_id) LEFT JOIN pf ON pf.user_id = l.user_id AND pf.n = before.n"""
+
+
+@query("attach_vectors", oracle=f"WITH RECURSIVE {MOOD_SQL}, {ATTACHED_SQL}")
 def attach_vectors(spark, d):
-    """Each feedback interaction with its live mood and its user's profile
-    (ids / counts reported; absent vectors are null)."""
-    lf = live_feedback(spark, d)
-    prof = feedback_profiles(spark, d).select("user_id", F.col("interaction_count").alias("profile_count"))
-    a = P.attach_vectors(lf.select("event_id", "user_id"), lf.select("event_id", "mood_event_id"), prof)
-    return a.select("event_id", "mood_event_id", "profile_count")
+    """Each feedback interaction with the mood live at its moment and its user's
+    profile right before it (vectors reported by sum, first component and inner product)."""
+    m, feedback = moods(spark, d), feedback_events(spark, d)
+    applied = P.mood_asof(feedback, m).where(F.col("mood_vec").isNotNull())
+    states = FO.feedback_states(applied, order=["ts", "event_id"])
+    a = P.attach_vectors(feedback, m, states)
+    (msum, m0), (psum, p0) = _summary("mood_vec"), _summary("profile_vec")
+    both = F.aggregate(F.zip_with("mood_vec", "profile_vec", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    return a.select("event_id", "mood_event_id", msum.alias("mood_checksum"), m0.alias("mood_v0"), F.col("interaction_count").alias("profile_count"),
+                    psum.alias("profile_checksum"), p0.alias("profile_v0"), F.round(both, 6).alias("alignment"))
+
+
+HOT = replace(DEFAULT, hot_key_rows=100)  # at test scale the hot keys below are split all the same
+HOT_SESSION = "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END"
+HOT_MOOD_SQL = MOOD_SQL.replace("user_id AS session_id", f"{HOT_SESSION} AS session_id")
+
+
+def _hot(df):
+    """A third of all events in one session."""
+    return df.withColumn("session_id", F.expr(HOT_SESSION).cast(df.schema["session_id"].dataType))
+
+
+@query("mood_asof_hot", oracle=f"""WITH RECURSIVE {HOT_MOOD_SQL}
+SELECT event_id, mood_event_id, round(list_sum(lv), 6) AS checksum FROM live""")
+def mood_asof_hot(spark, d):
+    """As-of moods where one session holds a third of all events: mood chains and
+    the as-of join run as prefix scans, so the session spreads over tasks."""
+    m = FO.mood_states(_hot(mood_messages(spark, d)), order=["ts", "event_id"], config=HOT)
+    lf = P.mood_asof(_hot(feedback_events(spark, d)), m, config=HOT)
+    return lf.select("event_id", "mood_event_id", F.round(F.aggregate("mood_vec", F.lit(0.0), lambda a, x: a + x), 6).alias("checksum"))
 
 
 GRAD_SQL = f"""r AS ({S.RATINGS_SQL}),
@@ -206,17 +243,67 @@ def graduation_batch(spark, d):
     return pending(spark, d)
 
 
+HOT_MOVIE = "CASE WHEN order_key % 3 = 0 THEN -1 ELSE item_id - item_id % 2 END"
+
+
+@query("graduation_hot", oracle="WITH " + GRAD_SQL.replace("item_id - item_id % 2 AS movie_id", f"{HOT_MOVIE} AS movie_id") + """
+SELECT movie_id, graduated_at, interaction_count FROM g""")
+def graduation_hot(spark, d):
+    """Graduations where one movie holds a third of all interactions: they are
+    numbered by a prefix scan over ranges of (movie, time)."""
+    r = S.ratings(spark, d)
+    r = r.withColumn("movie_id", F.expr(HOT_MOVIE).cast(r.schema["item_id"].dataType)).drop("item_id")
+    return G.graduations(r, S.items(spark, d).select("movie_id"), order=GRAD_ORDER, threshold=GRAD_THRESHOLD, config=HOT)
+
+
 @query("retrain_trigger", oracle=f"WITH {GRAD_SQL} SELECT count(*) AS pending_count, count(*) >= 100 AS should_retrain FROM g")
 def retrain_trigger(spark, d):
     return G.retrain_signal(pending(spark, d), 100)
 
 
-@query("mark_retrained", oracle=f"""WITH {GRAD_SQL},
+@query("weekly_batches", oracle=f"""WITH {GRAD_SQL},
 w AS (SELECT movie_id, date_trunc('week', CAST(graduated_at AS TIMESTAMP)) AS wk FROM g)
 SELECT movie_id, CASE WHEN wk < (SELECT max(wk) FROM w) THEN 'completed' ELSE 'pending' END AS status,
        CASE WHEN wk < (SELECT max(wk) FROM w) THEN 'batch-' || strftime(wk, '%Y-%m-%d') END AS batch,
        CASE WHEN wk < (SELECT max(wk) FROM w) THEN strftime(CAST(wk AS DATE) + 7, '%Y-%m-%d') END AS retrained_at
 FROM w""")
-def mark_retrained(spark, d):
+def weekly_batches(spark, d):
     """Weekly retrain batches: graduations of closed weeks move to completed."""
     return G.weekly_batches(pending(spark, d))
+
+
+@query("mark_retrained", oracle=f"""WITH {GRAD_SQL}
+SELECT movie_id, graduated_at, interaction_count, CASE WHEN movie_id % 4 = 0 THEN 'completed' ELSE 'pending' END AS status,
+       CASE WHEN movie_id % 4 = 0 THEN 'batch-1' END AS batch, CASE WHEN movie_id % 4 = 0 THEN '2001-12-01' END AS retrained_at FROM g""")
+def mark_retrained(spark, d):
+    """One retrain batch: the pending movies whose id is divisible by 4 move to completed."""
+    p = materialize(pending(spark, d))
+    still, done = G.mark_retrained(p, p.where(F.col("movie_id") % 4 == 0).select("movie_id"), batch_id="batch-1", retrained_at="2001-12-01")
+    still = still.withColumn("status", F.lit("pending"))
+    return still.unionByName(done.withColumn("status", F.lit("completed")), allowMissingColumns=True).select(
+        "movie_id", "graduated_at", "interaction_count", "status", "batch", "retrained_at")
+
+
+@query("graduation_lifecycle", oracle=f"""WITH r AS ({S.RATINGS_SQL}),
+t AS (SELECT r.* EXCLUDE (item_id), item_id - item_id % 2 AS movie_id, CASE WHEN ts < TIMESTAMP '1998-01-01' THEN 0 ELSE 1 END AS epoch FROM r),
+x AS (SELECT t.*, row_number() OVER (PARTITION BY movie_id ORDER BY ts, order_key, line_number, user_id, price, rating) AS k
+      FROM t WHERE movie_id NOT IN (SELECT vec_id FROM embeddings)),
+first AS (SELECT movie_id, count(*) AS c FROM x WHERE epoch = 0 GROUP BY movie_id),
+done AS (SELECT movie_id, c FROM first WHERE c >= 20 AND movie_id % 4 = 0),
+total AS (SELECT movie_id, count(*) AS c FROM x GROUP BY movie_id),
+g AS (SELECT movie_id, strftime(ts, '%Y-%m-%d') AS graduated_at FROM x WHERE k = 20)
+SELECT total.movie_id, CASE WHEN done.c IS NOT NULL THEN 'completed' WHEN total.c >= 20 THEN 'pending' ELSE 'counting' END AS status,
+       graduated_at, coalesce(done.c, total.c) AS interaction_count,
+       CASE WHEN done.c IS NOT NULL THEN 'batch-0' END AS batch, CASE WHEN done.c IS NOT NULL THEN '1998-01-01' END AS retrained_at
+FROM total LEFT JOIN done USING (movie_id) LEFT JOIN g USING (movie_id)""")
+def graduation_lifecycle(spark, d):
+    """The graduation store over two epochs of interactions with a retrain batch
+    between them: all movies with their state."""
+    r = S.ratings(spark, d).withColumn("movie_id", F.col("item_id") - F.pmod("item_id", F.lit(2))).drop("item_id")
+    first = F.col("ts") < F.lit("1998-01-01").cast("timestamp")
+    catalog = S.items(spark, d).select("movie_id")
+    store = GraduationStore(spark, f"{stage_folder(spark)}/graduation-{uuid.uuid4().hex}", order=GRAD_ORDER, threshold=20)
+    store.record(r.where(first), 0, catalog)
+    store.mark_retrained(store.state().pending.where(F.col("movie_id") % 4 == 0), batch_id="batch-0", retrained_at="1998-01-01")
+    store.record(r.where(~first), 1, catalog)
+    return store.all_movies().select("movie_id", "status", "graduated_at", "interaction_count", "batch", "retrained_at")

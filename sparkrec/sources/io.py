@@ -19,16 +19,26 @@ from ..session import ensure_checkpoint_dir
 _STAGES: set[str] = set()
 
 
-def _stage_folder(spark: SparkSession) -> str:
+def _application_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sparkrec-stages/{spark.sparkContext.applicationId}"
 
 
+def stage_folder(spark: SparkSession) -> str:
+    """The application's folder of stage tables in the shared ``spark.checkpoint.dir``,
+    deleted when its driver ends."""
+    folder = _application_folder(spark)
+    if folder not in _STAGES:
+        _STAGES.add(folder)
+        atexit.register(drop_stages, spark)
+    return folder
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete the stage tables this application has written so far; DataFrames
     that still read them can no longer be evaluated."""
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return
-    folder = _stage_folder(spark)
+    folder = _application_folder(spark)
     hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
     _STAGES.discard(folder)
@@ -43,11 +53,7 @@ def materialize(df: DataFrame) -> DataFrame:
     pruning and statistics. The table survives executor loss. An application's
     stage tables are dropped when its driver ends, or by :func:`drop_stages`."""
     spark = df.sparkSession
-    folder = _stage_folder(spark)
-    if folder not in _STAGES:
-        _STAGES.add(folder)
-        atexit.register(drop_stages, spark)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = f"{stage_folder(spark)}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
