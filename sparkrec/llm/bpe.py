@@ -3,8 +3,10 @@
 Spark partitions the documents; a task hands its texts, in parts of bounded size,
 to its worker's in-memory database (one thread, a memory limit, no files):
 
-* A pattern splits a text into words; each word is encoded apart. Words met
-  before come from a bounded table.
+* A pattern splits a text into words; each word is encoded apart. A text is
+  first cut into pieces at places where a word surely begins (``cuts``: a single
+  space between two other characters); pieces and words met before come from
+  bounded tables.
 * **Encoding** is a recursive query over token-position rows ``(word, place,
   id)``. Each round joins neighbouring tokens with the merge table ``(left,
   right, merged)``, finds every word's least merged rank and contracts the
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkrec.llm.common import ship
-from sparkrec.llm.tokens import in_parts
+from sparkrec.llm.tokens import _CUT, _irregular, in_parts
 
-KEEP_WORDS = 150_000  # words kept by a worker, twice at most
-KEEP_BYTES = 64  # longer words are not kept
-STEP_BYTES = 250_000  # bytes of words, and ids of documents, of one query
+KEEP = 120_000  # words, and pieces, kept by a worker, twice at most
+KEEP_BYTES = 64  # longer ones are not kept
+PART_CHARS = 2_000_000  # text handled at a time
+STEP_BYTES = 400_000  # bytes of words, and ids of documents, of one query
 LONG_BYTES = 200  # of a word, from which its rounds are kept by place
-LETTER = 256  # a byte b is the character LETTER + b in the database
 
 _SETUP = """
 CREATE TABLE vocab AS SELECT * FROM file_rows;
@@ -48,17 +50,19 @@ FROM (SELECT id, token, unnest(range(1, length(token))) AS cut FROM vocab) v
 JOIN vocab a ON a.token = substr(v.token, 1, cut) JOIN vocab b ON b.token = substr(v.token, cut + 1);
 """
 
-# start(w, p, id): the bytes of the words
+# start(w, p, id): the bytes of the words; a place g is (word << 16 | place in the word)
 _ENCODE = """
-WITH RECURSIVE t(w, p, id, step) AS (
-  SELECT w, p, id, 0 FROM start
+WITH RECURSIVE t(g, id, step) AS (
+  SELECT (w::BIGINT << 16) | p, id, 0 FROM start
   UNION ALL
-  (WITH pairs AS (SELECT w, p, id, lead(id) OVER o AS next, lead(p) OVER o AS p2 FROM t WINDOW o AS (PARTITION BY w ORDER BY p)),
-   least AS (SELECT w, min((k::BIGINT << 32) | (p::BIGINT << 16) | p2) AS b FROM pairs JOIN merges ON l = id AND r = next GROUP BY w)
-   SELECT t.w, t.p, CASE WHEN t.p = ((b >> 16) & 65535) THEN (b >> 32)::INT ELSE t.id END, t.step + 1
-   FROM t JOIN least USING (w) WHERE t.p <> (b & 65535))
-)
-SELECT w, id FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) ORDER BY w, p
+  (WITH pairs AS (SELECT g, id, lead(id) OVER o AS next, lead(g) OVER o AS g2 FROM t WINDOW o AS (ORDER BY g)),
+   least AS (SELECT g >> 16 AS w, min((k::BIGINT << 32) | ((g & 65535) << 16) | (g2 & 65535)) AS b
+             FROM pairs JOIN merges ON l = id AND r = next WHERE (g >> 16) = (g2 >> 16) GROUP BY g >> 16)
+   SELECT t.g, CASE WHEN (t.g & 65535) = ((b >> 16) & 65535) THEN (b >> 32)::INT ELSE t.id END, t.step + 1
+   FROM t JOIN least ON least.w = (t.g >> 16) WHERE (t.g & 65535) <> (b & 65535))
+),
+last AS (SELECT g >> 16 AS w, max(step) AS step FROM t GROUP BY g >> 16)
+SELECT (t.g >> 16)::INT AS w, id FROM t JOIN last ON last.w = (t.g >> 16) AND last.step = t.step ORDER BY t.g
 """
 
 _ENCODE_LONG = """
@@ -82,17 +86,7 @@ WITH RECURSIVE t(w, p, id) USING KEY (w, p) AS (
 SELECT w, id FROM t WHERE id IS NOT NULL ORDER BY w, p
 """
 
-_DECODE = """
-SELECT d, string_agg(token, '' ORDER BY p) AS text, count(*) AS n FROM ids JOIN vocab USING (id) GROUP BY d
-"""
-
-
-def letters(raw: bytes) -> str:
-    return (np.frombuffer(raw, dtype=np.uint8).astype("<u2") + LETTER).tobytes().decode("utf-16-le")
-
-
-def raw_bytes(text: str) -> bytes:
-    return (np.frombuffer(text.encode("utf-16-le"), dtype="<u2") - LETTER).astype(np.uint8).tobytes()
+_DECODE = "SELECT d, array_to_string(list(token ORDER BY p), '') AS text, count(*) AS n FROM ids JOIN vocab USING (id) GROUP BY d"
 
 
 def slices(sizes: list[int], most: int):
@@ -107,10 +101,37 @@ def slices(sizes: list[int], most: int):
         at = end
 
 
+class Known:
+    """Ids of words or pieces in two generations: a full one becomes the old one,
+    from which entries still in use move over."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def fill(self, asked: set[str], learn):
+        """Look-up function for all ``asked``; ``learn`` is given those not met before."""
+        if len(self.new) > KEEP:
+            self.new, self.old = {}, self.new
+        missing = asked.difference(self.new)
+        again = missing.intersection(self.old)
+        self.new.update((x, self.old[x]) for x in again)
+        fresh = learn(list(missing - again))
+        long = {x: ids for x, ids in fresh.items() if len(x) > KEEP_BYTES}
+        if not long:
+            self.new.update(fresh)
+            return self.new.__getitem__
+        self.new.update((x, ids) for x, ids in fresh.items() if x not in long)
+        return (self.new | long).__getitem__
+
+
 class Bpe:
-    """Encoder and decoder of one rank file (lines of base64 token and rank)."""
+    """Encoder and decoder of one rank file (lines of base64 token and rank).
 
-    def __init__(self, rank_file: bytes, pattern: str):
+    A byte is the Latin-1 character of its value in the database. ``cuts`` says that
+    the pattern begins a word at every single space between two other characters."""
+
+    def __init__(self, rank_file: bytes, pattern: str, cuts: bool = True):
         import duckdb
         import regex
 
@@ -122,11 +143,10 @@ class Bpe:
             raise ValueError("the rank file lacks single bytes")
         self.byte_id = np.frombuffer(b"".join(self.token_id[bytes([b])] for b in range(256)), dtype=np.int32)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        self.db.register("file_rows", pd.DataFrame({"id": np.array(ids, dtype=np.int32), "token": [letters(t) for t in tokens]}))
+        self.db.register("file_rows", pd.DataFrame({"id": np.array(ids, dtype=np.int32), "token": [t.decode("latin-1") for t in tokens]}))
         self.db.execute(_SETUP)
         self.db.unregister("file_rows")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.cuts, self.words, self.pieces = cuts, Known(), Known()
 
     def _query(self, sql: str, **tables) -> dict:
         for name, frame in tables.items():
@@ -154,21 +174,24 @@ class Bpe:
                 out.update((w, ids[at[j]:at[j + 1]]) for j, w in enumerate(of[a:b]))
         return out
 
+    def of_words(self, lists: list[list[str]]) -> list[bytes]:
+        """Ids of each list of words."""
+        found = self.words.fill(set().union(*lists), self.learn)
+        return [b"".join(map(found, ws)) for ws in lists]
+
+    def of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces as they stand in a text: after a space, but for those that begin with a line feed."""
+        return dict(zip(pieces, self.of_words([self.split(p if p[:1] == "\n" else " " + p) for p in pieces])))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit."""
-        if len(self.known) > KEEP_WORDS:
-            self.known, self.older = {}, self.known
-        split = [self.split(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        again = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
-        fresh = self.learn(list(new - again))
-        self.known.update((w, ids) for w, ids in fresh.items() if len(w) <= KEEP_BYTES)
-        long = {w: ids for w, ids in fresh.items() if len(w) > KEEP_BYTES}
-        if long:
-            of = self.known | long
-            return [b"".join(map(of.__getitem__, words)) for words in split]
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        if not self.cuts:
+            return self.of_words([self.split(t) for t in texts])
+        cut = [_CUT.split(t) if _irregular(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        first = self.of_words([self.split(c[0]) for c in cut])
+        rest = [c[1:] for c in cut]
+        found = self.pieces.fill(set().union(*rest), self.of_pieces)
+        return [f + b"".join(map(found, ps)) for f, ps in zip(first, rest)]
 
     def decode(self, ids: list[bytes]) -> list[bytes | None]:
         """Bytes of each id sequence; None where an id is not in the vocabulary."""
@@ -179,7 +202,7 @@ class Bpe:
             flat = np.frombuffer(b"".join(part), dtype="<u4").astype(np.int64)
             frame = pd.DataFrame({"d": np.repeat(np.arange(len(part), dtype=np.int32), size), "p": np.arange(len(flat), dtype=np.int64), "id": flat})
             got = self._query(_DECODE, ids=frame)
-            found = {int(d): raw_bytes(t) for d, t, n in zip(got["d"], got["text"], got["n"]) if n == size[d]}
+            found = {int(d): t.encode("latin-1") for d, t, n in zip(got["d"], got["text"], got["n"]) if n == size[d]}
             out += [found.get(d, b"" if not size[d] else None) for d in range(len(part))]
         return out
 
@@ -213,7 +236,7 @@ def _run(df: DataFrame, ranks_path: str, pattern: str, schema: str, encode: bool
         bpe = of_worker(shared.value, pattern)
         for batch in batches:
             given = [t or "" for t in batch.column(1).to_pylist()] if encode else _ids_bytes(batch.column(1))
-            for a, b in in_parts(given, 500_000):
+            for a, b in in_parts(given, PART_CHARS):
                 ids = bpe.encode(given[a:b]) if encode else given[a:b]
                 columns = [batch.column(0).slice(a, b - a), _ids_array(ids)]
                 if decode:

@@ -49,15 +49,17 @@ def test_odd_texts(spark, tables):
 
 def test_random_words_contract_like_the_library():
     rnd, enc = random.Random(8), library()
-    own = bpe.Bpe(open(RANKS, "rb").read(), public_tokenizers.PATTERN)
+    own, uncut = bpe.Bpe(open(RANKS, "rb").read(), public_tokenizers.PATTERN), bpe.Bpe(open(RANKS, "rb").read(), public_tokenizers.PATTERN, cuts=False)
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 60))) for alphabet in ("ab", "the ", "aeinrst", "é漢 x", "01.- ") for _ in range(300)]
+    texts += ["".join(rnd.choice(["a", "1", "'s", "?", " ", " ", "\n", "\t", "\x1c", "\u00a0", "\u2003", "\x85"]) for _ in range(12)) for _ in range(3000)]
     ids = own.encode(texts)
+    assert ids == uncut.encode(texts)
     assert [list(memoryview(x).cast("I")) for x in ids] == [enc.encode_ordinary(t) for t in texts]
     assert own.decode(ids) == [t.encode() for t in texts]
 
 
 def test_words_of_both_generations(monkeypatch):
-    monkeypatch.setattr(bpe, "KEEP_WORDS", 3)
+    monkeypatch.setattr(bpe, "KEEP", 3)
     own, enc = bpe.Bpe(open(RANKS, "rb").read(), public_tokenizers.PATTERN), library()
     for text in ("one two three four five", "two three six seven eight nine", "one two three", "x" * 500 + " two"):
         assert list(memoryview(own.encode([text])[0]).cast("I")) == enc.encode_ordinary(text)
