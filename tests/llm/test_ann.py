@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkrec.llm import ann
 from sparkrec.llm.q_ann import op3_nearest_neighbours
@@ -62,3 +63,56 @@ def test_walk_reaches_what_a_scan_reaches():
         want = set(np.nonzero(d <= d.min() * 1.2)[0].tolist())
         got = set(ann.walk(q, index, 1.2)[0])
         assert got <= want or d.min() > 0 and len(got & want) >= 0.9 * len(want)
+
+
+def clustered(n=6000, clusters=60, dim=16, seed=3):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(clusters, dim))
+    share = np.concatenate([np.zeros(n // 3, dtype=int), rng.integers(0, clusters, n - n // 3)])  # one cluster holds a third
+    return middles[share] + 0.25 * rng.normal(size=(n, dim))
+
+
+def test_clustered_vectors_are_read_selectively(spark, monkeypatch):
+    x = clustered().astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    monkeypatch.setattr(ann, "REGION_ROWS", 500)
+    found = ann.search(df, F.col("query_id") % 20 == 0, 20, list_rows=64)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute(rows)
+    assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+    # lists are balanced, few vectors are replicated, and a query reads a small share of the rows
+    items = ann.materialize(ann.distinct_vectors(df, "vec_id", "embedding", 21))
+    index, sizes = ann.split_lists(items, ann.fit(items, len(rows), 64, sample_rows=100), 64)
+    assert sizes.sum() == len(rows) and sizes.max() <= 256 and np.median(sizes[sizes > 0]) >= 16
+    a = ann.augment(x.astype(float), index.top)
+    placed = ann.homes(a, index, 3, 1.03)
+    assert 1.0 <= sum(map(len, placed)) / len(x) < 1.3
+    ratio = ann.fit_ratio(items, ann.by_hash(items, len(rows), 64), index, 20, 3, 1.03, 0.93)
+    read = [sizes[ann.walk(np.append(v, 0.0), index, ratio)[0]].sum() for v in x[::100].astype(float)]
+    assert np.mean(read) < 0.25 * len(x)
+
+
+def test_regions_and_sets():
+    cut = ann.Regions.cut(np.array([ann.REGION_ROWS // 2] * 3 + [3 * ann.REGION_ROWS] + [1] * 130))
+    assert cut.of[:5].tolist() == [0, 0, 1, 2, 5] and cut.blocks == {2: 3}
+    assert max(np.bincount(cut.of[4:])) == ann.REGION_LISTS
+    assert sorted(cut.sets([0, 1, 3])) == [(0, 3), (2, 1), (3, 1), (4, 1)]
+    (region, bits), = cut.sets([3], did=17)
+    assert region in (2, 3, 4) and bits == 1
+    assert cut.sets([4 + 63]) == [(5, -(1 << 63))]
+
+
+def test_no_pair_is_lost_where_all_lists_are_read(spark, monkeypatch):
+    """Ratio without a limit: the search is exact, with replicas and blocks."""
+    monkeypatch.setattr(ann, "REGION_ROWS", 40)
+    monkeypatch.setattr(ann, "fit_ratio", lambda *a: 1e9)
+    x = clustered(900, 12, 5, seed=9)
+    rows = [(i, [float(c) for c in np.float32(v)]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, F.col("query_id") % 20 == 0, 20, replica_ratio=1.5, list_rows=30).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in near] for q, near in brute(rows).items()}
