@@ -106,7 +106,7 @@ def pack_group(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     sequences = [[Piece(r, 0, length)] for r in full]
     sequences += [[Piece(rest[p.row], p.start, p.length) for p in b] for b in pack_sizes([int(sizes[r]) for r in rest], length)]
     rows, starts, lengths, seq, offsets, ids = [], [], [], [], [], []
-    raw = pdf["ids"].tolist()
+    raw, width = pdf["ids"].tolist(), len(pdf["ids"].iloc[0]) // int(sizes[0])
     base = pdf["start"].tolist()
     for s, pieces in enumerate(sequences):
         at = 0
@@ -116,30 +116,34 @@ def pack_group(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
             lengths.append(p.length)
             seq.append((group << 32) | s)
             offsets.append(at)
-            ids.append(raw[p.row][4 * p.start:4 * (p.start + p.length)])
+            ids.append(raw[p.row][width * p.start:width * (p.start + p.length)])
             at += p.length
     return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[rows].array, "start": starts, "length": lengths, "doc_tokens": pdf["doc_tokens"].iloc[rows].array,
-                         "sequence_id": seq, "offset": offsets, "ids": ids})
+                         "sequence_id": seq, "offset": offsets, "ids": ids if width == 4 else [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in ids]})
 
 
 def cut_documents(tokenizer_json, end_id: int, length: int, groups: int, seed: int):
-    """mapInArrow function: documents to the pieces of their ids."""
+    """mapInArrow function: documents to the pieces of their ids, which cross the
+    shuffle in 16 bits where the vocabulary has no more."""
     schema = pa.schema([("grp", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
         enc = encoder(tokenizer_json.value)
+        small = max(enc.vocab_size, end_id + 1) <= 1 << 16
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in in_parts(texts):
                 out = ([], [], [], [], [], [])
                 for doc, text, ids in zip(docs[a:b], texts[a:b], enc.encode(texts[a:b])):
                     ids += tail
-                    n = len(ids) // 4
+                    n, width = len(ids) // 4, 4
+                    if small:
+                        ids, width = np.frombuffer(ids, "<u4").astype("<u2").tobytes(), 2
                     own = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed)
                     for start in range(0, n, length):
                         size = min(length, n - start)
-                        row = (xxhash.xxh64_intdigest(f"{doc}:{own}:{start}", seed) % groups, doc, start, size, n, ids[4 * start:4 * (start + size)])
+                        row = (xxhash.xxh64_intdigest(f"{doc}:{own}:{start}", seed) % groups, doc, start, size, n, ids[width * start:width * (start + size)])
                         for c, v in zip(out, row):
                             c.append(v)
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)

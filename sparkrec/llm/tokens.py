@@ -1,21 +1,17 @@
-"""Whole-text token ids, each distinct piece of text encoded once per worker.
-
-A tokenizer cuts a text into pre-tokens before it merges, so a text may be cut
-at places where a pre-token surely begins and its pieces be encoded apart: the
-ids are the same as those of the whole text with ``encode_special_tokens`` on,
-that is, the string of an added token (``<|endoftext|>``) in a text is encoded
-as ordinary text and not as that token. Pieces repeat a lot, so their ids are kept in a bounded table.
-
-Which cut is safe is read from the tokenizer file:
-
-* ``spaced`` (byte-level, space belongs to the next word): before a single space
-  or line feed between two non-space characters.
-* ``words`` (white space dropped): at white space.
-* ``whole``: anything else; texts are encoded as they are.
-
-Most pieces are plain: Latin letters, digits and marks. Their pre-tokens are the
-runs of one kind, so these go straight to the tokenizer's merge model, without
-its normaliser and pre-tokenizer, and are kept as well.
+"""Token ids of whole texts, as the tokenizers library gives them for a tokenizer
+file (special tokens not added), at less cost where the file allows it.
+
+* ``ranks`` (byte-level, each merge makes the next id): the vocabulary's bytes are
+  their own ranks, and the rank encoder of ``tiktoken`` gives the same ids.
+* ``words`` (white space dropped): a text is cut at white space and its pieces are
+  encoded apart. Pieces repeat a lot, so their ids are kept in a bounded table. Most
+  are plain: Latin letters, digits and marks. Their pre-tokens are the runs of one
+  kind, which go straight to the tokenizer's merge model and are kept as well.
+* ``whole``: anything else is encoded by the library as it is.
+
+A text that holds the string of an added token (``<|endoftext|>``), which the
+library finds before it cuts, is encoded whole by the library, and so is a text with
+a word or gap of thousands of characters, for which rank encoding is quadratic.
 """
 
 from __future__ import annotations
@@ -27,8 +23,11 @@ from array import array
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile(r"\n?[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+\Z")  # Latin-1 letters, digits, ASCII marks but the apostrophe
-_RUNS = {"spaced": re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+"), "words": re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")}
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+\Z")  # Latin-1 letters, digits, ASCII marks but the apostrophe
+_RUNS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+").findall
+_LONG = re.compile(r"\S{2000}|\s{2000}").search
+# the pre-tokens of byte-level vocabularies
+_WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def byte_letters() -> dict[int, str]:
@@ -39,10 +38,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def merge_ids(spec: dict) -> list[int]:
+    """Id that each merge of the file makes, in the file's order."""
+    vocab = spec["model"]["vocab"]
+    return [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
+
+
 def cut_rule(spec: dict) -> str:
-    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and norm is None:
-        return "spaced"
+    pre, norm, model = spec.get("pre_tokenizer") or {}, spec.get("normalizer"), spec.get("model") or {}
+    if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and norm is None and model.get("type", "BPE") == "BPE":
+        made = merge_ids(spec)
+        if not model.get("ignore_merges") and made == sorted(set(made)) and set(made) == set(range(256, 256 + len(made))):
+            return "ranks"
     first = (pre.get("pretokenizers") or [{}])[0]
     if pre.get("type") == "Sequence" and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert"):
         return "words"
@@ -70,61 +77,74 @@ class Kept(dict):
             self.clear()
 
 
-class PieceEncoder:
+class TextEncoder:
     """``encode(texts)`` -> little-endian unsigned 32-bit ids of each text, as bytes."""
 
     def __init__(self, tokenizer_json: str, keep: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        spec = json.loads(tokenizer_json)
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
-        self.rule = cut_rule(json.loads(tokenizer_json))
+        self.rule = cut_rule(spec)
         self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.lowered = spec.get("normalizer") is not None  # an added token may be looked for in normalised text
+        self.added = [t["content"].lower() if self.lowered else t["content"] for t in spec.get("added_tokens", [])]
+        self.signs = {re.match(r"[^A-Za-z]*", t)[0] for t in self.added}  # their beginnings without case
         self.keep, self.letters, self.merge = keep, byte_letters(), self.tokenizer.model.tokenize
-        self.find = _RUNS[self.rule].findall if self.rule in _RUNS else None
         self.pieces, self.runs = Kept(self._piece), Kept(self._run)
+        if self.rule == "ranks":
+            import tiktoken
+
+            byte = {letter: b for b, letter in byte_letters().items()}
+            ranks = {bytes(byte.get(c, ord(c)) for c in t): i for t, i in spec["model"]["vocab"].items() if i < 256 + len(spec["model"]["merges"])}
+            self.by_rank = tiktoken.Encoding("ranks", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _apart(self, text: str) -> bool:
+        """Whether the library has to see the whole text."""
+        if any(sign in text for sign in self.signs):
+            seen = text.lower() if self.lowered else text
+            if any(t in seen for t in self.added):
+                return True
+        return self.rule == "ranks" and len(text) >= 2000 and _LONG(text) is not None
+
     def _run(self, run: str) -> bytes:
-        """Ids of one pre-token of a plain piece; a space before it is written as in the vocabulary."""
-        if self.rule == "words":
-            run = run.lower()
-        lead = run[0] == "Ġ"
-        own = run[1:] if lead else run
-        if not own.isascii() or own == "\n":
+        """Ids of one pre-token of a plain piece."""
+        own = run.lower()
+        if not own.isascii():
             own = own.encode().decode("latin-1").translate(self.letters)
-            run = "Ġ" + own if lead else own
-        return array("I", [t.id for t in self.merge(run)]).tobytes()
+        return array("I", [t.id for t in self.merge(own)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        """Ids of a piece as it stands in a text: after a space unless it begins with a line feed."""
+        """Ids of a piece between white space."""
         if piece.isalpha() and piece.isascii():
-            return self.runs[piece if self.rule == "words" else "Ġ" + piece]
+            return self.runs[piece]
         if not _PLAIN.match(piece):
-            return self._ids([piece if self.rule == "words" or piece[:1] == "\n" else " " + piece])[0]
-        runs = self.find(piece)
-        if self.rule == "spaced":
-            if piece[0] == "\n":
-                runs.insert(0, "\n")
-            else:
-                runs[0] = "Ġ" + runs[0]
+            return self._ids([piece])[0]
         of = self.runs
-        return b"".join([of[r] for r in runs])
+        return b"".join([of[r] for r in _RUNS(piece)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.rule == "whole":
             return self._ids(texts)
-        self.pieces.age(self.keep)
-        self.runs.age(self.keep)
-        of = self.pieces.__getitem__
-        if self.rule == "words":
-            return [b"".join(map(of, _blank(t).split(" "))) for t in texts]
-        cut = [_CUT.split(t) if _irregular(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        first = self._ids([c[0] for c in cut])
-        return [f + b"".join(map(of, c[1:])) for f, c in zip(first, cut)]
+        apart = [i for i, t in enumerate(texts) if self._apart(t)]
+        by_library = self._ids([texts[i] for i in apart])
+        texts = list(texts)
+        for i in apart:
+            texts[i] = ""
+        if self.rule == "ranks":
+            out = [array("I", self.by_rank(t)).tobytes() for t in texts]
+        else:
+            self.pieces.age(self.keep)
+            self.runs.age(self.keep)
+            of = self.pieces.__getitem__
+            out = [b"".join(map(of, _blank(t).split(" "))) for t in texts]
+        for i, ids in zip(apart, by_library):
+            out[i] = ids
+        return out
 
 
 def _blank(text: str) -> str:
@@ -141,14 +161,14 @@ def _irregular(text: str) -> bool:
     return _OTHER_SPACE.search(text) is not None
 
 
-_ENCODERS: dict[int, PieceEncoder] = {}
+_ENCODERS: dict[int, TextEncoder] = {}
 
 
-def encoder(tokenizer_json: str) -> PieceEncoder:
+def encoder(tokenizer_json: str) -> TextEncoder:
     """The worker's encoder for this tokenizer file."""
     key = hash(tokenizer_json)
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(tokenizer_json)
+        _ENCODERS[key] = TextEncoder(tokenizer_json)
     return _ENCODERS[key]
 
 

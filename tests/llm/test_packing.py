@@ -13,9 +13,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def check(pieces, rows, tokenizer):
@@ -89,15 +87,20 @@ def test_at_most_one_sequence_is_not_full():
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_piecewise_ids_equal_whole_text_ids(name):
+def test_ids_equal_the_library_call(name):
     import random
 
     js = open(public_tokenizers.path(name)).read()
     plain = Tokenizer.from_str(js)
-    plain.encode_special_tokens = True
     rnd = random.Random(1)
     texts = ["", " ", "  a", "a \n b", "\x01 a \x01", "it's  don't", "end  ", "́a b́ c", "a\x1c b \x85c", "ΑΣ ΣΑΣ."]
+    texts += ["one <|endoftext|> two", "<|startoftext|>a<|endoftext|>", " <|ENDOFTEXT|> x <|", "<|endoftext|", "a" * 5000 + " b", "ab " * 900 + " " * 3000 + "x", "thethe" * 900]
     texts += ["".join(rnd.choice([" ", " ", "a", "b", "'s", "\n", "\t", "1", "é", ".", "\x01", "́", "Z"]) for _ in range(30)) for _ in range(500)]
-    got = tokens.PieceEncoder(js).encode(texts)
+    letters = ["the ", "abcdefghijklmnopqrstuvwxyz", "etaoin shrdlu", "0123456789", "=-_*#/.", "ÀÉÎõü漢字 "]
+    texts += ["".join(rnd.choice(letters[i % 6]) for _ in range(rnd.randint(2, 30))) for i in range(6000)]
+    vocabulary = [t.replace("</w>", "").replace("Ġ", " ") for t in plain.get_vocab() if t.isascii() or t[0] == "Ġ"]
+    texts += ["".join(rnd.choice(vocabulary) for _ in range(3)) for _ in range(6000)]
+    assert tokens.TextEncoder(js).rule == {"byte_bpe_50k.json": "ranks", "word_bpe_49k.json": "words"}[name]
+    got = tokens.TextEncoder(js).encode(texts)
     want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
     assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == want

@@ -50,7 +50,6 @@ def test_pipeline_equals_brute_force(spark, sf):
     assert 0 < len(want) < len(docs)
     pieces = corpus_pipeline.run(spark, sf).withColumn("ids_crc32", F.crc32("ids")).collect()
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     padding, _ = check_packing(pieces, want, tokenizer)
     assert padding < 1024
 

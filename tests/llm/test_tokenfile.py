@@ -10,7 +10,6 @@ from sparkrec.llm.q_tokenfile import op6_token_files
 
 def brute(rows):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for d, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -30,7 +29,7 @@ def test_query_equals_brute_force(spark, sf):
 
 
 def test_odd_rows_over_several_shards(spark, tables, monkeypatch):
-    rows = [(5, None), (-3, ""), (2**62, "x y"), (-(2**62), "é ß"), (7, "again"), (7, "again"), (8, "word " * 3000), (None, "nobody")]
+    rows = [(5, None), (-3, ""), (2**62, "x y"), (-(2**62), "é ß"), (7, "again"), (7, "again"), (8, "word " * 3000), (None, "nobody"), (11, "one <|endoftext|> two <|startoftext|>"), (12, "<|ENDOFTEXT|>")]
     path = tables(documents=("doc_id long, text string, shard string, image int", [(*r, "x", 1) for r in rows]))
     assert run(spark, path) == brute(rows)
 
