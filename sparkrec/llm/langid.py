@@ -12,9 +12,9 @@ of a few words would be the cheapest for text of no language.
 Greedy parsing needs no suffix links: a phrase is a walk from the root, and the
 character that has no edge starts the next phrase at the root. That makes every
 automaton one dense transition table in which a failed edge already points to
-the restart state and carries the phrase count. Where the references have more
-than ``DENSE_LETTERS`` letters, the table is a sorted list of the edges that there
-are, and a failed edge is looked up in the language's row of restarts. Documents are cut at fixed
+the restart state and carries the phrase count. Where that table would take more
+than ``DENSE_BYTES``, it is a sorted list of the edges that there are instead, and a
+failed edge is looked up in the language's row of restarts. Documents are cut at fixed
 segment ends (a phrase does not span one), and all segments of an Arrow batch
 step together in numpy, for all languages at once.
 
@@ -37,7 +37,7 @@ from sparkrec.llm.common import ship
 
 UNDETERMINED = "und"
 REFERENCE_CHARS, LEAST_CHARS = 40_000, 1_000  # of a reference: at most; least that counts in the cost
-DENSE_LETTERS = 2048  # letters up to which the table is dense
+DENSE_BYTES = 64_000_000  # size up to which the table is dense; every Python worker holds one
 SEGMENT = 2048  # code points after normalisation; a phrase ends at a segment's end
 _STATE_BITS = 28
 _STATE = (1 << _STATE_BITS) - 1
@@ -162,13 +162,13 @@ def build_model(references: dict[str, str]) -> LangModel:
     """Automata of the reference texts (language -> text)."""
     langs = tuple(sorted(references))
     alphabet = "".join(sorted({ch for t in references.values() for ch in t.lower() if ch.isalpha()}))
-    sparse = len(alphabet) > DENSE_LETTERS
-    keys, restarts = [], []
     width = len(alphabet) + 2
+    coded = [encode([references[lang]], alphabet)[0] for lang in langs]
+    automata = [suffix_automaton([int(c) for c in codes if c != _OTHER]) for codes in coded]
+    sparse = 4 * width * sum(map(len, automata)) > DENSE_BYTES
+    keys, restarts = [], []
     parts, roots, bits, base = [], [], [], 0
-    for lang in langs:
-        codes, _ = encode([references[lang]], alphabet)
-        edges = suffix_automaton([int(c) for c in codes if c != _OTHER])
+    for codes, edges in zip(coded, automata):
         root = base
         restart = [(1 << _STATE_BITS | root + edges[0][c]) if c in edges[0] else (2 << _STATE_BITS | root) for c in range(width)]
         roots.append(root)
@@ -203,7 +203,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", reference_c
     all it has.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter(
-        F.col("lang").isNotNull() & (F.length("lang") > 0) & F.col("text").rlike(r"\p{L}"))
+        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     rank = Window.partitionBy("lang", F.pmod("h", F.lit(buckets))).orderBy("h")
     picked = (rows.withColumn("text", F.substring("text", 1, chars_per_row)).withColumn("r", F.row_number().over(rank))
@@ -222,7 +222,7 @@ def phrase_bits(model: LangModel) -> np.ndarray:
     return np.maximum(model.bits, math.log2(LEAST_CHARS))
 
 
-def predict_batch(texts: list[str], model: LangModel, chars_at_once: int = 4_000_000) -> pd.DataFrame:
+def predict_batch(texts: list[str], model: LangModel, chars_at_once: int = 1_000_000) -> pd.DataFrame:
     lang, score, phrases, letters = [], [], [], []
     at, bits = 0, phrase_bits(model)
     while at < len(texts):

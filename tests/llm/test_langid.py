@@ -132,7 +132,18 @@ def test_every_reference_letter_counts_in_a_large_alphabet(monkeypatch):
     # the dense and the sparse table agree
     small = {"aa": "banana bandana cabana " * 3, "bb": "mississippi river sip " * 3}
     dense = langid.build_model(small)
-    monkeypatch.setattr(langid, "DENSE_LETTERS", 3)
+    monkeypatch.setattr(langid, "DENSE_BYTES", 1000)
     sparse = langid.build_model(small)
     codes, starts = langid.encode(["bananas sip", "ж banana ж", "ban" * 1500, ""], dense.alphabet)
     assert dense.edges is None and np.array_equal(langid.cross_parse(codes, starts, dense), langid.cross_parse(codes, starts, sparse))
+
+
+def test_table_size_decides_and_empty_labels_count(spark):
+    """Four languages of 400 letters each would make a dense table of hundreds of MB."""
+    rng = np.random.default_rng(7)
+    references = {f"l{i}": "".join(chr(0x4E00 + 400 * i + j) for j in rng.integers(0, 400, 20_000)) for i in range(4)}
+    model = langid.build_model(references)
+    assert model.edges is not None and model.table.nbytes + model.edges.nbytes + model.restarts.nbytes < 10_000_000
+    rows = [(i, "mots de la mer et du vent " * 4, "") for i in range(5)] + [(9, "words of the sea and the wind " * 4, "en")]
+    fitted = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert fitted.langs == ("", "en")
