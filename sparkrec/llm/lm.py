@@ -14,10 +14,16 @@ splits into a term of each context word, so two matrix products give every score
 and ``exp(A1) @ exp(A2 + b).T`` gives the normaliser of every pair of context
 classes at once: each token's probability is exact and costs four look-ups.
 
-*Training.* A start model comes from a bounded sample on the driver. Then every
-task of the training text trains a copy of it with noise-contrastive estimation
-(class unigrams as noise, shared by a batch) over all its tokens, and the copies
-are averaged by their tokens in a Spark aggregate: the driver gets one model.
+*Encoding.* Once the counts are known, the texts are split a second and last time
+into a stage table: each document's classes in 16 bits, the part of its sums that
+the commonest words give, and its other words. Training and scoring read that.
+
+*Training.* A start model comes from a bounded sample of whole documents on the
+driver. The training documents are dealt by a hash to parts of some ``PART_TOKENS``
+tokens; each part trains a copy of the start model with noise-contrastive estimation
+(class unigrams as noise, shared by a batch) over all its tokens, in the order of
+another hash, and the copies are averaged by their tokens in a Spark aggregate of
+whole numbers: the driver gets one model, the same for every layout of the table.
 
 *Counts* cover the whole training text. The commonest words (``LOOKUP`` at most)
 are sent to the workers; all others meet their counts in a join on the word.
@@ -28,9 +34,9 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +47,9 @@ from sparkrec.llm.tokens import in_parts
 HEAD, TAIL, DIM = 1024, 1024, 24  # word classes, hashed classes, vector size
 END = 0  # class of the document end, also the context before the first words
 LOOKUP = 100_000  # words whose counts every worker holds
-PILOT_DOCS, PILOT_TOKENS, PILOT_ROUNDS = 600, 2_000, 4
+PILOT_TOKENS, PILOT_ROUNDS = 1_000_000, 4  # of the start sample: about so many tokens, passes
+PART_TOKENS, CHUNK_TOKENS = 3_000_000, 300_000  # trained as one copy; held and shuffled at a time
+WHOLE = 1 << 20  # averaged numbers are counted in this fraction
 NOISE, BATCH, RATE = 64, 2048, 0.1
 
 
@@ -72,12 +80,6 @@ class Model:
     log_z: np.ndarray  # normaliser by both context classes
 
 
-def sequence(tokens: list[bytes], head: dict) -> np.ndarray:
-    """Classes of a document with its end."""
-    get = head.get
-    return np.array([get(w) or tail_class(w) for w in tokens] + [END], dtype=np.int32)
-
-
 def contexts(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Class, class before, class before that, of every token of the documents."""
     flat = np.concatenate(seqs)
@@ -102,9 +104,11 @@ def start_parameters(class_count: np.ndarray, dim: int = DIM, seed: int = 5) ->
 
 def _row_sums(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct places and the sum of the rows of each."""
+    at = at.astype(np.uint16)  # sorted by radix
     order = np.argsort(at, kind="stable")
-    ids, first = np.unique(at[order], return_index=True)
-    return ids, np.add.reduceat(rows[order], first, axis=0)
+    at = at[order]
+    first = np.nonzero(np.concatenate(([True], at[1:] != at[:-1])))[0]
+    return at[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 def _ascend(p: dict, name: str, ids: np.ndarray, g: np.ndarray, rate: float) -> None:
@@ -162,6 +166,18 @@ def token_logs(m: Model, tokens: tuple) -> np.ndarray:
     return (m.a1[w1, w].astype(np.float64) + m.a2[w2, w] - m.log_z[w1, w2]) / np.log(10)
 
 
+def slices(sizes: list[int], most: int):
+    """Ranges of neighbours whose sizes add up to ``most``, or of one larger one."""
+    at = 0
+    while at < len(sizes):
+        end, total = at + 1, sizes[at]
+        while end < len(sizes) and total + sizes[end] <= most:
+            total += sizes[end]
+            end += 1
+        yield at, end
+        at = end
+
+
 def _batches(batches, column: int = 0):
     for batch in batches:
         texts = [t or "" for t in batch.column(column).to_pylist()]
@@ -212,15 +228,66 @@ def vocabulary(counts: DataFrame, documents: int) -> Vocabulary:
     return Vocabulary(head, lookup, documents, int(total) + documents, int(types) + (documents > 0), class_count, np.log10(class_count + distinct + 1))
 
 
-def pilot(train_docs: DataFrame, text: str, vocab: Vocabulary) -> dict:
-    """Start model from a bounded sample: about ``PILOT_DOCS`` documents picked by
-    hash (twice as many at most), ``PILOT_TOKENS`` tokens each (the averaged
-    training covers the rest)."""
+def encode(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``(doc_id, training, key, n_tokens, known, base, inside, classes, rare, times)``
+    of every ``(doc_id, training, text)``: the classes with the end (16 bits each), how
+    many tokens are among the commonest words, their logs in the base score and (of tail
+    classes) in the model's, the document's other words and how often it holds them."""
+    lookup = {w: i for i, w in enumerate(vocab.counts)}
+    shared = rows.sparkSession.sparkContext.broadcast((lookup, vocab.head, np.fromiter(vocab.counts.values(), dtype=np.int64, count=len(lookup))))  # LOOKUP counts
+    log_n, end, known_end = float(np.log10(vocab.tokens + vocab.types + 1.0)), float(np.log10(vocab.end_count + 1.0)), int(vocab.end_count > 0)
+
+    def run(batches):
+        lookup, head, counts = shared.value
+        get, logs = lookup.get, np.append(np.log10(counts + 1.0), 0.0)
+        classes = np.fromiter((head.get(w) or tail_class(w) for w in lookup), dtype=np.uint16, count=len(lookup))
+        classes, inside = np.append(classes, END).astype(np.uint16), np.append(np.where(classes >= HEAD, logs[:-1], 0.0), 0.0)
+        for batch, a, b, texts in _batches(batches, 2):
+            split = [words(t) for t in texts]
+            n = len(split)
+            size = np.fromiter(map(len, split), dtype=np.int64, count=n)
+            flat = [w for t in split for w in t]
+            at = np.fromiter((get(w, -1) for w in flat), dtype=np.int64, count=len(flat))
+            own = np.repeat(np.arange(n), size)
+            other = np.nonzero(at < 0)[0]
+            rare = [flat[i] for i in other.tolist()]
+            k = classes[at]
+            k[other] = np.fromiter((tail_class(w) for w in rare), dtype=np.uint16, count=len(rare))
+            ends = np.cumsum(size)
+            raw = np.insert(k, ends, END).tobytes()  # an end behind every document
+            cuts = [0, *(2 * (ends + np.arange(1, n + 1))).tolist()]
+            times = Counter(zip(own[other].tolist(), rare))
+            first = np.cumsum([0, *np.bincount(np.fromiter((d for d, _ in times), dtype=np.int64, count=len(times)), minlength=n)])
+            part = batch.slice(a, b - a)
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), part.column(1), pa.array(size + 1),
+                pa.array(size - np.bincount(own[other], minlength=n) + known_end), pa.array(np.bincount(own, logs[at], minlength=n) + end - (size + 1) * log_n),
+                pa.array(np.bincount(own, inside[at], minlength=n)), pa.array([raw[x:y] for x, y in zip(cuts, cuts[1:])], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array([w for _, w in times], pa.binary())),
+                pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(list(times.values()), pa.int64())),
+            ], names=["doc_id", "training", "n_tokens", "known", "base", "inside", "classes", "rare", "times"])
+
+    found = rows.select("doc_id", "training", "text").mapInArrow(
+        run, "doc_id long, training boolean, n_tokens long, known long, base double, inside double, classes binary, rare array<binary>, times array<long>")
+    return materialize(found.withColumn("key", F.monotonically_increasing_id()))
+
+
+def dealt(encoded: DataFrame) -> DataFrame:
+    """The training documents with a hash of the row, ``h``."""
+    return encoded.filter("training").select("n_tokens", "classes", F.xxhash64("doc_id", "classes").alias("h"))
+
+
+def pilot(train_docs: DataFrame, vocab: Vocabulary) -> dict:
+    """Start model from whole documents picked by hash, about ``PILOT_TOKENS`` tokens
+    in all and twice as many at most (the averaged training covers all documents)."""
     p = start_parameters(vocab.class_count)
-    size = 16 * PILOT_TOKENS
-    picked = F.pmod(F.xxhash64(*train_docs.columns), F.lit(max(1, vocab.end_count // PILOT_DOCS))) == 0
-    sample = train_docs.filter(picked).select(F.substring(text, 1, size).alias("t")).limit(2 * PILOT_DOCS).collect()
-    seqs = [sequence(words(r["t"]), vocab.head)[:PILOT_TOKENS] for r in sample]
+    share = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, PILOT_TOKENS / max(1, vocab.tokens)))
+    picked = train_docs.filter(share & (F.col("n_tokens") <= PILOT_TOKENS)).select("h", "classes").distinct().collect()
+    seqs, held = [], 0
+    for r in sorted(picked, key=lambda r: (r["h"], bytes(r["classes"]))):
+        held += len(r["classes"]) // 2
+        if held <= 2 * PILOT_TOKENS:
+            seqs.append(np.frombuffer(r["classes"], dtype="<u2").astype(np.int32))
     if seqs:
         for i in range(PILOT_ROUNDS):
             train(p, contexts(seqs), vocab.class_count, RATE, i)
@@ -238,30 +305,50 @@ def tables(p: dict, key: int) -> Model:
     return _TABLES[key]
 
 
-def fit(train_docs: DataFrame, text: str, vocab: Vocabulary) -> dict:
+def stacked(p: dict) -> np.ndarray:
+    """A model's parameters as rows: those of each class, then those of the two places."""
+    return np.vstack([np.hstack([p["r"], p["q"], p["b"]]), np.hstack([p["c"], p["c"], np.zeros((2, 1), dtype=np.float32)])]).astype(np.float64)
+
+
+def train_part(start: dict, documents, class_count: np.ndarray) -> tuple[np.ndarray, int]:
+    """Parameters after one pass over a part's documents (class arrays, in order), and its tokens."""
+    p, seen, held, size = {k: v.copy() for k, v in start.items()}, 0, [], 0
+    for seq in documents:
+        held.append(seq)
+        size += len(seq)
+        if size >= CHUNK_TOKENS:
+            train(p, contexts(held), class_count, RATE, seen)
+            seen, held, size = seen + size, [], 0
+    if held:
+        train(p, contexts(held), class_count, RATE, seen)
+    return stacked(p), seen + size
+
+
+def fit(train_docs: DataFrame, vocab: Vocabulary) -> dict:
     """Parameters from averaged noise-contrastive training over all tokens."""
     spark = train_docs.sparkSession
-    begin = pilot(train_docs, text, vocab)
-    shared = spark.sparkContext.broadcast((begin, vocab.head, vocab.class_count))
+    begin = pilot(train_docs, vocab)
+    shared = spark.sparkContext.broadcast((begin, vocab.class_count))
+    parts = max(1, round(vocab.tokens / PART_TOKENS))
+
+    def documents(batches):
+        for batch in batches:
+            yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
     def run(batches):
-        start, head, class_count = shared.value
-        p, seen = {k: v.copy() for k, v in start.items()}, 0
-        for _, _, _, texts in _batches(batches):
-            tokens = contexts([sequence(words(t), head) for t in texts])
-            train(p, tokens, class_count, RATE, seen)
-            seen += len(tokens[0])
-        if seen:
-            rows = np.vstack([np.hstack([p["r"], p["q"], p["b"]]), np.hstack([p["c"], p["c"], np.zeros((2, 1), dtype=np.float32)])])
-            yield pa.record_batch([pa.array(np.arange(len(rows)), pa.int64()), pa.array([float(seen)] * len(rows)), pa.array(list((rows * seen).astype(np.float64)), pa.list_(pa.float64()))],
-                                  names=["row", "n", "v"])
+        start, class_count = shared.value
+        for _, rows in groupby(documents(batches), key=lambda r: r[0]):
+            values, seen = train_part(start, (np.frombuffer(c, dtype="<u2").astype(np.int32) for _, c in rows), class_count)
+            whole = np.rint(values * (seen * WHOLE)).astype(np.int64)
+            yield pa.record_batch({"row": pa.array(np.arange(len(whole))), "n": pa.array(np.full(len(whole), seen)), "v": pa.array(list(whole), pa.list_(pa.int64()))})
 
     width = 2 * DIM + 1
-    parts = train_docs.select(text).mapInArrow(run, "row long, n double, v array<double>")
-    mean = parts.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(width)]).collect()  # one model
+    rows = train_docs.select(F.pmod("h", F.lit(parts)).alias("part"), "h", "classes").repartitionByRange(parts, "part").sortWithinPartitions("part", "h", "classes")
+    copies = rows.select("part", "classes").mapInArrow(run, "row long, n long, v array<long>")
+    mean = copies.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(F.col("v")[j]).alias(f"v{j}") for j in range(width)]).collect()  # one model
     p, n = {k: v.copy() for k, v in begin.items()}, len(vocab.class_count)
     for r in mean:
-        v = np.array([r[f"v{j}"] for j in range(width)]) / r["n"]
+        v = np.array([r[f"v{j}"] for j in range(width)]) / (r["n"] * WHOLE)
         if r["row"] < n:
             p["r"][r["row"]], p["q"][r["row"]], p["b"][r["row"]] = v[:DIM], v[DIM:2 * DIM], v[-1]
         else:
@@ -273,59 +360,40 @@ def score(docs: DataFrame, train_on: Column, doc: str = "doc_id", text: str = "t
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` for every row.
 
     ``train_on`` picks the training rows. A null or empty text is its end alone;
-    repeated rows are scored (and, if picked, counted) each; null ids stay null.
+    repeated rows are scored (and, if picked, counted) each; null ids stay null;
+    other columns, whatever their names, play no part; texts of any length are whole.
     With no training row every word is unseen: the base has one place for it and
-    the model's classes are all but uniform.
+    the model's classes are all but uniform. Scores do not depend on how the table
+    is partitioned.
     """
     spark = ship(docs)
-    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), train_on.alias("training"))
-    train_docs = rows.filter("training").select("doc_id", "text")
-    counts = materialize(count_words(train_docs, "text"))
-    vocab = vocabulary(counts, train_docs.count())
-    shared = spark.sparkContext.broadcast((fit(train_docs, "text", vocab), vocab))  # parameters and LOOKUP counts
+    rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train_on, F.lit(False)).alias("training"))
+    train_rows = rows.filter("training")
+    counts = materialize(count_words(train_rows, "text"))
+    vocab = vocabulary(counts, train_rows.count())
+    encoded = encode(rows, vocab)
+    shared = spark.sparkContext.broadcast((fit(dealt(encoded), vocab), vocab.tail_log))  # parameters
     known_as = shared._jbroadcast.id()
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()),
-                        ("word", pa.binary()), ("n", pa.int64())])
 
     def run(batches):
-        p, v = shared.value
+        p, tail_log = shared.value
         m = tables(p, known_as)
-        log_n = np.log10(v.tokens + v.types + 1.0)
-        end = np.log10(v.end_count + 1.0)
-        logs = {w: (c, float(np.log10(c + 1.0))) for w, c in v.counts.items()}
-        for batch, a, b, texts in _batches(batches, 2):
-            ids, keys = batch.column(0).to_pylist()[a:b], batch.column(1).to_pylist()[a:b]
-            toks = [words(t) for t in texts]
-            seqs = [sequence(t, v.head) for t in toks]
-            tokens = contexts(seqs)
-            starts = np.cumsum([0] + [len(s) for s in seqs[:-1]])
-            by_class = token_logs(m, tokens)
-            by_class -= np.where(tokens[0] >= HEAD, v.tail_log[tokens[0]], 0.0)
-            total = np.add.reduceat(by_class, starts)
-            out = {f.name: [] for f in schema}
-            for d, key, t, s, own in zip(ids, keys, toks, seqs, total):
-                known, plain, inside, rest = int(v.end_count > 0), end, 0.0, []
-                for w, n in Counter(t).items():
-                    hit = logs.get(w)
-                    if hit is None:
-                        rest.append((w, n))
-                    else:
-                        known += n
-                        plain += n * hit[1]
-                        if w not in v.head:
-                            inside += n * hit[1]
-                rest = rest or [(None, 0)]
-                for i, (w, n) in enumerate(rest):
-                    first = i == 0
-                    for name, x in zip(out, (d, key, len(s) if first else 0, known if first else 0, plain - len(s) * log_n if first else 0.0, own + inside if first else 0.0, w, n)):
-                        out[name].append(x)
-            yield pa.record_batch([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    found = rows.select("doc_id", F.monotonically_increasing_id().alias("key"), "text").mapInArrow(
-        run, "doc_id long, key long, n_tokens long, known long, base double, score double, word binary, n long")
-    found = found.join(counts, "word", "left")
-    log_c = F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))
-    by = found.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-                                  F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-                                  F.sum(F.col("base") + log_c).alias("base_score"), F.sum(F.col("score") + log_c).alias("score"))
+        for batch in batches:
+            sizes = np.asarray(batch.column(1)).tolist()
+            for a, b in slices(sizes, 1_000_000):
+                seqs = [np.frombuffer(c, dtype="<u2").astype(np.int32) for c in batch.column(2).slice(a, b - a).to_pylist()]
+                tokens = contexts(seqs)
+                logs = token_logs(m, tokens)
+                logs -= np.where(tokens[0] >= HEAD, tail_log[tokens[0]], 0.0)
+                total = np.add.reduceat(logs, np.cumsum([0, *sizes[a:b - 1]]))
+                yield pa.record_batch({"key": batch.column(0).slice(a, b - a), "model": pa.array(total)})
+
+    by_class = encoded.select("key", "n_tokens", "classes").mapInArrow(run, "key long, model double")
+    whole = encoded.select("key", "doc_id", "n_tokens", "known", "base", F.col("inside").alias("score"))
+    model = by_class.select("key", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.col("model").alias("score"))
+    rare = encoded.select("key", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("key", F.col("r.rare").alias("word"), F.col("r.times").alias("n")).join(counts, "word")
+    log_c = F.col("n") * F.log10(F.col("c") + F.lit(1.0))  # a word that was not counted adds nothing
+    rare = rare.select("key", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.col("n").alias("known"), log_c.alias("base"), log_c.alias("score"))
+    by = whole.unionByName(model).unionByName(rare).groupBy("key").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     return by.select("doc_id", "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
