@@ -43,25 +43,37 @@ def broadcast_if_small(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
 
 # ------------------------------------------------------------------ stage 1
 
+def tagged_articles(articles: DataFrame) -> DataFrame:
+    """Every article (null text too) with its ``plot_text`` (null without a plot
+    section) and that text's ``n_words``: what plots and report both come from."""
+    a = T.with_plot_section(articles, "wikitext", "plot_text").select("wiki_title", "plot_text")
+    return a.withColumn("n_words", T.word_count("plot_text"))
+
+
+def plots_of(tagged: DataFrame, min_words: int = 20) -> DataFrame:
+    return tagged.where(F.col("n_words") >= min_words).select("wiki_title", "plot_text")
+
+
+def report_of(tagged: DataFrame, min_words: int = 20) -> DataFrame:
+    """articles_scanned (null text counted), plots_extracted, extraction_rate %."""
+    r = tagged.agg(F.count("*").alias("articles_scanned"), F.count_if(F.col("n_words") >= min_words).alias("plots_extracted"))
+    return r.withColumn(
+        "extraction_rate", F.col("plots_extracted") / F.greatest(F.col("articles_scanned"), F.lit(1)) * 100
+    )
+
+
 def extract_plots(articles: DataFrame, min_words: int = 20) -> DataFrame:
     """(wiki_title, wikitext) -> (wiki_title, plot_text) for articles whose plot
     section has at least ``min_words`` words. No shuffle; plots are written once."""
-    p = T.with_plot_section(articles.where(F.col("wikitext").isNotNull()), "wikitext").select(
-        "wiki_title", "plot_text")
     # materialised before filtering: a filter on the word count would otherwise
     # be pushed below the projection and re-run the extraction inside it
-    p = materialize(p.where(F.col("plot_text").isNotNull()).withColumn("_wc", T.word_count("plot_text")))
-    return p.where(F.col("_wc") >= min_words).drop("_wc")
+    tagged = tagged_articles(articles.where(F.col("wikitext").isNotNull()))
+    return plots_of(materialize(tagged.where(F.col("plot_text").isNotNull())), min_words)
 
 
 def extract_report(articles: DataFrame, min_words: int = 20) -> DataFrame:
-    """articles_scanned (null text counted), plots_extracted, extraction_rate %."""
-    a = T.with_plot_section(articles, "wikitext", "_plot").withColumn("_wc", T.word_count("_plot"))
-    ok = F.col("wikitext").isNotNull() & (F.col("_wc") >= min_words)
-    r = a.agg(F.count("*").alias("articles_scanned"), F.count_if(ok).alias("plots_extracted"))
-    return r.withColumn(
-        "extraction_rate", F.col("plots_extracted") / F.greatest(F.col("articles_scanned"), F.lit(1)) * 100
-    )
+    """The report of articles that are not tagged yet."""
+    return report_of(tagged_articles(articles), min_words)
 
 
 # ------------------------------------------------------------------ stage 2

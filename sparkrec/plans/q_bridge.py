@@ -69,8 +69,8 @@ def movies_ml(spark, d):
 
 
 def matched(spark, d):
-    return stage(("matched", d), lambda: B.join_with_catalog(B.bridge_plots(plots_raw(spark, d), mapping(spark, d)), links(spark, d),
-                               movies_ml(spark, d)))
+    return stage(("matched", d), lambda: materialize(B.join_with_catalog(
+        B.bridge_plots(plots_raw(spark, d), mapping(spark, d)), links(spark, d), movies_ml(spark, d))))
 
 
 def unmatched(spark, d):

@@ -7,6 +7,7 @@ machine-local folder except where the session itself names one (tests).
 from __future__ import annotations
 
 import atexit
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,20 +59,76 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def materialize_to(df: DataFrame, path: str) -> DataFrame:
+def materialize_to(df: DataFrame, path: str, *, inputs: list[str] | None = None, params: dict | None = None) -> DataFrame:
     """Materialise-or-load: reuse ``path`` if a complete output exists there,
-    otherwise write ``df`` (overwrite) and read it back."""
+    otherwise write ``df`` (overwrite) and read it back.
+
+    With ``inputs`` (files or folders; the path of an earlier stage too) or ``params``
+    the output is reused only if it was made from the same: :func:`fingerprint` of them
+    is kept in ``path/_inputs.json``, written after the data. An earlier stage that was
+    rebuilt has new files, so all stages behind it are rebuilt as well."""
     spark = df.sparkSession
-    if _complete(spark, path):
+    mark = None if inputs is None and params is None else fingerprint(spark, inputs or [], params or {})
+    note = f"{path.rstrip('/')}/_inputs.json"
+    if _complete(spark, path) and (mark is None or _read_text(spark, note) == mark):
         return spark.read.parquet(path)
     df.write.mode("overwrite").parquet(path)
+    if mark is not None:
+        _write_text(spark, note, mark)
     return spark.read.parquet(path)
 
 
+def fingerprint(spark: SparkSession, inputs: list[str], params: dict) -> str:
+    """JSON of the parameters and of every input file's name, size and time of change."""
+    files = []
+    for path in inputs:
+        hpath, fs = _hadoop(spark, path)
+        if not fs.exists(hpath):
+            files.append([path, "absent"])
+            continue
+        found = fs.listFiles(hpath, True) if fs.getFileStatus(hpath).isDirectory() else None
+        states = [fs.getFileStatus(hpath)] if found is None else []
+        while found is not None and found.hasNext():
+            states.append(found.next())
+        files += [[s.getPath().toString(), s.getLen(), s.getModificationTime()] for s in states if not s.getPath().getName().startswith(("_", "."))]
+    return json.dumps({"files": sorted(files), "params": params}, sort_keys=True)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store; none where it does not exist."""
+    hpath, fs = _hadoop(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(hpath)) if fs.exists(hpath) else []
+
+
+def fresh_name() -> str:
+    return uuid.uuid4().hex
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    hpath, fs = _hadoop(spark, path)
+    if not fs.exists(hpath):
+        return None
+    stream = fs.open(hpath)
+    try:
+        return bytes(b & 0xFF for b in stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    hpath, fs = _hadoop(spark, path)
+    out = fs.create(hpath, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def _complete(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hpath, fs = _hadoop(spark, path + "/_SUCCESS")
     return bool(fs.exists(hpath))
 
 

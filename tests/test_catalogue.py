@@ -1,6 +1,10 @@
 import json
 
+import pytest
+
+from sparkrec.operators import backfill as BF
 from sparkrec.operators.catalogue import build_catalogue
+from sparkrec.sources import io as IO
 
 PLOT = " ".join(f"word{i}" for i in range(60))
 
@@ -55,3 +59,53 @@ def test_from_files_to_index_and_resume(spark, tmp_path):
     assert {r["wiki_title"] for r in again["backfill"].collect()} == {"Film B", "Film C"}
     assert {r["failure_reason"] for r in again["failures"].collect()} == {"unknown"}
     assert {r["movieId"] for r in again["movie_plots"].collect()} == {1, 2, 3}
+    assert [r["movieId"] for r in again["index"].orderBy("faiss_idx").collect()] == [1, 2, 3]  # rebuilt behind the new backfill
+
+
+def changed(spark, base):
+    """Time of change of each stage's files."""
+    return {name: IO.fingerprint(spark, [str(base / "out" / name)], {}) for name in ("articles", "mapping", "matched", "resolved", "index")}
+
+
+def test_a_changed_input_rebuilds_all_behind_it(spark, tmp_path):
+    write_inputs(tmp_path)
+    run(spark, tmp_path)
+    first = changed(spark, tmp_path)
+    run(spark, tmp_path)
+    assert changed(spark, tmp_path) == first  # nothing is made again
+    (tmp_path / "movies.csv").write_text((tmp_path / "movies.csv").read_text().replace("Film, A (1999)", "Film, A (1998)"))
+    again = run(spark, tmp_path)
+    second = changed(spark, tmp_path)
+    assert {n for n in first if first[n] != second[n]} == {"matched", "resolved", "index"}
+    assert {r["movieId"]: r["year"] for r in again["movie_plots"].collect()}[1] == 1998
+    (tmp_path / "dump.xml").write_text((tmp_path / "dump.xml").read_text().replace("word59", "word60"))
+    again = run(spark, tmp_path)
+    assert {r["movieId"]: r["plot_text"] for r in again["movie_plots"].collect()}[1].endswith("word60 link")
+
+
+def test_backfill_goes_on_after_its_last_epoch(spark, tmp_path, monkeypatch):
+    ok = json.dumps({"parse": {"wikitext": {"*": "== Plot ==\nsome plot"}}})
+    resolved = spark.createDataFrame([(f"t{i:02d}", f"tt{i}") for i in range(20)], "wiki_title string, imdbId string")
+    responses = spark.createDataFrame([(f"t{i:02d}", 200 if i % 3 else 503, ok if i % 3 else None) for i in range(20)], "wiki_title string, status int, body string")
+    path, seen = str(tmp_path / "backfill"), []
+
+    def stop(epoch):
+        seen.append(epoch)
+        if epoch == 1:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        BF.run(resolved, responses, path, every=5, progress=stop)
+    assert BF.complete_epochs(spark, path) == [0, 1]
+    (tmp_path / "backfill" / "epoch=2").mkdir()  # begun and not completed
+    results, failures = BF.run(resolved, responses, path, every=5, progress=seen.append)
+    assert seen == [0, 1, 2, 3]  # the second run classifies the last two epochs only
+    rows = BF.attempts(spark, path).collect()
+    assert sorted(r["wiki_title"] for r in rows) == [f"t{i:02d}" for i in range(20)] and {r["epoch"] for r in rows} == {0, 1, 2, 3}
+    assert results.count() == 13 and {r["failure_reason"] for r in failures.collect()} == {"http_503"} and failures.count() == 7
+    BF.run(resolved, responses, path, every=5, progress=seen.append)
+    assert seen == [0, 1, 2, 3]  # nothing left to try
+    newer = spark.createDataFrame([("t00", 200, ok), ("t01", 503, None), ("t03", 404, None)], responses.schema)
+    results, failures = BF.run(resolved, newer, path, every=5, progress=seen.append)
+    assert seen[4:] == [4] and results.count() == 14
+    assert {r["wiki_title"]: r["failure_reason"] for r in failures.collect()}["t03"] == "http_404"
