@@ -186,25 +186,37 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, doc: str = "doc_id",
     shards.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
 
 
+def shard_offsets(shards: DataFrame) -> DataFrame:
+    """``(shard, base)``: the ids in all shards before each. Sums of blocks of 1,024
+    written partitions are added up first, then the shards inside each block, so no
+    task sees more than a block or the blocks' sums."""
+    rows = shards.select("shard", "n_ids", F.shiftright("shard", 42).alias("block"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("block").agg(F.sum("n_ids").alias("n")).select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("shard", "block", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside"))
+    return rows.join(blocks, "block").select("shard", (F.col("before") + F.col("inside")).alias("base"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, start, ids)`` of every document: ``start`` counts the ids of all
-    documents before it, ``ids`` are little-endian unsigned 32-bit."""
+    documents before it, ``ids`` are little-endian unsigned 32-bit. Each document's
+    place comes from the shard's ``select``; no table of offsets is made."""
     shards = spark.read.parquet(path)
     n = shards.count()
-    base = F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = shards.select("shard", "n_ids").select("shard", base.alias("base"))  # two numbers a shard
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for first, image in zip(batch.column(0), batch.column(1)):
-                s = Shard(image.as_py())
-                ends = s.ends.all().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1]))
-                raw = s.ids.astype("<u4").tobytes()
-                yield pa.record_batch([pa.array(s.doc_ids(), pa.int64()), pa.array(starts + first.as_py(), pa.int64()),
-                                       pa.array([raw[4 * a:4 * b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary())], schema=schema)
-
-    joined = shards.select("shard", "image").join(broadcast_if_under(offsets, n, 2_000_000), "shard")
+                s, base, at, out = Shard(image.as_py()), first.as_py(), 0, ([], [], [])
+                for k in range(s.n_docs):
+                    end = s.ends.get(k)
+                    for column, value in zip(out, (s.doc_id(k), base + at, s.ids[at:end].astype("<u4").tobytes())):
+                        column.append(value)
+                    at = end
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+    joined = shards.select("shard", "image").join(broadcast_if_under(shard_offsets(shards), n, 2_000_000), "shard")
     ship(shards)
     return joined.select("base", "image").mapInArrow(run, "doc_id long, start long, ids binary")

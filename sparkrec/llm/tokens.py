@@ -92,7 +92,7 @@ class TextEncoder:
         self.added = [t["content"].lower() if self.lowered else t["content"] for t in spec.get("added_tokens", [])]
         self.signs = {re.match(r"[^A-Za-z]*", t)[0] for t in self.added}  # their beginnings without case
         self.keep, self.letters, self.merge = keep, byte_letters(), self.tokenizer.model.tokenize
-        self.pieces, self.runs = Kept(self._piece), Kept(self._run)
+        self.pieces = Kept(self._piece)
         if self.rule == "ranks":
             import tiktoken
 
@@ -111,21 +111,18 @@ class TextEncoder:
                 return True
         return self.rule == "ranks" and len(text) >= 2000 and _LONG(text) is not None
 
-    def _run(self, run: str) -> bytes:
-        """Ids of one pre-token of a plain piece."""
-        own = run.lower()
-        if not own.isascii():
-            own = own.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.merge(own)]).tobytes()
-
     def _piece(self, piece: str) -> bytes:
-        """Ids of a piece between white space."""
-        if piece.isalpha() and piece.isascii():
-            return self.runs[piece]
-        if not _PLAIN.match(piece):
-            return self._ids([piece])[0]
-        of = self.runs
-        return b"".join([of[r] for r in _RUNS(piece)])
+        """Ids of a piece between white space, its A-Z in lower case. A plain piece is
+        its runs, and a run is a piece that may have been met before."""
+        if not (piece.isascii() and piece.isalpha()):
+            if not _PLAIN.match(piece):
+                return self._ids([piece])[0]
+            runs = _RUNS(piece)
+            if len(runs) > 1:
+                return b"".join([self.pieces[r] for r in runs])
+            if not piece.isascii():
+                piece = piece.lower().encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merge(piece)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.rule == "whole":
@@ -139,16 +136,16 @@ class TextEncoder:
             out = [array("I", self.by_rank(t)).tobytes() for t in texts]
         else:
             self.pieces.age(self.keep)
-            self.runs.age(self.keep)
             of = self.pieces.__getitem__
-            out = [b"".join(map(of, _blank(t).split(" "))) for t in texts]
+            out = [b"".join(map(of, _spaced(t).split(" "))) for t in texts]
         for i, ids in zip(apart, by_library):
             out[i] = ids
         return out
 
 
-def _blank(text: str) -> str:
-    """The text with its ASCII white space as spaces."""
+def _spaced(text: str) -> str:
+    """The text with A-Z in lower case and its ASCII white space as spaces."""
+    text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
 
 

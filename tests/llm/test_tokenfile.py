@@ -58,3 +58,12 @@ def test_shard_random_access():
         assert s.doc_ids() == docs and [s.doc_id(k) for k in range(6)] == docs
         assert [s.document(k).tolist() for k in range(6)] == [np.frombuffer(i, "<u4").tolist() for i in ids]
         assert (s.find(-4), s.find(2**50), s.find(10)) == (2, 5, -1)
+
+
+def test_offsets_over_blocks_of_partitions(spark):
+    rows = [((p << 32) + i, 1, (p * 7 + i) % 50 + 1) for p in range(0, 5000, 3) for i in range(p % 3 + 1)]
+    got = {r["shard"]: r["base"] for r in tokenfile.shard_offsets(spark.createDataFrame(rows, "shard long, n_docs long, n_ids long")).collect()}
+    at = 0
+    for shard, _, n in rows:
+        assert got[shard] == at
+        at += n
