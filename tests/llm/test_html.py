@@ -107,3 +107,143 @@ def test_only_boilerplate_goes(spark):
     got = texts(spark, [(i, "http://p.example/", page(body)) for i in range(2)])
     good = " ".join(GOOD.split())
     assert got[0] == got[1] == "\n".join(["Heading", good, "Discussion", "We discuss.", "A law.", "Three months.", "A caption", "So x=2.", "Without script.", "Data names.", "Banners."])
+
+
+def test_comments_go_wherever_they_stand(spark):
+    good = " ".join(GOOD.split())
+    comments = ['<section id="comments"><h2>3 comments</h2><p>Great post</p></section>', '<div class="responses"><p>Great post</p></div>', '<ol class="comment-list"><li>Great post</ol>',
+                '<section class="replies"><article class="comment"><p>Great post</p></article></section>', '<div id="disqus_thread"><p>Great post</p></div>', '<div id="respond"><p>Leave a word</p></div>',
+                '<article class="comment-body" id="comment-12"><p>Great post</p></article>']
+    kept = '<section id="comments-on-the-proof"><p>A remark.</p></section><p id="reply-to-critics">An answer.</p>'
+    rows = [(i, f"http://q{i}.example/", page(f"<article><h1>Title</h1><p>{GOOD}</p>{kept}{c}</article>{c}")) for i, c in enumerate(comments)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"Title\n{good}\nA remark.\nAn answer." for i in range(len(comments)))
+
+
+def test_headers_of_an_article_keep_its_title(spark):
+    good = " ".join(GOOD.split())
+    heads = ['<div class="entry-header"><h1>Title</h1></div>', "<header><h1>Title</h1></header>", '<div class="entry-header"><div class="inner"><h2>Title</h2></div></div>']
+    rows = [(i, f"http://r{i}.example/", page(f'<article>{h}<div class="banner-image"><p>A caption</p></div><div class="site-header"><p>Site line</p></div><p>{GOOD}</p><div class="banner"><p>Buy</p></div></article>')) for i, h in enumerate(heads)]
+    rows.append((9, "http://s.example/", page(f'<div class="post">{heads[0]}<p>{GOOD}</p></div>')))
+    rows.append((10, "http://t.example/", page(f'<div class="masthead"><h1>The Daily</h1></div><div class="story"><p>{GOOD}</p></div>')))
+    got = texts(spark, rows)
+    assert all(got[i] == f"Title\nA caption\n{good}" for i in range(3)) and got[9] == f"Title\n{good}" and got[10] == good
+
+
+def test_deep_and_mismatched_markup_is_linear():
+    import time
+    import tracemalloc
+
+    hostile = {
+        "deep": "<div>" * 40_000 + "deep text",
+        "text at each level": "<div>x" * 40_000,
+        "unmatched ends": "<i>" * 12_000 + "</b>" * 50_000 + "end",
+        "inline chain": "<i>" * 30_000 + "a<p>b" * 10_000,
+        "behind a scope": "<p><table>" + "<i>" * 12_000 + "<hr>" * 25_000 + "end",
+        "soft names": '<div class="related">' * 9_000 + "related words",
+        "links": "<a href=x>" * 20_000 + "word",
+    }
+    for name, html in hostile.items():
+        began = time.process_time()
+        assert htmlmain.extract(html, []) or name == "links"
+        assert time.process_time() - began < 5, name  # under a second on an idle machine
+        tracemalloc.start()
+        htmlmain.extract(html, [])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 100_000_000, (name, peak)
+
+
+# ---- an independent, slow version of scoring, voting and widening, on well-formed pages
+
+def slow_blocks(element, path, container, out, inside):
+    path = f"{path}/{element.tag}" + "".join(f".{c}" for c in sorted(element.get("class", "").split()))
+    if element.tag in ("div", "article", "section", "main", "body"):
+        container = path
+    links = sum(len(" ".join("".join(a.itertext()).split())) for a in element.findall("a"))
+    if element.tag == "p":
+        out.append((container, path, " ".join("".join(element.itertext()).split()), links))
+    for child in element:
+        if child.tag != "a":
+            slow_blocks(child, path, container, out, inside)
+
+
+def slow_scores(found):
+    scores = {}
+    for container, _, text, linked in found:
+        worth = max(0, len(text) - 2 * linked)
+        scores[container] = scores.get(container, 0) + worth
+        up = container.rsplit("/", 1)[0]
+        scores[up] = scores.get(up, 0) + worth / 2
+    good = {"article", "content", "main", "post", "entry", "story", "body", "text"}
+    return {p: s * (1.5 if set(re.split(r"[^a-zA-Z]+", p.rsplit("/", 1)[1])) & good else 1) for p, s in scores.items() if s > 0 and p}
+
+
+def slow_widened(found, path):
+    steps = path.split("/")
+    for tag in ("article", "main"):
+        for i in reversed(range(1, len(steps))):
+            if steps[i].split(".")[0] == tag:
+                return "/".join(steps[:i + 1])
+    held_path, at = path, path
+    while at.rsplit("/", 1)[0]:
+        at = at.rsplit("/", 1)[0]
+        inner = [(len(t), k) for c, _, t, k in found if (c + "/").startswith(held_path + "/")]
+        outer = [(len(t), k) for c, _, t, k in found if (c + "/").startswith(at + "/")]
+        start = [(len(t), k) for c, _, t, k in found if (c + "/").startswith(path + "/")]
+        added = sum(n for n, _ in outer) - sum(n for n, _ in inner)
+        if added and (added >= sum(n for n, _ in inner) or sum(k for _, k in outer) - sum(k for _, k in start) > 0.2 * added):
+            break
+        if added:
+            held_path = at
+    return held_path
+
+
+def slow_texts(rows):
+    import math
+    import xml.etree.ElementTree as ET
+
+    parsed, votes = {}, {}
+    for i, url, html in rows:
+        found = []
+        slow_blocks(ET.fromstring(html).find("body"), "/html", "/html", found, False)
+        scores = slow_scores(found)
+        best = max(scores, key=lambda p: (scores[p], p.count("/"))) if scores else None
+        parsed[i] = (url, found, scores, best)
+        votes[url, best] = votes.get((url, best), 0) + 1
+    out = {}
+    for i, (url, found, scores, best) in parsed.items():
+        weight = {p: s * math.sqrt(votes.get((url, p), 0) - (p == best)) for p, s in scores.items() if votes.get((url, p), 0) - (p == best) > 0}
+        path = max(weight, key=lambda p: (weight[p], p.count("/"))) if weight else best
+        wide = slow_widened(found, path) if path else None
+        out[i] = "\n".join(t for _, own, t, _ in found if (own + "/").startswith(wide + "/")) if wide else ""
+    return out
+
+
+def random_page(rnd):
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+
+    def element(depth):
+        kind = rnd.choice(["p", "p", "p", "div", "section", "article"] if depth < 5 else ["p"])
+        if kind == "p":
+            inner = " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 40)))
+            if rnd.random() < 0.3:
+                inner += f' <a href="x">{" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 25)))}</a>'
+            return f"<p>{inner}</p>"
+        name = rnd.choice(["", ' class="wide"', ' class="text"', ' class="b a"', ' class="inner"'])
+        return f"<{kind}{name}>{''.join(element(depth + 1) for _ in range(rnd.randint(1, 4)))}</{kind}>"
+
+    return f"<html><head/><body>{''.join(element(1) for _ in range(rnd.randint(1, 4)))}</body></html>".replace("<head/>", "")
+
+
+def test_votes_and_widening_equal_the_slow_version(spark):
+    import random
+
+    rnd = random.Random(21)
+    rows = []
+    for i in range(240):
+        html = random_page(rnd)
+        rows += [(len(rows) + k, f"http://h{i % 12}.example/", html) for k in range(rnd.choice([1, 1, 1, 2]))]
+    got, want = texts(spark, rows), slow_texts([(i, u.split("/")[2], h) for i, u, h in rows])
+    assert got == want
+    assert len({len(t) for t in want.values()}) > 100
