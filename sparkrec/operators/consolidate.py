@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources.io import materialize
 from .bridge import broadcast_if_small, normalized_links, side_by_side
+from .quantiles import quantile_values
 
 COMMON_COLS = ["movieId", "imdbId", "title", "year", "plot_text", "genres", "plot_source"]
 SOURCE_DUMP, SOURCE_API = "wiki_dump", "wikipedia_api"  # fixed values
@@ -58,28 +59,11 @@ def coverage_report(final: DataFrame, links: DataFrame) -> DataFrame:
 def length_quantiles(final: DataFrame, col: str = "plot_length") -> DataFrame:
     """min / p25 / median / p75 / max of an integer column, truncated to int,
     0 when empty. Quantiles use the "nearest" rank ``round((n-1)q)``; the
-    median averages the two middle values. Exact and scalable: a histogram
-    ``groupBy(value).count()`` (partial aggregation) and a running sum over
-    the distinct values only."""
-    h = final.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = h.withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c"))
-    n = h.agg(F.sum("c").alias("n"))
-    hn = h.crossJoin(F.broadcast(n))  # n: one row
-
-    def at(rank):  # value whose cumulative interval [lo, hi) contains 0-based rank
-        return F.min(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("v")))
-
-    q25 = F.round((F.col("n") - 1) * 0.25)
-    q75 = F.round((F.col("n") - 1) * 0.75)
-    m_lo = F.floor((F.col("n") - 1) / 2)
-    m_hi = F.ceil((F.col("n") - 1) / 2)
-    r = hn.agg(
-        F.min("v").alias("min"), at(q25).alias("p25"),
-        ((at(m_lo) + at(m_hi)) / 2).alias("median"), at(q75).alias("p75"), F.max("v").alias("max"),
-    )
-    return r.select(*[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
-                      for c in ["min", "p25", "median", "p75", "max"]])
+    median averages the two middle values. Exact, by rank selection
+    (:mod:`.quantiles`): no task sees all distinct values."""
+    found = quantile_values(final, col) or (0,) * 6
+    row = (int(found[0]), int(found[1]), int((found[2] + found[3]) / 2), int(found[4]), int(found[5]))
+    return final.sparkSession.createDataFrame([row], "min long, p25 long, median long, p75 long, max long")
 
 
 def genre_coverage(final: DataFrame, movies: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import bridge as B
 from ..operators import consolidate as C
+from ..operators.quantiles import quantile_report
 from ..sources.tables import table
 from . import standins as S
 from .q_text import PLOT_BODY, PLOT_WORDS, RAW_IMDB_SQL, api_responses, raw_imdb, wiki_articles
@@ -293,7 +294,19 @@ def coverage_report(spark, d):
     "CAST(coalesce(max(plot_length), 0) AS BIGINT) AS max "
     "FROM (SELECT plot_length, row_number() OVER (ORDER BY plot_length) - 1 AS rk, count(*) OVER () AS n FROM final)"))
 def length_quantiles(spark, d):
-    return C.length_quantiles(final_plots(spark, d))
+    return C.length_quantiles(materialize(final_plots(spark, d).select("plot_length")))
+
+
+@query("value_quantiles", oracle="""
+SELECT max(v) FILTER (WHERE rk = 0) AS min, max(v) FILTER (WHERE rk = floor((n - 1) * 0.25 + 0.5)) AS p25,
+       (max(v) FILTER (WHERE rk = (n - 1) // 2) + max(v) FILTER (WHERE rk = n // 2)) / 2 AS median,
+       max(v) FILTER (WHERE rk = floor((n - 1) * 0.75 + 0.5)) AS p75, max(v) FILTER (WHERE rk = n - 1) AS max
+FROM (SELECT CAST(l_extendedprice AS DOUBLE) / (1 + l_orderkey % 1000) AS v, row_number() OVER (ORDER BY CAST(l_extendedprice AS DOUBLE) / (1 + l_orderkey % 1000)) - 1 AS rk,
+      count(*) OVER () AS n FROM lineitem)""")
+def value_quantiles(spark, d):
+    """Exact quantiles of a column of doubles that are nearly all different."""
+    v = table(spark, d, "lineitem").select((F.col("l_extendedprice").cast("double") / (F.lit(1) + F.col("l_orderkey") % 1000)).alias("v"))
+    return quantile_report(v, "v")
 
 
 @query("genre_coverage", oracle=_w(

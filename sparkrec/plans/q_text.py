@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.bridge import classify_responses
+from ..operators.dictionary import dictionary_table, match_dictionary
 from ..sources.tables import table
 from . import standins as S
 from .registry import query
@@ -151,6 +152,20 @@ def intent_parse(spark, d):
     )
 
 
+@query("intent_dictionary", oracle=f"""
+WITH u AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, {_cat_sql(T.MOOD_KEYWORDS)} AS mood, {_cat_sql(T.GENRE_KEYWORDS)} AS genre, {_cat_sql(T.ERA_KEYWORDS)} AS era FROM u""")
+def intent_dictionary(spark, d):
+    """Categories of every user chat turn with the dictionaries as tables (gram join)."""
+    conv = table(spark, d, "conversations").where(F.col("role") == "user").select("conv_id", "turn", "text")
+    kinds = {"mood": T.MOOD_KEYWORDS, "genre": T.GENRE_KEYWORDS, "era": T.ERA_KEYWORDS}
+    tables_ = [dictionary_table(spark, k, v) for k, v in kinds.items()]
+    found = match_dictionary(conv, tables_[0].unionByName(tables_[1]).unionByName(tables_[2]))
+    wide = found.groupBy("text").agg(*[F.max(F.when(F.col("kind") == k, F.array_join("categories", ","))).alias(k) for k in kinds])
+    joined = conv.join(wide, "text", "left")
+    return joined.select("conv_id", "turn", *[F.when(F.col("text").isNotNull(), F.coalesce(k, F.lit(""))).alias(k) for k in kinds])
+
+
 _CLEAN_SQL = (
     "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace("
     "regexp_replace(regexp_replace(html, '(?s)<ref[^>]*>.*?</ref>', '', 'g'), '<ref[^/]*/\\s*>', '', 'g'),"
