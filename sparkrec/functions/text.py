@@ -97,44 +97,57 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _fold_pairs(x: Column, opening: str, closing: str, inside) -> Column:
-    """Replace every matched ``opening ... closing`` pair of ``x`` (a column or
-    lambda variable), at any depth, by ``inside(content)`` (None: by nothing);
-    unmatched tokens stay.
-
-    One fold over the tokens: ``out`` holds the pieces so far and ``open`` the
-    place in it of each token still unmatched, so a closing token cuts ``out``
-    back to its partner."""
-    pattern = "|".join(re.escape(t) for t in (opening, closing))
-
-    def fold(between: Column) -> Column:
-        found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-        tokens = F.zip_with(found, F.slice(between, 2, F.size(between)), lambda t, after: F.struct(t.alias("t"), after.alias("after")))
-        start = F.struct(F.slice(between, 1, 1).alias("out"), F.array().cast("array<int>").alias("open"))
-
-        def step(a: Column, tok: Column) -> Column:
-            top = F.element_at(a["open"], -1)
-            literal = F.concat(a["out"], F.array(tok["t"], tok["after"]))
-            if inside is None:
-                put = F.array(tok["after"])
-            else:
-                put = F.array(_let(F.array_join(F.slice(a["out"], top + 2, F.size(a["out"])), ""), inside), tok["after"])
-            matched = F.struct(F.concat(F.slice(a["out"], F.lit(1), top), put).alias("out"), F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1).alias("open"))
-            opened = F.struct(literal.alias("out"), F.array_append(a["open"], F.size(a["out"])).alias("open"))
-            kept = F.struct(literal.alias("out"), a["open"].alias("open"))
-            return F.when(tok["t"] == opening, opened).when(F.size(a["open"]) > 0, matched).otherwise(kept)
-
-        return F.aggregate(tokens, start, step, lambda a: F.array_join(a["out"], ""))
-
-    return F.when((F.instr(x, opening) > 0) & (F.instr(x, closing) > 0), _let(F.split(x, pattern, -1), fold)).otherwise(x)
-
-
-def _link_text(content: Column) -> Column:
-    """What a wikilink shows: all after the first bar, or the page if that is empty."""
-    bar = F.instr(content, "|")
-    after = F.substring_index(content, "|", 1)
-    shown = F.substr(content, bar + 1)
-    return F.when(bar == 0, content).when(F.length(shown) > 0, shown).otherwise(after)
+_OPEN, _CLOSE, _ESCAPE = "\1", "\2", "\3"  # stand for the tokens while pairs are rewritten
+
+
+def _nesting(x: Column) -> Column:
+    """How deep matched pairs of ``x`` nest (unmatched tokens do not count): one fold
+    over the tokens with the height reached in each open one."""
+    tokens = F.regexp_extract_all(x, F.lit(f"[{_OPEN}{_CLOSE}]"), F.lit(0))
+    start = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("most"))
+
+    def step(a: Column, t: Column) -> Column:
+        height = F.element_at(a["open"], -1) + 1
+        rest = F.slice(a["open"], F.lit(1), F.size(a["open"]) - 1)
+        raised = F.concat(F.slice(rest, F.lit(1), F.greatest(F.size(rest) - 1, F.lit(0))), F.array(F.greatest(F.element_at(rest, -1), height)))
+        closed = F.struct(F.when(F.size(a["open"]) > 1, raised).otherwise(rest).alias("open"), F.greatest(a["most"], height).alias("most"))
+        opened = F.struct(F.array_append(a["open"], F.lit(0)).alias("open"), a["most"].alias("most"))
+        return F.when(t == _OPEN, opened).when(F.size(a["open"]) > 0, closed).otherwise(a)
+
+    return F.aggregate(tokens, start, step, lambda a: a["most"])
+
+
+def _swap(x: Column, pairs: list[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        x = F.replace(x, F.lit(old), F.lit(new))
+    return x
+
+
+def _fold_pairs(x: Column, opening: str, closing: str, passes: list[tuple[str, str]]) -> Column:
+    """Replace every matched ``opening ... closing`` pair of ``x``, at any depth; unmatched
+    tokens stay. Tokens become single characters first. ``passes`` are the (pattern,
+    replacement) steps that rewrite pairs without a pair inside; they run once for each
+    level that the row has, from the inside out."""
+    escape = [(_ESCAPE, _ESCAPE + "c"), (_OPEN, _ESCAPE + "a"), (_CLOSE, _ESCAPE + "b")]
+
+    def run(v: Column) -> Column:
+        def level(a: Column, _: Column) -> Column:
+            for pattern, put in passes:
+                a = F.regexp_replace(a, F.lit(pattern), F.lit(put))
+            return a
+
+        depth = _nesting(v)
+        return F.when(depth > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), v, level)).otherwise(v)
+
+    marked = _swap(x, [*escape, (opening, _OPEN), (closing, _CLOSE)])
+    folded = _swap(_let(marked, run), [(_OPEN, opening), (_CLOSE, closing), *[(new, old) for old, new in reversed(escape)]])
+    return F.when((F.instr(x, opening) > 0) & (F.instr(x, closing) > 0), folded).otherwise(x)
+
+
+_INNER = f"[^{_OPEN}{_CLOSE}]"
+TEMPLATE_PASSES = [(f"{_OPEN}{_INNER}*+{_CLOSE}", "")]
+# what a wikilink shows: all after the first bar, or the page if that is empty
+LINK_PASSES = [(rf"{_OPEN}[^{_OPEN}{_CLOSE}|]*+\|({_INNER}++){_CLOSE}", "$1"), (rf"{_OPEN}([^{_OPEN}{_CLOSE}|]*+)\|?{_CLOSE}", "$1")]
 
 
 def clean_wikitext(c) -> Column:
@@ -142,8 +155,8 @@ def clean_wikitext(c) -> Column:
     links in link texts too) at any depth, HTML tags and bold/italic quotes."""
     c = _c(c)
     x = F.regexp_replace(F.regexp_replace(c, REF_PAIR, ""), REF_SINGLE, "")
-    x = _let(x, lambda v: _fold_pairs(v, "{{", "}}", None))
-    x = _let(x, lambda v: _fold_pairs(v, "[[", "]]", _link_text))
+    x = _let(x, lambda v: _fold_pairs(v, "{{", "}}", TEMPLATE_PASSES))
+    x = _let(x, lambda v: _fold_pairs(v, "[[", "]]", LINK_PASSES))
     x = F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", ""), "'''?", "")
     # every pass needs one of these tokens: markup-free text skips the chain
     has_markup = (F.instr(c, "<") > 0) | (F.instr(c, "{{") > 0) | (F.instr(c, "[[") > 0) | (F.instr(c, "''") > 0)

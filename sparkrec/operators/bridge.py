@@ -41,12 +41,19 @@ def broadcast_if_small(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return F.broadcast(df) if size <= config.broadcast_limit_bytes else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over as many partitions as there are cores where the input lies in fewer (a
+    file of few row groups); a table of more partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # ------------------------------------------------------------------ stage 1
 
 def tagged_articles(articles: DataFrame) -> DataFrame:
     """Every article (null text too) with its ``plot_text`` (null without a plot
     section) and that text's ``n_words``: what plots and report both come from."""
-    a = T.with_plot_section(articles, "wikitext", "plot_text").select("wiki_title", "plot_text")
+    a = T.with_plot_section(spread(articles), "wikitext", "plot_text").select("wiki_title", "plot_text")
     return a.withColumn("n_words", T.word_count("plot_text"))
 
 
@@ -181,7 +188,7 @@ def classify_responses(resp):
     null on success."""
     if "error_type" not in resp.columns:
         resp = resp.withColumn("error_type", F.lit(None).cast("string"))
-    r = resp.withColumn("_j", F.from_json("body", RESPONSE_SCHEMA))
+    r = spread(resp).withColumn("_j", F.from_json("body", RESPONSE_SCHEMA))
     r = r.withColumn("_wt", F.coalesce(F.col("_j")["parse"]["wikitext"]["*"], F.lit("")))
     r = T.with_plot_section(r, "_wt", "plot_text", from_api=True)
     j, plot = F.col("_j"), F.col("plot_text")

@@ -130,3 +130,42 @@ def test_plot_section_df_form_and_heading_lines(spark):
     col = {r.i: r.p for r in df.select("i", T.plot_section("w").alias("p")).collect()}
     assert got[0] == "A line.\r\nMore." and got[2] is None and got[3] == "Body"
     assert got[1] == col[1]
+
+
+def test_brackets_of_any_shape_and_marks(spark):
+    """Matched pairs by a stack, on random strings; the characters that stand for tokens are text as well."""
+    import random
+
+    from sparkrec.functions.text import clean_wikitext
+
+    def pairs(text, opening, closing, put):
+        out, open_, i = [], [], 0
+        while i < len(text):
+            if text.startswith(opening, i):
+                open_.append(len(out))
+                out.append(opening)
+                i += 2
+            elif text.startswith(closing, i):
+                i += 2
+                if open_:
+                    at = open_.pop()
+                    inner = "".join(out[at + 1:])
+                    out[at:] = [put(inner)]
+                else:
+                    out.append(closing)
+            else:
+                out.append(text[i])
+                i += 1
+        return "".join(out)
+
+    def link(inner):
+        page, bar, shown = inner.partition("|")
+        return inner if not bar else shown or page
+
+    rnd = random.Random(3)
+    parts = ["{{", "}}", "[[", "]]", "{", "}", "[", "]", "|", "a", "b ", "\n", "\x01", "\x02", "\x03", "\x03a"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(1500)]
+    texts += ["{{" * 150 + "x" + "}}" * 150, "[[" * 90 + "x|y" + "]]" * 90, "{{" * 2000, "{{a}}" * 2000]
+    got = {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", clean_wikitext("t")).collect()}
+    for t in texts:
+        assert got[t] == pairs(pairs(t, "{{", "}}", lambda inner: ""), "[[", "]]", link), t
