@@ -10,8 +10,8 @@ to its worker's in-memory database (one thread, a memory limit, no files):
 * **Encoding** is a recursive query over token-position rows ``(word, place,
   id)``. Each round joins neighbouring tokens with the merge table ``(left,
   right, merged)``, finds every word's least merged rank and contracts the
-  leftmost pair of that rank; a word without a pair left drops out. A word that
-  is a token itself needs no round.
+  leftmost pair of that rank; a word without a pair left is done. A word that is a
+  token itself needs no round.
 * Rounds of words over LONG_BYTES are kept by word and place instead of being
   added up, and contract further pairs of the same rank in the same round, up
   to the first contraction that brings up a pair of a lower rank, which is what
@@ -52,17 +52,17 @@ JOIN vocab a ON a.token = substr(v.token, 1, cut) JOIN vocab b ON b.token = subs
 
 # start(w, p, id): the bytes of the words; a place g is (word << 16 | place in the word)
 _ENCODE = """
-WITH RECURSIVE t(g, id, step) AS (
-  SELECT (w::BIGINT << 16) | p, id, 0 FROM start
+WITH RECURSIVE t(g, id, done) AS (
+  SELECT (w::BIGINT << 16) | p, id, false FROM start
   UNION ALL
-  (WITH pairs AS (SELECT g, id, lead(id) OVER o AS next, lead(g) OVER o AS g2 FROM t WINDOW o AS (ORDER BY g)),
+  (WITH active AS (SELECT g, id FROM t WHERE NOT done),
+   pairs AS (SELECT g, id, lead(id) OVER o AS next, lead(g) OVER o AS g2 FROM active WINDOW o AS (ORDER BY g)),
    least AS (SELECT g >> 16 AS w, min((k::BIGINT << 32) | ((g & 65535) << 16) | (g2 & 65535)) AS b
              FROM pairs JOIN merges ON l = id AND r = next WHERE (g >> 16) = (g2 >> 16) GROUP BY g >> 16)
-   SELECT t.g, CASE WHEN (t.g & 65535) = ((b >> 16) & 65535) THEN (b >> 32)::INT ELSE t.id END, t.step + 1
-   FROM t JOIN least ON least.w = (t.g >> 16) WHERE (t.g & 65535) <> (b & 65535))
-),
-last AS (SELECT g >> 16 AS w, max(step) AS step FROM t GROUP BY g >> 16)
-SELECT (t.g >> 16)::INT AS w, id FROM t JOIN last ON last.w = (t.g >> 16) AND last.step = t.step ORDER BY t.g
+   SELECT a.g, CASE WHEN (a.g & 65535) = ((b >> 16) & 65535) THEN (b >> 32)::INT ELSE a.id END, b IS NULL
+   FROM active a LEFT JOIN least ON least.w = (a.g >> 16) WHERE b IS NULL OR (a.g & 65535) <> (b & 65535))
+)
+SELECT (g >> 16)::INT AS w, id FROM t WHERE done ORDER BY g
 """
 
 _ENCODE_LONG = """
@@ -129,7 +129,8 @@ class Bpe:
     """Encoder and decoder of one rank file (lines of base64 token and rank).
 
     A byte is the Latin-1 character of its value in the database. ``cuts`` says that
-    the pattern begins a word at every single space between two other characters."""
+    the pattern begins a word at every single space between two other characters,
+    and that such a space with ASCII letters up to the next is one word."""
 
     def __init__(self, rank_file: bytes, pattern: str, cuts: bool = True):
         import duckdb
@@ -160,9 +161,8 @@ class Bpe:
         """Ids of different words, as little-endian unsigned 32-bit."""
         raw = {w: w.encode("utf-8", "surrogatepass") for w in words}
         out = {w: self.token_id[x] for w, x in raw.items() if x in self.token_id}
-        rest = sorted((w for w in words if w not in out), key=lambda w: len(raw[w]))
-        short = sum(len(raw[w]) <= LONG_BYTES for w in rest)
-        for sql, of in ((_ENCODE, rest[:short]), (_ENCODE_LONG, rest[short:])):
+        rest = [w for w in words if w not in out]
+        for sql, of in ((_ENCODE, [w for w in rest if len(raw[w]) <= LONG_BYTES]), (_ENCODE_LONG, [w for w in rest if len(raw[w]) > LONG_BYTES])):
             for a, b in slices([len(raw[w]) for w in of], STEP_BYTES):
                 part = [raw[w] for w in of[a:b]]
                 size = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
@@ -181,7 +181,8 @@ class Bpe:
 
     def of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of pieces as they stand in a text: after a space, but for those that begin with a line feed."""
-        return dict(zip(pieces, self.of_words([self.split(p if p[:1] == "\n" else " " + p) for p in pieces])))
+        words = [[" " + p] if p.isascii() and p.isalpha() else self.split(p if p[:1] == "\n" else " " + p) for p in pieces]
+        return dict(zip(pieces, self.of_words(words)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit."""
