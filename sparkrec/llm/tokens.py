@@ -20,6 +20,7 @@ import json
 import os
 import re
 from array import array
+from functools import cached_property
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -81,18 +82,16 @@ class TextEncoder:
     """``encode(texts)`` -> little-endian unsigned 32-bit ids of each text, as bytes."""
 
     def __init__(self, tokenizer_json: str, keep: int = 250_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         spec = json.loads(tokenizer_json)
-        self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.json = tokenizer_json
         self.rule = cut_rule(spec)
-        self.vocab_size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.vocab_size = 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens", []))]) if self.rule != "whole" else self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.lowered = spec.get("normalizer") is not None  # an added token may be looked for in normalised text
         self.added = [t["content"].lower() if self.lowered else t["content"] for t in spec.get("added_tokens", [])]
         self.signs = {re.match(r"[^A-Za-z]*", t)[0] for t in self.added}  # their beginnings without case
-        self.keep, self.letters, self.merge = keep, byte_letters(), self.tokenizer.model.tokenize
-        self.pieces = Kept(self._piece)
+        if self.rule == "words":
+            self.keep, self.letters, self.merge = keep, byte_letters(), self.tokenizer.model.tokenize
+            self.pieces = Kept(self._piece)
         if self.rule == "ranks":
             import tiktoken
 
@@ -100,7 +99,17 @@ class TextEncoder:
             ranks = {bytes(byte.get(c, ord(c)) for c in t): i for t, i in spec["model"]["vocab"].items() if i < 256 + len(spec["model"]["merges"])}
             self.by_rank = tiktoken.Encoding("ranks", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer; rank encoding needs it for few texts or none."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.json)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _apart(self, text: str) -> bool:
