@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from sparkrec.llm.common import ship
 from sparkrec.llm.tokens import _CUT, _irregular, in_parts
 
-KEEP = 120_000  # words, and pieces, kept by a worker, twice at most
+KEEP = 400_000  # pieces kept by a worker, twice at most
 KEEP_BYTES = 64  # longer ones are not kept
 PART_CHARS = 2_000_000  # text handled at a time
 STEP_BYTES = 400_000  # bytes of words, and ids of documents, of one query
@@ -102,27 +102,29 @@ def slices(sizes: list[int], most: int):
 
 
 class Known:
-    """Ids of words or pieces in two generations: a full one becomes the old one,
-    from which entries still in use move over."""
+    """Ids by text in two generations: a full one becomes the old one, from which
+    entries still in use move over."""
 
     def __init__(self):
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def fill(self, asked: set[str], learn):
-        """Look-up function for all ``asked``; ``learn`` is given those not met before."""
+    def age(self) -> None:
         if len(self.new) > KEEP:
             self.new, self.old = {}, self.new
+
+    def fill(self, asked: set[str], learn):
+        """Look-up function for all ``asked``; ``learn`` is given those not met before."""
         missing = asked.difference(self.new)
-        again = missing.intersection(self.old)
+        again = {x for x in missing if x in self.old}
         self.new.update((x, self.old[x]) for x in again)
-        fresh = learn(list(missing - again))
-        long = {x: ids for x, ids in fresh.items() if len(x) > KEEP_BYTES}
-        if not long:
-            self.new.update(fresh)
+        missing -= again
+        if not missing:
             return self.new.__getitem__
-        self.new.update((x, ids) for x, ids in fresh.items() if x not in long)
-        return (self.new | long).__getitem__
+        fresh = learn(missing)
+        long = {x: ids for x, ids in fresh.items() if len(x) > KEEP_BYTES}
+        self.new.update(fresh if not long else ((x, ids) for x, ids in fresh.items() if x not in long))
+        return (self.new | long).__getitem__ if long else self.new.__getitem__
 
 
 class Bpe:
@@ -147,7 +149,8 @@ class Bpe:
         self.db.register("file_rows", pd.DataFrame({"id": np.array(ids, dtype=np.int32), "token": [t.decode("latin-1") for t in tokens]}))
         self.db.execute(_SETUP)
         self.db.unregister("file_rows")
-        self.cuts, self.words, self.pieces = cuts, Known(), Known()
+        self.cuts = cuts
+        self.spaced, self.others = Known(), Known()  # what stands after a space; words without one
 
     def _query(self, sql: str, **tables) -> dict:
         for name, frame in tables.items():
@@ -174,24 +177,36 @@ class Bpe:
                 out.update((w, ids[at[j]:at[j + 1]]) for j, w in enumerate(of[a:b]))
         return out
 
+    def _learn_spaced(self, words: set[str]) -> dict[str, bytes]:
+        return {w[1:]: ids for w, ids in self.learn([" " + w for w in words]).items()}
+
     def of_words(self, lists: list[list[str]]) -> list[bytes]:
         """Ids of each list of words."""
-        found = self.words.fill(set().union(*lists), self.learn)
-        return [b"".join(map(found, ws)) for ws in lists]
+        every = set().union(*lists)
+        after = {w[1:] for w in every if w[0] == " "}
+        spaced = self.spaced.fill(after, self._learn_spaced)
+        other = self.others.fill({w for w in every if w[0] != " "}, lambda ws: self.learn(list(ws)))
+        return [b"".join([spaced(w[1:]) if w[0] == " " else other(w) for w in ws]) for ws in lists]
 
-    def of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+    def of_pieces(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pieces as they stand in a text: after a space, but for those that begin with a line feed."""
-        words = [[" " + p] if p.isascii() and p.isalpha() else self.split(p if p[:1] == "\n" else " " + p) for p in pieces]
-        return dict(zip(pieces, self.of_words(words)))
+        letters = {p for p in pieces if p.isascii() and p.isalpha()}
+        out = self._learn_spaced(letters)
+        self.spaced.new.update(out)
+        rest = list(pieces - letters)
+        out.update(zip(rest, self.of_words([self.split(p if p[:1] == "\n" else " " + p) for p in rest])))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit."""
+        self.spaced.age()
+        self.others.age()
         if not self.cuts:
             return self.of_words([self.split(t) for t in texts])
         cut = [_CUT.split(t) if _irregular(t) else t.replace("\n", " \n").split(" ") for t in texts]
         first = self.of_words([self.split(c[0]) for c in cut])
         rest = [c[1:] for c in cut]
-        found = self.pieces.fill(set().union(*rest), self.of_pieces)
+        found = self.spaced.fill(set().union(*rest), self.of_pieces)
         return [f + b"".join(map(found, ps)) for f, ps in zip(first, rest)]
 
     def decode(self, ids: list[bytes]) -> list[bytes | None]:
