@@ -84,7 +84,7 @@ class Element:
         self.tag, self.node, self.boiler = tag, node, boiler
         self.block = block  # whether it is a block
         self.container = container  # node that its text counts for
-        self.around = self if block else around  # the block that it is in, itself included
+        self.around = None if block else around  # the block that an inline element is in
         self.article = article  # whether it is in an article
         self.soft = soft  # number of the nearest element around that is boilerplate by its content only, or -1
 
@@ -236,9 +236,10 @@ def parse(html: str) -> Page:
 
     def add(raw: str):
         nonlocal owner, linked
-        if here.around is not owner:
+        around = here.around or here
+        if around is not owner:
             flush()
-            owner = here.around
+            owner = around
         if here.boiler:  # an inline element of that kind
             return
         text = unescape(raw) if "&" in raw else raw
@@ -300,7 +301,7 @@ def parse(html: str) -> Page:
             close_open(("p",))
         if tag in CLOSES:
             close_open(CLOSES[tag])
-        block, around = tag not in INLINE, here.around
+        block, around = tag not in INLINE, here.around or here
         node = page.node(here.node, _step(tag, attrs)) if block else here.node
         if block:
             flush()
