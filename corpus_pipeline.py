@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written
 as Parquet and read again for the next one. All but the last return the columns
-of ``documents``.
+of ``documents``, whatever others there are. Texts of any length are read whole, an
+empty table stays empty, and rows with a null id are documents like any other.
 """
 
 from __future__ import annotations
@@ -16,28 +17,33 @@ from sparkrec.llm.common import materialize, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a learned language explains stay."""
+    """Documents that a learned language explains stay. A null or empty text, or one
+    without a letter, goes; repeated rows stay or go together; without any label all go."""
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, that of the smallest id."""
+    """One document of each class of near-duplicates stays, that of the smallest id (one
+    of its rows, where it is repeated); texts without a word are one class."""
     return simhash.deduplicate(docs, shingle=3, max_bits=2)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go; a null text holds none, and
+    without items all stay."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked in the text; ``n_chars`` follows."""
+    """Secrets are masked in the text; ``n_chars`` follows. A null text stays null, and
+    repeated rows are masked alike."""
     masked = secrets.mask_documents(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 1024 ids."""
+    """Pieces of all documents in sequences of 1024 ids. A null or empty text is its end
+    id alone; repeated rows are packed each for themselves."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
