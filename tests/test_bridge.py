@@ -48,3 +48,19 @@ def test_no_plot_sorted_year_desc_nulls_first(spark):
     final = spark.createDataFrame([("tt9999999",)], "imdbId string")
     got = [r.year for r in C.no_plot_movies(links, movies, final).collect()]
     assert got == [None, 2000, 1990]
+
+
+def test_extraction_is_written_before_any_filter(spark, monkeypatch):
+    """The section regex stands once in the plan of the stage, however often its parts are read."""
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(B, "materialize", seen)
+    body = " ".join(f"w{i}" for i in range(25))
+    rows = [("a", f"x\n== Plot ==\n{body} {{{{t|{{{{u}}}}}}}} [[p|[[q|z]]]]\n"), ("b", "== Plot ==\nshort\n"), ("c", f"== Cast ==\n{body}\n"), ("d", None)]
+    got = B.extract_plots(spark.createDataFrame(rows, "wiki_title string, wikitext string")).collect()
+    assert [(r.wiki_title, r.plot_text) for r in got] == [("a", body + "  z")]
+    assert len(plans) == 1 and plans[0].count("plot summary") == 1
