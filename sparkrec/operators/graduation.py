@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -57,8 +57,9 @@ def weekly_batches(pending: DataFrame, *, movie: str = "movie_id") -> DataFrame:
 
 
 def mark_retrained(pending: DataFrame, retrained: DataFrame, completed: DataFrame | None = None, *,
-                   movie: str = "movie_id", batch_id: str, retrained_at: str) -> tuple[DataFrame, DataFrame]:
-    """Move the given movies from pending to completed (semi / anti split).
+                   movie: str = "movie_id", batch_id: str | Column, retrained_at: str | Column) -> tuple[DataFrame, DataFrame]:
+    """Move the given movies from pending to completed (semi / anti split). Batch and
+    date are the same for all, or columns of ``pending`` where several batches are done.
     Returns ``(pending, completed)``; completed movies join the catalogue."""
     moved = pending.join(retrained.select(movie), movie, "left_semi").withColumn(
         "retrained_at", F.lit(retrained_at)).withColumn("batch", F.lit(batch_id))

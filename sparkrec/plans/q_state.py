@@ -272,15 +272,19 @@ def weekly_batches(spark, d):
     return G.weekly_batches(pending(spark, d))
 
 
-@query("mark_retrained", oracle=f"""WITH {GRAD_SQL}
-SELECT movie_id, graduated_at, interaction_count, CASE WHEN movie_id % 4 = 0 THEN 'completed' ELSE 'pending' END AS status,
-       CASE WHEN movie_id % 4 = 0 THEN 'batch-1' END AS batch, CASE WHEN movie_id % 4 = 0 THEN '2001-12-01' END AS retrained_at FROM g""")
+@query("mark_retrained", oracle=f"""WITH {GRAD_SQL},
+w AS (SELECT movie_id, graduated_at, interaction_count, date_trunc('week', CAST(graduated_at AS TIMESTAMP)) AS wk FROM g)
+SELECT movie_id, graduated_at, interaction_count, CASE WHEN wk < (SELECT max(wk) FROM w) THEN 'completed' ELSE 'pending' END AS status,
+       CASE WHEN wk < (SELECT max(wk) FROM w) THEN 'batch-' || strftime(wk, '%Y-%m-%d') END AS batch,
+       CASE WHEN wk < (SELECT max(wk) FROM w) THEN strftime(CAST(wk AS DATE) + 7, '%Y-%m-%d') END AS retrained_at
+FROM w""")
 def mark_retrained(spark, d):
-    """One retrain batch: the pending movies whose id is divisible by 4 move to completed."""
+    """All weekly retrain batches: the pending movies of every closed week move to completed."""
     p = materialize(pending(spark, d))
-    still, done = G.mark_retrained(p, p.where(F.col("movie_id") % 4 == 0).select("movie_id"), batch_id="batch-1", retrained_at="2001-12-01")
+    plan = G.weekly_batches(p).where(F.col("status") == "completed").select("movie_id", "batch", "retrained_at")
+    still, done = G.mark_retrained(p.join(plan, "movie_id", "left"), plan.select("movie_id"), batch_id=F.col("batch"), retrained_at=F.col("retrained_at"))
     still = still.withColumn("status", F.lit("pending"))
-    return still.unionByName(done.withColumn("status", F.lit("completed")), allowMissingColumns=True).select(
+    return still.unionByName(done.withColumn("status", F.lit("completed"))).select(
         "movie_id", "graduated_at", "interaction_count", "status", "batch", "retrained_at")
 
 

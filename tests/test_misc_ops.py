@@ -47,3 +47,14 @@ def test_knowledge_base_lookups(spark):
     assert got == {"tt0000001": "Film D"}  # one title per id ("last" = greatest)
     plots = spark.createDataFrame([("Film A", "x"), ("Film D", "y")], "wiki_title string, plot_text string")
     assert [r.wiki_title for r in B.title_semi_filter(plots, B.kb_class_titles(sitelinks, statements)).collect()] == ["Film A"]
+
+
+def test_mark_retrained_does_every_closed_week(spark, monkeypatch):
+    from sparkrec.plans import q_state, registry
+
+    rows = [(4, "2024-01-02", 50), (5, "2024-01-07", 51), (6, "2024-01-10", 52), (8, "2024-01-16", 60)]
+    monkeypatch.setattr(q_state, "pending", lambda s, d: s.createDataFrame(rows, "movie_id long, graduated_at string, interaction_count long"))
+    registry.load_all()
+    got = {r.movie_id: (r.status, r.batch, r.retrained_at, r.interaction_count) for r in registry.QUERIES["mark_retrained"](spark, "").collect()}
+    assert got == {4: ("completed", "batch-2024-01-01", "2024-01-08", 50), 5: ("completed", "batch-2024-01-01", "2024-01-08", 51),
+                   6: ("completed", "batch-2024-01-08", "2024-01-15", 52), 8: ("pending", None, None, 60)}
