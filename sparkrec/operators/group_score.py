@@ -15,12 +15,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..session import ship_package
+from ..sources.io import materialize
 
 
 def _within_group_blocks(df: DataFrame, group: str, key: str, rows: int, payload: list[str], prefix: str) -> DataFrame:
@@ -33,42 +34,62 @@ def _within_group_blocks(df: DataFrame, group: str, key: str, rows: int, payload
     return g.select(group, f"_{prefix}blk", *[F.col("_r")[c].alias(f"{prefix}_{c}") for c in [key, *payload]])
 
 
-def _stack(vs, mask):
-    return np.stack([np.asarray(v, dtype=np.float64) for v, h in zip(vs, mask) if h])
+class _Rows:
+    """One Arrow column of arrays of arrays (inner ones nullable), read by row without
+    a Python object for each inner array."""
 
+    def __init__(self, column):
+        inner, self.outer = column.flatten(), np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        self.valid = inner.is_valid().to_numpy(zero_copy_only=False)
+        self.ends = np.concatenate(([0], np.cumsum(inner.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        self.values = inner.flatten().to_numpy(zero_copy_only=False)
 
-def _score_blocks(pdfs):
-    for pdf in pdfs:
+    def of(self, row: int) -> slice:
+        return slice(self.outer[row], self.outer[row + 1])
+
+    def matrix(self, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which inner arrays of the row there are, and those as a matrix of doubles."""
+        at = self.of(row)
+        have, ends = self.valid[at], self.ends[at.start:at.stop + 1]
+        sizes = np.unique(np.diff(ends)[have])
+        if len(sizes) > 1:
+            raise ValueError("vectors differ in length")
+        return have, self.values[ends[0]:ends[-1]].astype(np.float64).reshape(int(have.sum()), -1) if have.any() else np.zeros((0, 0))
+
+    def lists(self, row: int) -> list[np.ndarray]:
+        at = self.of(row)
+        return [self.values[self.ends[i]:self.ends[i + 1]] for i in range(at.start, at.stop)]
+
+
+def _score_blocks(batches):
+    for b in batches:
+        col = {n: b.column(n) for n in b.schema.names}
+        mv, tops, top_scores, ce = (_Rows(col[n]) for n in ("m_v", "m_top_ids", "m_top_scores", "c_e"))
+        alphas, cids = col["m_alpha"].flatten().to_numpy(zero_copy_only=False).astype(np.float64), col["c_movie_id"].flatten().to_numpy(zero_copy_only=False)
         out = []
-        cols = zip(pdf["group_id"], pdf["m_alpha"], pdf["m_v"], pdf["m_top_ids"], pdf["m_top_scores"],
-                   pdf["c_movie_id"], pdf["c_e"])
-        for g, alpha, mv, top_ids, top_sc, cid, ce in cols:
+        for g in range(b.num_rows):
+            alpha, cid = alphas[mv.of(g)], cids[ce.of(g)].astype(np.int64)
             if len(alpha) == 0 or len(cid) == 0:
                 continue
-            cid = np.asarray(cid, dtype=np.int64)
             order = np.argsort(cid)
             cid = cid[order]
-            ce = [ce[i] for i in order]
-            alpha = np.asarray(alpha, dtype=np.float64)
-            has_v = np.array([v is not None for v in mv])
-            has_e = np.array([e is not None for e in ce])
+            (has_v, v), (has_e, e) = mv.matrix(g), ce.matrix(g)
             s = np.zeros((len(alpha), len(cid)))
             if has_v.any() and has_e.any():
-                s[np.ix_(has_v, has_e)] = alpha[has_v][:, None] * (_stack(mv, has_v) @ _stack(ce, has_e).T)
-            for r in range(len(alpha)):
-                ids = top_ids[r]
-                if ids is None or len(ids) == 0:
+                s[np.ix_(has_v, has_e)] = alpha[has_v][:, None] * (v @ e.T)
+            s = s[:, order]
+            for r, (ids, sc) in enumerate(zip(tops.lists(g), top_scores.lists(g))):
+                if len(ids) == 0:
                     continue
-                ids = np.asarray(ids, dtype=np.int64)
-                sc = np.asarray(top_sc[r], dtype=np.float64)
+                ids = ids.astype(np.int64)
                 pos = np.searchsorted(cid, ids)
                 hit = (pos < len(cid)) & (cid[np.minimum(pos, len(cid) - 1)] == ids)
-                s[r, pos[hit]] += (1.0 - alpha[r]) * sc[hit]
+                s[r, pos[hit]] += (1.0 - alpha[r]) * sc[hit].astype(np.float64)
             mean = s.mean(axis=0)
-            out.append(pd.DataFrame({"group_id": g, "movie_id": cid, "n": s.shape[0], "mean": mean,
-                                     "m2": ((s - mean) ** 2).sum(axis=0)}))
+            out.append((np.full(len(cid), g), cid, np.full(len(cid), s.shape[0]), mean, ((s - mean) ** 2).sum(axis=0)))
         if out:
-            yield pd.concat(out, ignore_index=True)
+            row, cid, n, mean, m2 = (np.concatenate(x) for x in zip(*out))
+            yield pa.RecordBatch.from_arrays([col["group_id"].take(pa.array(row)), *(pa.array(x) for x in (cid, n, mean, m2))], names=["group_id", "movie_id", "n", "mean", "m2"])
 
 
 def group_fairness_scores(members: DataFrame, candidates: DataFrame, k: int, *, fairness_lambda: float,
@@ -85,11 +106,14 @@ def group_fairness_scores(members: DataFrame, candidates: DataFrame, k: int, *,
     cb = _within_group_blocks(candidates, "group_id", "movie_id", rows, ["e"], "c")
     # the blocks of a large group are dealt by block as well, so that one group is
     # not one task: the member blocks meet every candidate block's number
-    meet = cb.select("group_id", F.col("_cblk")).withColumnRenamed("_cblk", "_meet")
+    # (from the ids alone: the blocks with their vectors are collected once)
+    ids = _within_group_blocks(candidates.select("group_id", "movie_id"), "group_id", "movie_id", rows, [], "c")
+    meet = ids.select("group_id", F.col("_cblk").alias("_meet"))
     pairs = mb.drop("_mblk").join(meet, "group_id").join(cb.withColumnRenamed("_cblk", "_meet"), ["group_id", "_meet"])
     ship_package(members.sparkSession)
-    parts = pairs.mapInPandas(
+    parts = pairs.mapInArrow(
         _score_blocks, f"group_id {members.schema['group_id'].dataType.simpleString()}, movie_id long, n long, mean double, m2 double")
+    parts = materialize(parts)  # read by both sides of the merge
     # Chan merge of (n, mean, M2) partials per (group, candidate)
     tot = parts.groupBy("group_id", "movie_id").agg(
         F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))

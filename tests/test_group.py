@@ -39,3 +39,14 @@ def test_block_moments_match_pairwise(spark):
     assert set(got) == set(brute)
     for key, val in brute.items():
         assert abs(got[key] - val) < 1e-9
+
+
+def test_searches_and_scores_are_written_once(spark):
+    """Neither the searches nor the scoring stand in the plan that merges the scores, which reads them twice."""
+    from sparkrec.operators.recommend import recommend_group
+
+    items = spark.createDataFrame([(i, i, [float(i), 1.0]) for i in range(4)], "faiss_idx long, movie_id long, embedding array<float>")
+    members = spark.createDataFrame([(1, u, [1.0, 0.0], [0.0, 1.0]) for u in (1, 2)], "group_id long, user_id long, profile_vec array<double>, user_vec array<double>")
+    got = recommend_group(members, items, k=2)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapIn") == 0
+    assert [(r.request_id, r.movie_id) for r in got.orderBy("rank").collect()] == [("1", 3), ("1", 2)]
