@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrec.llm.common import ship
+from sparkrec.llm.common import ship_texts
 
 UNDETERMINED = "und"
 REFERENCE_CHARS, LEAST_CHARS = 40_000, 1_000  # of a reference: at most; least that counts in the cost
@@ -114,8 +114,9 @@ def encode(texts: list[str], alphabet: str) -> tuple[np.ndarray, np.ndarray]:
     keep = ~gap
     keep[1:] |= ~gap[:-1]
     keep |= first[:-1]
-    position = np.concatenate(([0], np.cumsum(keep)))
-    return codes[keep], position[starts]
+    position = np.zeros(len(codes) + 1, dtype=np.int32)
+    np.cumsum(keep, out=position[1:])
+    return codes[keep], position[starts].astype(np.int64)
 
 
 def _follow(model: LangModel, state: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -231,7 +232,9 @@ def predict_batch(texts: list[str], model: LangModel, chars_at_once: int = 1_000
             chars += len(texts[end])
             end += 1
         codes, starts = encode(texts[at:end], model.alphabet)
-        seen = np.concatenate(([0], np.cumsum(codes != _GAP)))[starts]
+        seen = np.zeros(len(codes) + 1, dtype=np.int32)
+        np.cumsum(codes != _GAP, out=seen[1:])
+        seen = seen[starts].astype(np.int64)
         n_letters = np.diff(seen)
         counts = cross_parse(codes, starts, model)
         cost = counts * bits
@@ -254,7 +257,7 @@ def language(docs: DataFrame, model: LangModel | None, text: str = "text") -> Co
     """
     if model is None:
         return F.struct(F.lit(UNDETERMINED).alias("lang"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("phrases"), F.lit(0).cast("long").alias("letters"))
-    shared = ship(docs).sparkContext.broadcast(model)  # bounded: languages x reference_chars
+    shared = ship_texts(docs).sparkContext.broadcast(model)  # bounded: languages x reference_chars
 
     @F.pandas_udf("lang string, score double, phrases long, letters long")
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrec.llm.common import ship
+from sparkrec.llm.common import ship_texts
 from sparkrec.llm.tokens import encoder, in_parts
 
 GROUP_BYTES = 6_000_000  # bytes of text a group is made for
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer_path: str, doc: str = "doc_id", text: str =
     text is that id alone. Repeated rows are packed each for themselves; null
     ids stay null; an empty table gives no piece.
     """
-    spark = ship(docs)
+    spark = ship_texts(docs)
     with open(tokenizer_path, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a vocabulary file: a few MB
     rows = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))

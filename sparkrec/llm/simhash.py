@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrec.llm.common import broadcast_if_under, materialize, ship
+from sparkrec.llm.common import broadcast_if_under, materialize, ship, ship_texts
 from sparkrec.llm.graph import components
 
 BITS = 64
@@ -69,7 +69,7 @@ def fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3) -> Column
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer
     words than a shingle is one shingle, a null text or one without words is 0.
     """
-    ship(docs)
+    ship_texts(docs)
 
     @F.pandas_udf("long")
     def run(texts: pd.Series) -> pd.Series:
